@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import topk, url_rules
+from plumbline.llm import mixing, packing, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_rules": url_rules.op4_url_rules,
     "op8_topk": topk.op8_topk,
+    "op9_packing": packing.op9_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
