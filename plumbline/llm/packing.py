@@ -25,16 +25,21 @@ from plumbline.llm.common import stash, table
 WINDOW, END = 4096, 2
 
 #: Words that a worker keeps with their ids; beyond it starts anew.
-CACHE = 200_000
+CACHE = 500_000
 
 #: Groups in which the pieces of one length are ranked.
 SALTS = 256
 
 
+#: Stands between words that are encoded in one call; a token of its own, as white space parts it from them.
+MARK = "\0"
+
+
 class WordIds(dict):
     """Token ids, as bytes, of words without ASCII white space; the tokenizer is asked once for each word.
 
     The tokenizer's own split never takes white space into a token, so a text's ids are those of its words.
+    A text's new words are encoded in one call, with a mark between them.
     """
 
     def __init__(self, path: str):
@@ -42,17 +47,38 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.new: list[bytes] = []
+        self.mark = np.array(self.ids(MARK), "<u4")
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self[word] = b""
+        self.new.append(word)
+        return b""
+
+    def learn(self) -> None:
+        plain = [w for w in self.new if b"\0" not in w]
+        if len(plain) > 1 and len(self.mark) == 1:
+            found = np.array(self.ids(f" {MARK} ".join([w.decode() for w in plain])), "<u4")
+            ends = np.flatnonzero(found == self.mark[0])
+            data, starts = found.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            self.update(zip(plain, (data[x:y] for x, y in zip(starts, [*(4 * ends).tolist(), len(data)], strict=True)), strict=True))
+            plain = []
+        for w in {*plain, *(w for w in self.new if b"\0" in w)}:
+            self[w] = np.array(self.ids(w.decode()), "<u4").tobytes()
+        self.new = []
 
     def of(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.encode().split()])
+        words = text.encode().split()
+        found = [self[w] for w in words]
+        if self.new:
+            self.learn()
+            found = [self[w] for w in words]
+            if len(self) > CACHE:
+                self.clear()
+        return b"".join(found)
 
 
 @lru_cache(1)
