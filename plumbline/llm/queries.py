@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html_text, licences, mixing, packing, topk, url_rules
+from plumbline.llm import html_text, licences, mixing, packing, quality, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": html_text.op2_html_text,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op6_quality": quality.op6_quality,
     "op7_licences": licences.op7_licences,
     "op8_topk": topk.op8_topk,
     "op9_packing": packing.op9_packing,
