@@ -10,7 +10,9 @@ window by their rank among the pieces of their length, which Spark counts over s
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,15 +33,20 @@ CACHE = 500_000
 SALTS = 256
 
 
-#: Stands between words that are encoded in one call; a token of its own, as white space parts it from them.
-MARK = "\0"
+#: The split of the tokenizer file's pre-tokenizer, for words of ASCII and Latin-1 letters in lower case.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-~ß-öø-ÿ]+")
+#: The byte-level alphabet: bytes without a visible character of their own follow from 256 on.
+_HIDDEN = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+_ALPHABET = {x: 256 + n for n, x in enumerate(_HIDDEN)}
 
 
 class WordIds(dict):
-    """Token ids, as bytes, of words without ASCII white space; the tokenizer is asked once for each word.
+    """Token ids, as bytes, of words without ASCII white space; each word is encoded once.
 
     The tokenizer's own split never takes white space into a token, so a text's ids are those of its words.
-    A text's new words are encoded in one call, with a mark between them.
+    Plain words are split here and only their parts go through the tokenizer's merges; all others, and those
+    that could hold a special token, go through the tokenizer as they stand.
     """
 
     def __init__(self, path: str):
@@ -47,38 +54,31 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: list[bytes] = []
-        self.mark = np.array(self.ids(MARK), "<u4")
+        self.parts: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(part) <= 64:
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = b""
-        self.new.append(word)
-        return b""
-
-    def learn(self) -> None:
-        plain = [w for w in self.new if b"\0" not in w]
-        if len(plain) > 1 and len(self.mark) == 1:
-            found = np.array(self.ids(f" {MARK} ".join([w.decode() for w in plain])), "<u4")
-            ends = np.flatnonzero(found == self.mark[0])
-            data, starts = found.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            self.update(zip(plain, (data[x:y] for x, y in zip(starts, [*(4 * ends).tolist(), len(data)], strict=True)), strict=True))
-            plain = []
-        for w in {*plain, *(w for w in self.new if b"\0" in w)}:
-            self[w] = np.array(self.ids(w.decode()), "<u4").tobytes()
-        self.new = []
+        if len(self) >= CACHE:
+            self.clear()
+            self.parts.clear()
+        text = word.decode()
+        low = text.lower()
+        if _PLAIN.fullmatch(low) and "<|" not in low:
+            ids = b"".join([self.parts.get(x) or self.part(x) for x in _SPLIT.findall(low)])
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        words = text.encode().split()
-        found = [self[w] for w in words]
-        if self.new:
-            self.learn()
-            found = [self[w] for w in words]
-            if len(self) > CACHE:
-                self.clear()
-        return b"".join(found)
+        return b"".join([self[w] for w in text.encode().split()])
 
 
 @lru_cache(1)
