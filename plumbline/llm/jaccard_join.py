@@ -237,8 +237,13 @@ def find_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n:
 
     Pairs that other links connect already may be left out.
     """
-    shared = stash(keyed.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("region", "pivot"))
-    placed = stash(keyed.join(shared, "region").distinct())
+    shared = keyed.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("region")
+    placed = stash(keyed.join(stash(shared), "region").distinct())
+    # a region's pivot is the node that meets most others in all its regions: the text that copies were made from
+    sizes = stash(placed.groupBy("region").count())
+    degree = stash(placed.join(sizes, "region").groupBy("node").agg(F.sum("count").alias("degree")))
+    pivots = stash(placed.join(degree, "node").groupBy("region").agg(F.max_by("node", "degree").alias("pivot")))
+    placed = stash(placed.join(pivots, "region"))
     texts = stash(texts_of(placed.select("node").distinct()))
 
     def measured(pairs: DataFrame) -> DataFrame:
