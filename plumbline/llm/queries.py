@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import html_text, jaccard_join, licences, mixing, packing, quality, topk, url_rules
+from plumbline.llm import class_lm, html_text, imatch, jaccard_join, licences, mixing, packing, quality, topk, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_class_lm": class_lm.op1_class_lm,
     "op2_html_text": html_text.op2_html_text,
     "op3_jaccard": jaccard_join.op3_jaccard,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op5_imatch": imatch.op5_imatch,
     "op6_quality": quality.op6_quality,
     "op7_licences": licences.op7_licences,
     "op8_topk": topk.op8_topk,
