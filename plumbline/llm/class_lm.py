@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ CLASSES = 64
 END, UNKNOWN, REST = 0, 1, 2
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 5 << 20
 
 #: Added to each class bigram, as a share of the class's own frequency times this many tokens.
 PRIOR = 20.0
@@ -37,7 +38,7 @@ PRIOR = 20.0
 #: The end's word.
 _END = xxhash.xxh64_intdigest(b"\n") - (1 << 64) if xxhash.xxh64_intdigest(b"\n") >> 63 else xxhash.xxh64_intdigest(b"\n")
 
-_BLOCK = "block long, rows binary, held binary, sizes binary, ids binary, words binary"
+_BLOCK = "block long, rows binary, held binary, sizes binary, ids binary, words binary, many long"
 
 
 def _pack(t: pa.Table) -> pa.Table:
@@ -53,21 +54,21 @@ def _pack(t: pa.Table) -> pa.Table:
     null = doc.is_null().to_numpy(zero_copy_only=False)
     cells = [
         t["block"][0].as_py(), np.column_stack([doc.fill_null(0).to_numpy().astype(np.int64), null.astype(np.int64)]).tobytes(), t["held"].to_numpy().astype(np.uint8).tobytes(),
-        np.array([len(x) for x in ids], np.int64).tobytes(), np.concatenate(ids).tobytes(), words.astype(np.int64).tobytes(),
+        np.array([len(x) for x in ids], np.int64).tobytes(), zstandard.compress(np.concatenate(ids).tobytes(), 1), words.astype(np.int64).tobytes(), len(words),
     ]
-    names = ["block", "rows", "held", "sizes", "ids", "words"]
-    return pa.table({n: pa.array([c], pa.int64() if n == "block" else pa.binary()) for n, c in zip(names, cells, strict=True)})
+    names = ["block", "rows", "held", "sizes", "ids", "words", "many"]
+    return pa.table({n: pa.array([c], pa.int64() if n in ("block", "many") else pa.binary()) for n, c in zip(names, cells, strict=True)})
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Held-out flags by document, sizes, token numbers, words."""
-    return np.frombuffer(row["held"], np.uint8).astype(bool), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["ids"], np.int32), np.frombuffer(row["words"], np.int64)
+    return np.frombuffer(row["held"], np.uint8).astype(bool), np.frombuffer(row["sizes"], np.int64), np.frombuffer(zstandard.decompress(row["ids"]), np.int32), np.frombuffer(row.get("words", b""), np.int64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for x in range(b.num_rows):
-            yield {c: b.column(i)[x].as_py() for i, c in enumerate(b.schema.names)}
+            yield {c: b.column(i)[x].as_buffer() if pa.types.is_binary(b.column(i).type) else b.column(i)[x].as_py() for i, c in enumerate(b.schema.names)}
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _contexts(first: dict[int, int]):
             ids = ids[np.repeat(~held, sizes)].astype(np.int64)
             if not len(ids):
                 continue
-            before = np.concatenate(([0], ids[:-1]))  # every text ends with 0, the end
+            before = np.concatenate((np.zeros(1, np.int64), ids[:-1]))  # every text ends with 0, the end
             pairs = np.concatenate((ids * (2 * CLASSES) + cls[before], before[1:] * (2 * CLASSES) + CLASSES + cls[ids[1:]]))
             key, n = np.unique(pairs, return_counts=True)
             word = key // (2 * CLASSES)
@@ -207,8 +208,8 @@ def _look_up(train_tokens: int, types: int, class_n: np.ndarray, class_once: np.
     def run(key: tuple, blocks: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in schema.names}
         for row in _rows(iter(blocks.to_batches())):
-            held, sizes, ids, words = _open(row)
-            n, cls = np.zeros(len(words), np.int64), np.full(len(words), UNKNOWN, np.int64)
+            held, sizes, ids, _ = _open(row)
+            n, cls = np.zeros(row["many"], np.int64), np.full(row["many"], UNKNOWN, np.int64)
             at = found["at"].to_numpy()
             n[at], cls[at] = found["n"].to_numpy(), found["class"].to_numpy()
             known = n > 0
@@ -290,12 +291,12 @@ def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in range(b.num_rows):
-                words = np.frombuffer(b.column(1)[x].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b.column(0)[x].as_py())), pa.array(np.arange(len(words))), pa.array(words)], names=["block", "at", "word"])
+                words = np.frombuffer(b.column(1)[x].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b.column(0)[x].as_py())), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)], names=["block", "at", "word"])
 
-    found = blocks.select("block", "words").mapInArrow(places, "block long, at long, word long").join(classes, "word").select("block", "at", "n", "class")
+    found = blocks.select("block", "words").mapInArrow(places, "block long, at int, word long").join(classes, "word").select("block", "at", "n", F.col("class").cast("byte").alias("class"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary"
-    looked = stash(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_look_up(train_tokens, types, class_n, class_once), schema))
+    looked = stash(blocks.drop("words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_look_up(train_tokens, types, class_n, class_once), schema))
 
     def final_classes(row: dict):
         c = np.frombuffer(row["classes"], np.uint8)

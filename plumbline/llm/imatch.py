@@ -29,6 +29,9 @@ LEAST, MOST = 2, 0.2
 #: Bytes of text that a range of ids holds, about.
 RANGE = 8 << 20
 
+#: Rows that meet their terms of the lexicon in one task.
+ROWS = 4000
+
 
 def subset_terms(text: str) -> np.ndarray:
     """Hashes (signed, sorted, distinct) of a text's terms that lie in some subset; the low bits tell which."""
@@ -139,8 +142,9 @@ def imatch(docs: DataFrame) -> DataFrame:
     near_next. A null text is empty. Rows of one id follow by text; null ids come first. One row alone is its own
     next. A text without terms in any subset has only the hash of all its terms. No rows: no result.
     """
-    kept = stash(paired(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(64)).cast("long")))
+    kept = stash(paired(docs).withColumn("row", F.monotonically_increasing_id()))
     n = kept.count()
+    kept = kept.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(64, n // ROWS))).cast("long"))
     terms = kept.select(F.explode("terms").alias("term")).groupBy("term").count()
     lexicon = stash(terms.where((F.col("count") >= LEAST) & (F.col("count") <= max(LEAST, MOST * n))).select("term"))
     # blocks of rows meet the lexicon by their distinct terms
