@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.plsql import parse_unit
 
 KEY = ["schema_name", "object_name", "object_type"]
+CALLER = ["caller_schema", "caller_object", "caller_type"]
 
 PARSED = (
     "schema_name string, object_name string, object_type string, source_hash string, status string, error_message string, "
@@ -54,7 +55,7 @@ def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def call_edges(parsed: DataFrame) -> DataFrame:
     """Edges; the callee's schema is part of the key, so calls of one name in two schemas both stay."""
-    return parsed.select(*[F.col(k).alias("caller_" + k.split("_")[1] if k != "schema_name" else "caller_schema") for k in KEY], F.inline("call_edges")).distinct()
+    return parsed.select(*[F.col(k).alias(c) for k, c in zip(KEY, CALLER, strict=True)], F.inline("call_edges")).distinct()
 
 
 def table_accesses(parsed: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def _orders_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     none = F.lit(None).cast("string")
     edge = lambda df, a, b: df.select(F.lit("APP").alias("caller_schema"), a.alias("caller_object"), none.alias("caller_subprogram"), none.alias("callee_schema"), b.alias("callee_object"), none.alias("callee_subprogram"))
     edges = edge(o, s("O_", "o_orderkey"), s("C_", "o_custkey")).unionByName(edge(c, s("C_", "c_custkey"), s("N_", "c_nationkey"))).unionByName(edge(n, s("N_", "n_nationkey"), s("R_", "n_regionkey")))
-    names = o.select(s("O_", "o_orderkey").alias("x")).unionByName(c.select(s("C_", "c_custkey"))).unionByName(n.select(s("N_", "n_nationkey"))).unionByName(r.select(s("R_", "r_regionkey"))).distinct()
+    names = o.select(s("O_", "o_orderkey").alias("x")).unionByName(c.select(s("C_", "c_custkey").alias("x"))).unionByName(n.select(s("N_", "n_nationkey").alias("x"))).unionByName(r.select(s("R_", "r_regionkey").alias("x"))).distinct()
     status = F.when(F.col("x") == "N_3", "wrapped").otherwise("ok")
     info = names.where("x <> 'R_4'").select(F.lit("APP").alias("schema_name"), F.col("x").alias("object_name"), F.lit("PROCEDURE").alias("object_type"), status.alias("status"))
     roots = o.select(F.lit("APP").alias("schema_name"), s("O_", "o_orderkey").alias("object_name"), none.alias("subprogram")).distinct()
