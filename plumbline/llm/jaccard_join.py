@@ -11,11 +11,15 @@ documents differ by at most D over all m sets together. With m above the largest
 window has width 0 there. m leaves room for empty shares, which would part nothing. Documents with the same share of the same set form a region. Size bands are
 windows of the same kind around the empty set: a document near a border stands in both bands.
 
-Further levels. In a region, documents are the pivots: the few with the smallest hashes. Every document
-joins its nearest pivot's region and those of other pivots that the triangle inequality cannot rule out
-(d(x, q) <= d(x, p) + 2 * (1-t)). A document that links to its pivot is in that pivot's class. What is linked to
-one pivot need not be compared any more; regions where documents are left go on to the next level, until
-they are small, or their pivots no longer part them, and are compared whole, in blocks.
+Further levels work on a shadow of D. A document's marks are the parities of its shares of 2^k more pivot sets;
+the number of parities in which two documents differ (h) is a metric, and never above D. So pairs with h above
+what the threshold allows are no links, and texts, a hundred times as large, move only for the other pairs.
+A region's pivot is the node that meets most others; pairs with it come first. What is linked to one node need
+not be compared any more. Large regions where documents are left take documents as pivots: every document joins
+its nearest pivot's region and those of other pivots that the triangle inequality cannot rule out
+(h(x, q) <= h(x, p) + 2 * the largest D that x's size allows). Regions that are small, or that pivots no longer
+part, compare the marks of all their documents, in blocks. Each pair that marks leave over is compared by its
+whole sets.
 
 Equal sets are one document from the start, so groups of copies never meet in a region.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import discard, stash, table
 
 #: Documents in a region that is compared whole in one task; pivots of a larger one; levels before blocks.
 LEAF, PIVOTS, LEVELS = 64, 4, 2
@@ -62,12 +66,15 @@ class Threshold:
     """J >= num / den, in whole numbers."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.t = num, den, num / den
-        self.eps = 1 - self.t
+        self.num, self.den = num, den
 
     def links(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * both >= self.num * (a + b - both)
 
+    def may(self, h, a, b):
+        """Whether sets of a and b elements can link when they differ in h at least; of numbers, arrays or columns."""
+        return ((self.den + self.num) * h <= (self.den - self.num) * (a + b)) & (self.den * a >= self.num * b) & (self.den * b >= self.num * a)
+
     def most(self, size: int) -> int:
         """The largest symmetric difference of a set of this size and a linked one that is no smaller."""
         large = size * self.den // self.num
@@ -119,8 +126,29 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True)
 
 
+def marks_of(s: np.ndarray, threshold: Threshold) -> bytes:
+    """Parities of a set's shares of 2^k pivot sets: 16 at least for each element of the largest D, so that few of D's elements meet in one."""
+    bits = 256
+    while bits < 16 * threshold.most(len(s)):
+        bits *= 2
+    mixed = s * np.uint64(0xA0761D6478BD642F)
+    mixed ^= mixed >> np.uint64(29)
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(marks: np.ndarray, size: int) -> np.ndarray:
+    """The marks for fewer pivot sets, in bytes; each is the union of some of the former."""
+    return np.bitwise_xor.reduce(marks.reshape(-1, size), axis=0)
+
+
+def differing(x: bytes, y: bytes, size: int = 0) -> int:
+    size = size or min(len(x), len(y))
+    return int(np.bitwise_count(fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).sum())
+
+
 def _sets(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (doc, text): doc, size of the set, its node and its first-level regions."""
+    """For mapInArrow over (doc, text): doc, size of the set, its node, marks and first-level regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,7 +156,8 @@ def _sets(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]],
             keys = [region_keys(s, threshold) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), lists], names=["doc", "n", "node", "keys"])
+            marks = pa.array([marks_of(s, threshold) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), marks, lists], names=["doc", "n", "node", "marks", "keys"])
 
     return run
 
@@ -143,11 +172,18 @@ def _nodes(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def _distances(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (a, b, a_text, b_text): a, b, d and whether they link."""
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (region, a, b, a_marks, b_marks, size): region, a, b, h by marks of that size (0: the shorter one's)."""
+    for t in batches:
+        h = [differing(x.as_py(), y.as_py(), size.as_py()) for x, y, size in zip(t.column(3), t.column(4), t.column(5), strict=True)]
+        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(h, pa.int64())], names=["region", "a", "b", "h"])
+
+
+def _linked(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (a, b, a_text, b_text): the pairs a, b that link, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             both, sizes_a, sizes_b = [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -159,42 +195,28 @@ def _distances(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatc
                 sizes_a.append(len(last[1]))
                 sizes_b.append(len(s))
             i, a, b = (np.array(v, np.int64) for v in (both, sizes_a, sizes_b))
-            d = 1 - i / np.maximum(1, a + b - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(threshold.links(i, a, b))], names=["a", "b", "d", "link"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(threshold.links(i, a, b), pa.bool_()))
 
     return run
 
 
-def _leaf(n: int, threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
-    """For applyInArrow over a block pair's rows (side, doc, text): links between its documents."""
+def _leaf(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
+    """For applyInArrow over a block pair's rows (side, node, n, root, marks): pairs of its documents that may link and are not connected."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.select(["side", "doc", "text"])
-        rows = dict(zip(zip(t["side"].to_pylist(), t["doc"].to_pylist(), strict=True), t["text"].to_pylist(), strict=True))
-        left, right = sorted({d for s, d in rows if s != 1}), sorted({d for s, d in rows if s != 0})
-        sets = {d: shingles(x, n) for (_, d), x in rows.items()}
-        sizes_l, sizes_r = (np.array([len(sets[d]) for d in side], np.int64) for side in (left, right))
-        everything, of = np.unique(np.concatenate([sets[d] for d in left] + [np.zeros(0, np.uint64)]), return_inverse=True)
-        m = np.zeros((len(left), 0), np.float32)
-        both = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, len(everything), 4096):  # shingles in steps, so that memory stays small
-            hi = min(lo + 4096, len(everything))
-            m, r = np.zeros((len(left), hi - lo), np.float32), np.zeros((len(right), hi - lo), np.float32)
-            rows_of = np.repeat(np.arange(len(left)), sizes_l)
-            at = (of >= lo) & (of < hi)
-            m[rows_of[at], of[at] - lo] = 1
-            for x, d in enumerate(right):
-                s = sets[d]
-                s = s[(s >= everything[lo]) & (s <= everything[hi - 1])]
-                p = np.searchsorted(everything[lo:hi], s)
-                p = p[everything[lo:hi][np.minimum(p, hi - lo - 1)] == s]
-                r[x, p] = 1
-            both += m @ r.T
-        ok = threshold.links(both.astype(np.int64), sizes_l[:, None], sizes_r[None, :])
-        i, j = np.nonzero(ok)
-        la, ra = np.array(left, np.int64), np.array(right, np.int64)
-        keep = la[i] != ra[j]
-        return pa.table({"a": pa.array(la[i][keep], pa.int64()), "b": pa.array(ra[j][keep], pa.int64())})
+        side, node, n, root = (t[c].to_numpy() for c in ("side", "node", "n", "root"))
+        marks = [np.frombuffer(x, np.uint8) for x in t["marks"].to_pylist()]
+        size = min(map(len, marks))
+        m = np.stack([np.unpackbits(fold(x, size)) for x in marks]).astype(np.float32)
+        left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
+        ones = m.sum(axis=1)
+        h = (ones[left][:, None] + ones[right][None, :] - 2 * (m[left] @ m[right].T)).round().astype(np.int64)
+        a, b = n[left][:, None], n[right][None, :]
+        may = threshold.may(h, a, b) & (root[left][:, None] != root[right][None, :])
+        i, j = np.nonzero(may)
+        x, y = node[left[i]], node[right[j]]
+        keep = (side[left[i]] != side[right[j]]) | (x < y)
+        return pa.table({"a": pa.array(np.minimum(x, y)[keep], pa.int64()), "b": pa.array(np.maximum(x, y)[keep], pa.int64()), "h": pa.array(h[i, j][keep], pa.int64())})
 
     return run
 
@@ -232,51 +254,73 @@ def _open_regions(members: DataFrame, links_so_far: DataFrame) -> DataFrame:
     return stash(placed.join(one.select("region", "many"), "region"))
 
 
-def find_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: Threshold) -> DataFrame:
-    """Links (a, b) that connect all linked nodes. keyed: region, node; texts_of: node, text of the nodes that it is given.
+def find_links(keyed: DataFrame, marks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: Threshold) -> DataFrame:
+    """Links (a, b) that connect all linked nodes. keyed: region, node; marks: node, n, marks; texts_of: node, text of the nodes that it is given.
 
     Pairs that other links connect already may be left out.
     """
-    shared = keyed.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("region")
-    placed = stash(keyed.join(stash(shared), "region").distinct())
+    shared = stash(keyed.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("region"))
+    met = stash(keyed.join(shared, "region").distinct())
+    discard(shared)
     # a region's pivot is the node that meets most others in all its regions: the text that copies were made from
-    sizes = stash(placed.groupBy("region").count())
-    degree = stash(placed.join(sizes, "region").groupBy("node").agg(F.sum("count").alias("degree")))
-    pivots = stash(placed.join(degree, "node").groupBy("region").agg(F.max_by("node", "degree").alias("pivot")))
-    placed = stash(placed.join(pivots, "region"))
-    texts = stash(texts_of(placed.select("node").distinct()))
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """Distances of distinct pairs (a: pivot, b: node)."""
+    sizes = stash(met.groupBy("region").count())
+    degree = stash(met.join(sizes, "region").groupBy("node").agg(F.sum("count").alias("degree")))
+    pivots = stash(met.join(degree, "node").groupBy("region").agg(F.max_by("node", "degree").alias("pivot")))
+    pairs = stash(met.join(pivots, "region").where("node <> pivot").select(F.lit(0).cast("long").alias("region"), F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    some = stash(met.select("node").distinct())
+    marks = stash(marks.join(some, "node", "left_semi").dropDuplicates(["node"]))
+    texts = stash(texts_of(some))
+    discard(sizes, degree, pivots)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """h of pairs (region, a, b, and size where the marks are to be of one size), and whether they may link."""
+        x, y = (marks.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("marks").alias(f"{c}_marks")) for c in "ab")
+        size = F.col("size") if "size" in pairs.columns else F.lit(0)
+        full = pairs.join(x, "a").join(y, "b").select("region", "a", "b", "a_marks", "b_marks", size.cast("int").alias("size"))
+        h = full.mapInArrow(_apart, "region long, a long, b long, h long")
+        return h.join(x.drop("a_marks"), "a").join(y.drop("b_marks"), "b").withColumn("may", threshold.may(F.col("h"), F.col("a_n"), F.col("b_n"))).drop("a_n")
+
+    def settle(maybe: DataFrame, found: DataFrame | None) -> DataFrame:
+        """found and the links among pairs (a, b, h): first each node's nearest, then those that are not connected by then."""
+        first = stash(maybe.groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a")).select("a", "b"))
+        so_far = compared(first) if found is None else found.unionByName(compared(first))
+        roots = stash(components(so_far))
+        x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+        left = maybe.select("a", "b").join(x, "a", "left").join(y, "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+        rest = stash(left.distinct().join(first, ["a", "b"], "left_anti"))
+        return stash(so_far.unionByName(compared(rest)))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        if pairs.isEmpty():
+            return pairs
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         with_ab = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-        return stash(with_ab.mapInArrow(_distances(n, threshold), "a long, b long, d double, link boolean"))
+        return stash(with_ab.mapInArrow(_linked(n, threshold), "a long, b long"))
 
-    # regions of the first level are mostly copies with few edits: one pivot each
-    near = measured(placed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    found = near.where("link").select("a", "b")
-    members = _open_regions(placed.select("region", "node"), found)
+    found = settle(stash(apart(pairs).where("may").select("a", "b", "h")), None)
+    members = _open_regions(met, found)
+    discard(met, pairs)
     for level in range(LEVELS):
-        found = stash(found.unionByName(_compare(members.where(F.col("many") <= LEAF), texts, n, threshold)))
+        found = settle(_compare(members.where(F.col("many") <= LEAF), marks, threshold), found)
         members = members.where(F.col("many") > LEAF)
         if members.isEmpty():
             return found
         slot = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(PIVOTS))
         pivots = stash(members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot"))
-        with_pivot = stash(members.select("region", "node").join(pivots, "region"))
-        near = measured(with_pivot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-        found = stash(found.unionByName(near.where("link").select("a", "b")))
-        known = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "d")
-        placed = stash(with_pivot.join(known, ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))))
+        shortest = members.join(marks, "node").groupBy("region").agg(F.min(F.octet_length("marks")).alias("size"))
+        near = stash(apart(members.select("region", F.col("node").alias("b")).join(pivots.join(stash(shortest), "region").withColumnRenamed("pivot", "a"), "region")))
+        found = settle(stash(near.where("may and a <> b").select("a", "b", "h").distinct()), found)
         # Voronoi regions: the nearest pivot's, and those of others within the window
-        home = stash(placed.groupBy("region", "node").agg(F.min("d").alias("nearest")))
-        inside = placed.join(home, ["region", "node"]).where(F.col("d") <= F.col("nearest") + 2 * threshold.eps + 1e-9)
-        members = _open_regions(inside.select(F.xxhash64("region", "pivot", F.lit(level)).alias("region"), "node").distinct(), found)
-    return found.unionByName(_compare(members, texts, n, threshold))
+        home = stash(near.groupBy("region", "b").agg(F.min("h").alias("nearest")))
+        most = F.expr(f"(({threshold.den - threshold.num}) * (b_n + b_n * {threshold.den} div {threshold.num})) div {threshold.den + threshold.num}")
+        inside = near.join(home, ["region", "b"]).where(F.col("h") <= F.col("nearest") + 2 * most)
+        members = _open_regions(inside.select(F.xxhash64("region", "a", F.lit(level)).alias("region"), F.col("b").alias("node")).distinct(), found)
+    return settle(_compare(members, marks, threshold), found)
 
 
-def _compare(members: DataFrame, texts: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """Links within regions (region, node, root, many), each compared whole: LEAF documents a block, a task for a pair of blocks.
+def _compare(members: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (a, b, h) within regions (region, node, root, many) that may link, by the marks of all: LEAF documents a block, a task for a pair of blocks.
 
     Blocks follow components, and a pair of blocks within one component is connected already.
     """
@@ -286,8 +330,8 @@ def _compare(members: DataFrame, texts: DataFrame, n: int, threshold: Threshold)
     x, y = blocks.select("region", *(F.col(c).alias(f"x_{c}") for c in ("block", "r0", "r1"))), blocks.select("region", *(F.col(c).alias(f"y_{c}") for c in ("block", "r0", "r1")))
     pairs = x.join(y, "region").where("x_block <= y_block and not (x_r0 = x_r1 and y_r0 = y_r1 and x_r0 = y_r0)").select("region", F.col("x_block").alias("x"), F.col("y_block").alias("y"))
     sides = pairs.select("region", "x", "y", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).unionByName(pairs.where("x < y").select("region", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
-    full = rows.join(stash(sides), ["region", "block"]).join(texts, "node").select("region", "x", "y", "side", F.col("node").alias("doc"), "text")
-    return stash(full.groupBy("region", "x", "y").applyInArrow(_leaf(n, threshold), "a long, b long"))
+    full = rows.join(stash(sides), ["region", "block"]).join(marks, "node").select("region", "x", "y", "side", "node", "n", "root", "marks")
+    return stash(full.groupBy("region", "x", "y").applyInArrow(_leaf(threshold), "a long, b long, h long").groupBy("a", "b").agg(F.min("h").alias("h")))
 
 
 #: Stands for a null id inside; greater than any other.
@@ -306,9 +350,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     t = Threshold(num, den)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    made = stash(rows.mapInArrow(_sets(n, t), "doc long, n long, node long, keys array<long>"))
+    made = stash(rows.mapInArrow(_sets(n, t), "doc long, n long, node long, marks binary, keys array<long>"))
     nodes = stash(made.where("n > 0").groupBy("node").agg(F.min("doc").alias("least")))
-    keyed = made.where("n > 0").join(nodes, "node").where("doc = least").select(F.explode("keys").alias("region"), "node")
+    one = stash(made.join(nodes.select(F.col("least").alias("doc"), "node"), ["doc", "node"]).select("node", "n", "marks", "keys"))
+    sets = stash(made.select("doc", "n", "node"))
+    discard(made)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """A text for each wanted node, from its smallest id; an id with several texts is told apart by its node."""
@@ -316,12 +362,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         some = rows.join(ids.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
         return some.mapInArrow(_nodes(n), "node long, text string").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    roots = components(find_links(keyed, texts_of, n, t))
+    roots = components(find_links(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t))
     named = stash(roots.join(nodes, "node"))
     least = stash(named.groupBy("root").agg(F.min("least").alias("component")))
     linked = stash(named.select("node", "root").join(least, "root").select("node", "component"))
     alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    out = made.select("doc", "n", "node").join(stash(alone), "node", "left")
+    out = sets.join(stash(alone), "node", "left")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.withColumn("component", F.coalesce("component", "doc")).select(known("doc").alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
