@@ -50,6 +50,19 @@ def test_jaccard_matches_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(root))
 
 
+def test_marks_bound_the_distance():
+    rng, t = np.random.default_rng(5), jaccard_join.Threshold(80, 100)
+    for size in (1, 7, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        for change in (0, 1, size // 20, size):
+            b = np.unique(np.concatenate((a[change:], rng.integers(0, 1 << 62, 2 * change).astype(np.uint64))))
+            if not len(b):
+                continue
+            x, y = jaccard_join.marks_of(a, t), jaccard_join.marks_of(b, t)
+            assert jaccard_join.differing(x, y) <= len(np.setxor1d(a, b)) and (change or x == y)
+            assert jaccard_join.differing(x, y, 16) <= jaccard_join.differing(x, y)
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, packing.tokenizer_path()).collect()
     assert {r.doc_id for r in rows} == {*range(len(TEXTS)), None}
