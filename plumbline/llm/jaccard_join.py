@@ -230,22 +230,37 @@ def components(links: DataFrame) -> DataFrame:
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+        no_star = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if not no_star.agg(F.count("*")).first()[0]:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         # large star: neighbours above a node go to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: a node and its neighbours below go to the smallest of them
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u")
         edges = stash(moved.select("u", F.col("m").alias("v")).unionByName(moved.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
 
 
-def _open_regions(members: DataFrame, links_so_far: DataFrame) -> DataFrame:
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) with the components that links (a, b) connect joined into one; nodes without links are in no row.
+
+    Only components are joined anew: the links between them, not those within, make the graph that components() works on.
+    """
+    x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    ends = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    between = stash(ends.where("a <> b").distinct())
+    if between.isEmpty():
+        return roots
+    over = stash(components(between))
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stash(moved.unionByName(over.join(roots.select("node"), "node", "left_anti")))
+
+
+def _open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (region, node) of regions that links do not connect yet, with each node's component."""
-    roots = components(links_so_far)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stash(placed.select("region", "node", "root"))
     parted = stash(placed.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("r0 < r1"))
@@ -254,8 +269,8 @@ def _open_regions(members: DataFrame, links_so_far: DataFrame) -> DataFrame:
     return stash(placed.join(one.select("region", "many"), "region"))
 
 
-def find_links(keyed: DataFrame, marks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: Threshold) -> DataFrame:
-    """Links (a, b) that connect all linked nodes. keyed: region, node; marks: node, n, marks; texts_of: node, text of the nodes that it is given.
+def connect(keyed: DataFrame, marks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: Threshold) -> DataFrame:
+    """node, root of all linked nodes. keyed: region, node; marks: node, n, marks; texts_of: node, text of the nodes that it is given.
 
     Pairs that other links connect already may be left out.
     """
@@ -280,27 +295,29 @@ def find_links(keyed: DataFrame, marks: DataFrame, texts_of: Callable[[DataFrame
         h = full.mapInArrow(_apart, "region long, a long, b long, h long")
         return h.join(x.drop("a_marks"), "a").join(y.drop("b_marks"), "b").withColumn("may", threshold.may(F.col("h"), F.col("a_n"), F.col("b_n"))).drop("a_n")
 
-    def settle(maybe: DataFrame, found: DataFrame | None) -> DataFrame:
-        """found and the links among pairs (a, b, h): first each node's nearest, then those that are not connected by then."""
+    def settle(maybe: DataFrame, roots: DataFrame) -> DataFrame:
+        """roots with the links among pairs (a, b, h): first each node's nearest, then those that are not connected by then."""
         first = stash(maybe.groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a")).select("a", "b"))
-        so_far = compared(first) if found is None else found.unionByName(compared(first))
-        roots = stash(components(so_far))
+        if first.isEmpty():
+            return roots
+        roots = joined(roots, compared(first))
         x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
         left = maybe.select("a", "b").join(x, "a", "left").join(y, "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
         rest = stash(left.distinct().join(first, ["a", "b"], "left_anti"))
-        return stash(so_far.unionByName(compared(rest)))
+        return roots if rest.isEmpty() else joined(roots, compared(rest))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        if pairs.isEmpty():
-            return pairs
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         with_ab = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
         return stash(with_ab.mapInArrow(_linked(n, threshold), "a long, b long"))
 
-    found = settle(stash(apart(pairs).where("may").select("a", "b", "h")), None)
+    none = stash(marks.sparkSession.createDataFrame([], "node long, root long"))
+    found = settle(stash(apart(pairs).where("may").select("a", "b", "h")), none)
     members = _open_regions(met, found)
     discard(met, pairs)
+    if members.isEmpty():
+        return found
     for level in range(LEVELS):
         found = settle(_compare(members.where(F.col("many") <= LEAF), marks, threshold), found)
         members = members.where(F.col("many") > LEAF)
@@ -362,7 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         some = rows.join(ids.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
         return some.mapInArrow(_nodes(n), "node long, text string").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    roots = components(find_links(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t))
+    roots = connect(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t)
     named = stash(roots.join(nodes, "node"))
     least = stash(named.groupBy("root").agg(F.min("least").alias("component")))
     linked = stash(named.select("node", "root").join(least, "root").select("node", "component"))
