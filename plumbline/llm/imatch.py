@@ -1,27 +1,32 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency lies in a band, counted over all documents.
-Each of several random subsets of it gives one hash of a text: of the text's distinct terms in the subset, sorted.
+Each of several random subsets of it gives one hash of a text: of the text's distinct terms in the subset.
 Two texts are as alike as the share of subsets in which their hashes agree; a subset that neither text has a
-term of does not count. A term's subset follows from a hash of the term, so only terms of some subset are
-counted, shuffled and looked up, by their hashes.
+term of does not count. Subsets are of several densities, so that short and long texts each have some that hold
+a few of their terms. A term's subsets follow from a hash of the term. The densest subsets together hold every
+term, so all terms of all texts are counted and looked up; lists of terms are not stored for single texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import discard, stash, table
 
-#: Random lexicon subsets, and one in how many terms each holds.
-SUBSETS, ONE_IN = 12, 128
+#: Random lexicon subsets of each density.
+SUBSETS = 16
+
+#: Densities: a subset holds one in 2^bits terms, by that many bits of a term's hash from the shift on.
+DENSITIES = ((0, 4), (4, 7), (11, 10))
 
 #: The band: a term stands in at least this many documents, and in at most this share of them.
 LEAST, MOST = 2, 0.2
@@ -29,19 +34,35 @@ LEAST, MOST = 2, 0.2
 #: Bytes of text that a range of ids holds, about.
 RANGE = 8 << 20
 
-#: Rows that meet their terms of the lexicon in one task.
-ROWS = 4000
+#: Terms of a range that a task counts before it passes them on.
+HELD = 2_000_000
+
+
+def words_of(text: str) -> set[bytes]:
+    return set(text.encode().lower().split())
 
 
-def subset_terms(text: str) -> np.ndarray:
-    """Hashes (signed, sorted, distinct) of a text's terms that lie in some subset; the low bits tell which."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in set(text.encode().lower().split())], np.uint64)
-    return np.sort(h[(h % np.uint64(ONE_IN)) < SUBSETS].view(np.int64))
+def hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
-def all_terms(text: str) -> str:
+def all_terms(words: set[bytes]) -> str:
     """A hash of all distinct terms, sorted."""
-    return xxhash.xxh64_hexdigest(b" ".join(sorted(set(text.encode().lower().split()))))
+    return xxhash.xxh64_hexdigest(b" ".join(sorted(words)))
+
+
+def subset_hashes(terms: np.ndarray) -> np.ndarray:
+    """For each subset the hash of its terms among these (distinct) ones, whatever their order; 0 without any."""
+    out = np.zeros((len(DENSITIES), SUBSETS), np.uint64)
+    mixed = (terms ^ (terms >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    for level, (shift, bits) in enumerate(DENSITIES):
+        subset = (terms >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        inside = subset < SUBSETS
+        np.add.at(out[level], subset[inside].astype(np.int64), mixed[inside])
+    return out.ravel()
 
 
 def edited(text: str, after: str) -> str:
@@ -50,31 +71,111 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-_PAIRED = "doc_id long, n_chars long, edited_sha256 string, terms array<long>, edited_terms array<long>, next_terms array<long>, rest string, edited_rest string, next_rest string"
+def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
+    """0 to 1, of fingerprints (hash of all terms, subset hashes): 1 for equal ones; else the share of subsets with equal hashes among those that either text has terms of."""
+    used = (a[1] != 0) | (b[1] != 0)
+    same = a[1] == b[1]
+    if a[0] == b[0] and same.all():
+        return 1.0
+    return float((used & same).sum() / used.sum()) if used.any() else 0.0
+
+
+def printed(fingerprint: tuple[str, np.ndarray]) -> str:
+    """A fingerprint as text: the hash of all terms, then for each subset the hash of its terms in the lexicon, or `-`."""
+    return ".".join([fingerprint[0], *(f"{x:016X}" if x else "-" for x in fingerprint[1].tolist())])
+
+
+#: Kinds of rows, in the order in which a range's rows come.
+KNOWN, OWN, LENT = 0, 1, 2
+
+_MET = "part int, term long, n long"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (part, lent, doc_id, text), sorted within part: each row with what follows from the next one's text.
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (part, kind, doc_id, text, terms), sorted within part: the terms that a part's fingerprints ask for, and how many of its own texts hold each.
 
-    lent rows belong to the next part (to the last part: to the first) and only end this one.
+    A part with very many terms gives some of them more than once.
     """
-    held: tuple[int, bool, int | None, str] | None = None
+    held: tuple[int, int, str, set[bytes]] | None = None
+    own: list[np.ndarray] = []
+    more: list[np.ndarray] = []
+    size = 0
+
+    def passed(part: int) -> pa.RecordBatch:
+        nonlocal size
+        none = [np.zeros(0, np.uint64)]
+        terms, n = np.unique(np.concatenate(own or none), return_counts=True)
+        rest = np.setdiff1d(np.concatenate(more or none), terms)
+        own.clear()
+        more.clear()
+        size = 0
+        both = np.concatenate((terms, rest)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), part, np.int32)), pa.array(both), pa.array(np.concatenate((n, np.zeros(len(rest), np.int64))), pa.int64())], names=["part", "term", "n"])
+
     for b in batches:
-        out: list[tuple] = []
+        for part, kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+            if held is not None and (held[0] != part or size > HELD):
+                yield passed(held[0])
+            if kind == LENT and (held is None or held[0] != part or held[1] == LENT):
+                held = (part, kind, "", set())
+                continue
+            t = text.as_py() or ""
+            words = words_of(t)
+            (own if kind == OWN else more).append(hashes(words))
+            size += len(words)
+            if held is not None and held[0] == part:
+                # words that the edit cuts or joins
+                more.append(hashes(words_of(edited(held[2], t)) - held[3] - words))
+            held = (part, kind, t, words)
+    if held is not None:
+        yield passed(held[0])
+
+
+_PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (part, kind, doc_id, text, terms), sorted within part: each own row with what follows from its text and the next one's.
+
+    A part's terms of the lexicon come first. Lent rows belong to the next part (to the last part: to the first) and only end this one.
+    """
+    held: tuple[int, int, int | None, str, dict[bytes, int], tuple[str, np.ndarray]] | None = None
+    lists: list[np.ndarray] = []
+    known, known_of = np.zeros(0, np.uint64), None
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-        def emit(row: tuple, after: str, out: list = out) -> None:
-            text = row[3]
-            e = edited(text, after)
-            out.append((row[2], len(text), hashlib.sha256(e.encode()).hexdigest(), subset_terms(text), subset_terms(e), subset_terms(after), all_terms(text), all_terms(e), all_terms(after)))
+    def fingerprint(words: set[bytes], terms: np.ndarray) -> tuple[str, np.ndarray]:
+        if not len(known):
+            return all_terms(words), subset_hashes(terms[:0])
+        at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        return all_terms(words), subset_hashes(terms[known[at] == terms])
 
-        for part, lent, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            row = (part, lent, doc, text.as_py() or "")
-            if held is not None and not held[1] and held[0] == part:
-                emit(held, row[3])
-            held = row
-        cols = list(zip(*out, strict=True)) if out else [()] * 9
-        types = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3, *[pa.string()] * 3]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _PAIRED.split(", ")])
+    for b in batches:
+        out: list[tuple] = []
+        for part, kind, doc, text, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+            if part != known_of:
+                known_of, lists, held, known = part, [], None, np.zeros(0, np.uint64)
+            if kind == KNOWN:
+                lists.append(terms.values.to_numpy().view(np.uint64))
+                continue
+            if lists:
+                known, lists = np.sort(np.concatenate(lists)), []
+            if kind == LENT and (held is None or held[1] == LENT):
+                continue
+            t = text.as_py() or ""
+            words = words_of(t)
+            h = hashes(words)
+            own = fingerprint(words, h)
+            by = dict(zip(words, h.tolist(), strict=True))
+            if held is not None:
+                e = edited(held[3], t)
+                e_words = words_of(e)
+                e_terms = np.array([held[4].get(w) or by.get(w) or xxhash.xxh64_intdigest(w) for w in e_words], np.uint64)
+                changed = fingerprint(e_words, e_terms)
+                out.append((held[2], len(held[3]), hashlib.sha256(e.encode()).hexdigest(), printed(held[5]), printed(changed), likeness(held[5], changed), likeness(held[5], own)))
+            held = (part, kind, doc, t, by, own)
+        cols = list(zip(*out, strict=True)) if out else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=[f.split()[0] for f in _PRINTS.split(", ")])
 
 
 def _range(cuts: list[int]) -> Column:
@@ -85,8 +186,8 @@ def _range(cuts: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(array, lambda c: c <= F.col("doc_id"))), F.lit(0))
 
 
-def paired(docs: DataFrame) -> DataFrame:
-    """Every row with what its own, its edited and the next document's text give; next by ascending doc_id, then text; after the last, the first.
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (part, kind, doc_id, text, terms) of ranges of ids, and the number of documents; next is by ascending doc_id, then text; after the last, the first.
 
     Ranges of ids hold about RANGE bytes each. The first row of a range also ends the range before it: its id
     is found from ids alone, and the row is lent to that range, so neighbours meet without a global sort of texts.
@@ -97,8 +198,10 @@ def paired(docs: DataFrame) -> DataFrame:
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [x / many for x in range(1, many)], 0.1 / many)}) if many > 1 else []  # a number for each range
     parts = rows.withColumn("part", _range(cuts))
     firsts = sorted((r["part"], r["first"]) for r in parts.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect())  # a row for each range
+    none = F.lit(None).cast("array<long>").alias("terms")
+    own = parts.select("part", F.lit(OWN).alias("kind"), "doc_id", "text", none)
     if not firsts:
-        return docs.sparkSession.createDataFrame([], _PAIRED)
+        return own, 0
     # the rows of a range's first id, lent to the range before; those of the very first to the last
     order = [p for p, _ in firsts]
     lend = [(f["doc_id"], order[x - 1]) for x, (_, f) in enumerate(firsts)]
@@ -109,30 +212,12 @@ def paired(docs: DataFrame) -> DataFrame:
     target = F.element_at(F.create_map(*[x for d, p in known.items() for x in (F.lit(d).cast("long"), F.lit(p))]), F.col("doc_id")) if known else F.lit(None).cast("int")
     if None in ids:
         target = F.when(F.col("doc_id").isNull(), F.lit(ids[None])).otherwise(target)
-    own = parts.select("part", F.lit(False).alias("lent"), "doc_id", "text")
-    lent = rows.withColumn("part", target).where("part is not null").select("part", F.lit(True).alias("lent"), "doc_id", "text")
-    dealt = own.unionByName(lent).repartition(F.col("part")).sortWithinPartitions("part", "lent", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_pairs, _PAIRED)
+    lent = rows.withColumn("part", target).where("part is not null").select("part", F.lit(LENT).alias("kind"), "doc_id", "text", none)
+    return own.unionByName(lent), int(n)
 
 
-def _fingerprints(lists: str, rest: str) -> Column:
-    """A text's fingerprint: the hash of all terms, then for each subset the hash of its terms in the lexicon, or `-`."""
-
-    def of_subset(s: int) -> Column:
-        x = F.filter(F.col(lists), lambda t: F.pmod(t, F.lit(ONE_IN)) == s)
-        return F.when(F.size(x) > 0, F.hex(F.xxhash64(x))).otherwise("-")
-
-    one = [of_subset(s) for s in range(SUBSETS)]
-    return F.concat_ws(".", F.col(rest), *one)
-
-
-def likeness(a: str, b: str) -> Column:
-    """0 to 1: 1 for equal fingerprints; else the share of subsets with equal hashes among those that either text has terms of."""
-    x, y = F.slice(F.split(a, r"\."), 2, SUBSETS), F.slice(F.split(b, r"\."), 2, SUBSETS)
-    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
-    used = F.filter(pairs, lambda p: (p["x"] != "-") | (p["y"] != "-"))
-    same = F.size(F.filter(used, lambda p: p["x"] == p["y"]))
-    return F.when(F.col(a) == F.col(b), 1.0).when(F.size(used) == 0, 0.0).otherwise(same / F.size(used))
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("part")).sortWithinPartitions("part", "kind", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def imatch(docs: DataFrame) -> DataFrame:
@@ -140,32 +225,20 @@ def imatch(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. A null text is empty. Rows of one id follow by text; null ids come first. One row alone is its own
-    next. A text without terms in any subset has only the hash of all its terms. No rows: no result.
+    next. A text without terms in the lexicon has only the hash of all its terms. No rows: no result.
+
+    Texts move twice, in ranges of ids: for their terms, and, with the range's terms of the lexicon, for their fingerprints.
     """
-    kept = stash(paired(docs).withColumn("row", F.monotonically_increasing_id()))
-    n = kept.count()
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(64, n // ROWS))).cast("long"))
-    terms = kept.select(F.explode("terms").alias("term")).groupBy("term").count()
-    lexicon = stash(terms.where((F.col("count") >= LEAST) & (F.col("count") <= max(LEAST, MOST * n))).select("term"))
-    # blocks of rows meet the lexicon by their distinct terms
-    asked = stash(kept.select("block", F.explode(F.array_distinct(F.concat("terms", "edited_terms", "next_terms"))).alias("term")).distinct().join(lexicon, "term").select("block", "term"))
-    names = ["terms", "edited_terms", "next_terms"]
-
-    def look_up(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
-        known = np.sort(found["term"].to_numpy())
-        for name in names:
-            lists = rows[name].combine_chunks()
-            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            at = np.searchsorted(known, flat)
-            has = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(of[has], minlength=len(sizes)))))
-            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[has])))
-        return rows
-
-    looked = kept.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(look_up, kept.schema)
-    prints = looked.select("doc_id", "n_chars", "edited_sha256", _fingerprints("terms", "rest").alias("fingerprint"), _fingerprints("edited_terms", "edited_rest").alias("edited_fingerprint"), _fingerprints("next_terms", "next_rest").alias("next"))
-    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next").alias("near_next"))
+    rows, n = dealt(docs)
+    if not n:
+        return docs.sparkSession.createDataFrame([], _PRINTS)
+    met = stash(_in_order(rows).mapInArrow(_met, _MET))
+    # a term's documents are summed over the parts that hold it: one shuffle gives both the lexicon and who asks for it
+    everywhere = met.withColumn("all", F.sum("n").over(W.partitionBy("term"))).where((F.col("all") >= LEAST) & (F.col("all") <= max(LEAST, MOST * n)))
+    asked = stash(everywhere.groupBy("part", F.pmod("term", F.lit(16)).alias("list")).agg(F.collect_set("term").alias("terms")).select("part", "terms"))
+    discard(met)
+    known = asked.select("part", F.lit(KNOWN).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "terms")
+    return _in_order(rows.unionByName(known)).mapInArrow(_prints, _PRINTS)
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,46 @@ def test_imatch(spark, docs):
     assert len(rows) == docs.count()
     assert rows and len({r.fingerprint for r in rows if r.doc_id in (0, 1)}) == 1 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert imatch.imatch(docs.limit(0)).count() == 0
+
+
+def test_imatch_tells_edited_texts_of_all_lengths(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{x}" for x in range(6000)]
+    sizes = [24] * 40 + [300] * 40 + [2500] * 40
+    texts = [" ".join(rng.choice(vocabulary, s)) for s in sizes]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in imatch.imatch(df).collect()}
+    for size in (24, 300, 2500):
+        mine = [found[n] for n, s in enumerate(sizes[:-1]) if s == size == sizes[n + 1]]
+        assert sum(r.near_edited > 0 for r in mine) > 0.8 * len(mine), size
+        assert sum(r.near_edited > r.near_next for r in mine) > 0.8 * len(mine), size
+
+
+def test_imatch_matches_one_pass(spark, docs, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice([f"w{x}" for x in range(300)], int(s))) for s in rng.integers(0, 60, 80)]
+    rows = [(None if n % 9 == 0 else n // 2, t) for n, t in enumerate(texts)] + [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(imatch, "RANGE", 2000)
+    found = imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted([(d is not None, d or 0, t or "") for d, t in rows])
+    lists = [imatch.words_of(t) for *_, t in order]
+    count = Counter(w for words in lists for w in words)
+    lexicon = {w for w, c in count.items() if 2 <= c <= max(2, 0.2 * len(rows))}
+
+    def prints(words):
+        out = []
+        for shift, bits in ((0, 4), (4, 7), (11, 10)):
+            for s in range(16):
+                out.append(frozenset(w for w in words & lexicon if int(imatch.hashes([w])[0]) >> shift & (1 << bits) - 1 == s))
+        return frozenset(words), out
+
+    def like(a, b):
+        used = sum(bool(x or y) for x, y in zip(a[1], b[1], strict=True))
+        return 1.0 if a == b else sum(bool(x) and x == y for x, y in zip(a[1], b[1], strict=True)) / used if used else 0.0
+
+    want = []
+    for k, (known, d, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
+        own, e, nxt = (prints(imatch.words_of(x)) for x in (t, imatch.edited(t, after), after))
+        want.append((d if known else None, len(t), round(like(own, e), 9), round(like(own, nxt), 9)))
+    assert Counter(want) == Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
