@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every element subtree of a page is hashed (name, markup and words of all that it holds). Spark counts, for
-each host, on how many pages a hash stands. Subtrees outside a page's article that recur on several pages of
-its host are template and go, as do elements whose name, role or class says that they are a menu, header,
+each host, on how many different pages a hash stands. Subtrees outside a page's article that recur on a share of
+its host's different pages are template and go, unless nothing would be left of the page's text, as do elements whose name, role or class says that they are a menu, header,
 footer, sidebar, notice, advert, form or comment. What recurs inside an article is kept: sites quote and
 repeat passages, and those are text. What is left of the page's article is its text.
 """
@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import discard, stash, table
 from plumbline.llm.url_rules import host_and_path
 
-#: Pages of a host on which a subtree stands to be template.
-RECURS = 3
+#: A subtree is template if it stands on at least this many different pages of its host, and on this share of them.
+RECURS, SHARE = 3, 0.2
 
 #: Elements without content, elements of running text, and those whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,10 +179,17 @@ def subtrees(page: str | None) -> tuple[list[int], bool]:
 
 
 def main_text(page: str | None, template: set[int]) -> str:
-    """What is left without template and marked elements, within the article if the page has one. Blocks are joined by one space."""
+    """What is left without template and marked elements, within the article if the page has one. Blocks are joined by one space.
+
+    A page of which nothing would be left keeps its template.
+    """
     root = parse(page or "")
     digest(root)
     core = article(root)
+    return _left(root, core, template) or (_left(root, core, set()) if template else "")
+
+
+def _left(root: Node, core: Node | None, template: set[int]) -> str:
     parts: list[str] = []
     todo: list[Node | str] = [core or root]
     while todo:
@@ -202,13 +209,15 @@ def main_text(page: str | None, template: set[int]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def extract(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
+def extract(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
     """Each page's main text: page_id, url, text, n_chars (code points).
 
     pages: page_id, url, html. A null html is empty and gives the empty text; a null url has an empty host,
-    which is a host like others. Repeated pages stay, and each counts as a page of its host. Character
-    references are decoded, white space becomes one space. A host's pages never meet in one task: hashes are
-    counted by (host, hash) with partial sums, and a page's template hashes come back by a join.
+    which is a host like others. Repeated pages stay, but equal html counts once on a host: a subtree is template
+    there if it stands on at least recurs different pages and on that share of them. Character references are
+    decoded, white space becomes one space. A host's pages never meet in one task: hashes are counted by
+    (host, hash) with partial sums. A host has few template hashes, at most what 1 / share pages hold, or
+    recurs / share on small hosts; they meet the pages' hashes, not the pages.
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
@@ -219,10 +228,14 @@ def extract(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
             found = [subtrees(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.bool_())], names=["host", "page", "hashes", "article"])
 
-    each = stash(rows.select("host", "page", "html").mapInArrow(hashes, "host string, page long, hashes array<long>, article boolean")).select("host", "page", "article", F.explode("hashes").alias("hash"))
-    template = stash(each.groupBy("host", "hash").count().where(F.col("count") >= recurs).select("host", "hash"))
+    each = stash(rows.select("host", "page", "html").mapInArrow(hashes, "host string, page long, hashes array<long>, article boolean"))
+    different = stash(each.dropDuplicates(["page"]))
+    discard(each)
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
+    often = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count().where(F.col("count") >= recurs)
+    template = stash(often.join(sizes, "host").where(F.col("count") / F.col("pages") >= share).groupBy("host").agg(F.collect_list("hash").alias("template")))
     # outside an article nothing is kept anyway: only pages without one look their hashes up
-    mine = stash(each.where("not article").select("host", "page", "hash").distinct().join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template")))
+    mine = stash(different.where("not article").join(template, "host").select("page", F.array_intersect("hashes", "template").alias("template")).where("size(template) > 0"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -219,3 +219,14 @@ def test_imatch_matches_one_pass(spark, docs, monkeypatch):
         own, e, nxt = (prints(imatch.words_of(x)) for x in (t, imatch.edited(t, after), after))
         want.append((d if known else None, len(t), round(like(own, e), 9), round(like(own, nxt), 9)))
     assert Counter(want) == Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
+
+
+def test_html_template_is_a_share_of_different_pages(spark):
+    copy = "<html><body><div><p>The only text of a copied page.</p></div></body></html>"
+    rows = [(n, f"http://a/{n}", copy) for n in range(5)]
+    rows += [(10 + n, f"http://b/{n}", f"<body><div>menu of b</div><p>own words {n}</p>{'<p>quoted passage</p>' if n < 3 else ''}</body>") for n in range(40)]
+    rows += [(60 + n, f"http://c/{n}", f"<html><head><title>{n}</title></head><body><div>same on all</div></body></html>") for n in range(4)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[n] == "The only text of a copied page." for n in range(5))
+    assert all(found[10 + n] == f"own words {n}" + (" quoted passage" if n < 3 else "") for n in range(40))
+    assert all(found[60 + n] == "same on all" for n in range(4))
