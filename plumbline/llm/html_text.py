@@ -3,15 +3,16 @@
 Every element subtree of a page is hashed (name, markup and words of all that it holds). Spark counts, for
 each host, on how many different pages a hash stands. Subtrees outside a page's article that recur on a share of
 its host's different pages are template and go, unless nothing would be left of the page's text, as do elements whose name, role or class says that they are a menu, header,
-footer, sidebar, notice, advert, form or comment. What recurs inside an article is kept: sites quote and
-repeat passages, and those are text. What is left of the page's article is its text.
+footer, sidebar, notice, advert, form or comment. Inside an article the share is larger, as sites quote and repeat
+passages, and those are text; running text, list items and table cells go only with the block that holds them.
+What is left of the page's article is its text. A class or id never removes html, body or what holds the article.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -23,6 +24,8 @@ from plumbline.llm.url_rules import host_and_path
 
 #: A subtree is template if it stands on at least this many different pages of its host, and on this share of them.
 RECURS, SHARE = 3, 0.2
+#: The same inside an article.
+INSIDE_RECURS, INSIDE_SHARE = 5, 0.5
 
 #: Elements without content, elements of running text, and those whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +45,11 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside complementary contentinfo "
     "cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related comment comments disqus reply replies respond form search widget toolbar pagination skip masthead".split()
 )
+#: A mark after one of these in a class or id tells about something else, as in `no-sidebar` or `page-with-header`.
+ABOUT = frozenset("no non not without with has have hide show".split())
 ARTICLE = frozenset(["article", "main"])
+#: Elements that are no template by themselves inside an article.
+PARTS = INLINE | frozenset("li dt dd td th tr tbody thead tfoot caption br".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -109,8 +116,18 @@ def parse(page: str) -> Node:
     return root
 
 
-def marked(node: Node) -> bool:
-    """Whether name or markup says that this is no part of an article."""
+def _marks(value: str) -> bool:
+    """Whether a word of a class, id or role marks its element."""
+    for token in value.split():
+        words = _WORD.findall(token)
+        first = next((n for n, w in enumerate(words) if w in MARKS), None)
+        if first is not None and ABOUT.isdisjoint(words[:first]):
+            return True
+    return False
+
+
+def hidden(node: Node) -> bool:
+    """Whether name, role or a hidden attribute says that this is no part of an article."""
     if node.name in DROPPED:
         return True
     if not node.attrs:
@@ -121,11 +138,23 @@ def marked(node: Node) -> bool:
             return True
         if kind == "aria-hidden" and value == "true":
             return True
-        if kind in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value)):
+        if kind == "role" and _marks(value):
             return True
     return False
 
 
+def classed(node: Node) -> bool:
+    """Whether a class or id says so; on html and body it says nothing."""
+    if not node.attrs or node.name in ("html", "body"):
+        return False
+    return any(m[1].lower() in ("class", "id") and _marks((m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(node.attrs))
+
+
+def marked(node: Node) -> bool:
+    """Whether name or markup says that this is no part of an article."""
+    return hidden(node) or classed(node)
+
+
 def _walk(node: Node) -> Iterator[Node]:
     """All elements, children before parents; without recursion, as pages may nest deeply."""
     todo, out = [node], []
@@ -147,49 +176,58 @@ def digest(root: Node) -> None:
 
 
 def article(root: Node) -> Node | None:
-    """The page's article: the one with the most text of its article elements, else its main element; None without."""
-    found: list[tuple[int, int, Node]] = []
-    todo = [(root, False)]
+    """The page's article: the one with the most text of its article elements, else its main element; None without.
+
+    Classes and ids do not rule one out; among articles (or mains) those under the fewest marked elements come first.
+    """
+    found: list[tuple[bool, int, int, Node]] = []
+    todo = [(root, False, 0)]
     while todo:
-        x, inside = todo.pop()
-        if x is not root and marked(x):
+        x, inside, marks = todo.pop()
+        if x is not root and hidden(x):
             continue
+        marks += classed(x)
         is_one = x.name in ARTICLE or re.search(r"role\s*=\s*[\"']?(main|article)\b", x.attrs) is not None
         if is_one and not (inside and x.name != "article"):
-            found.append((x.name == "article", sum(len(y) for z in _walk(x) for y in z.items if isinstance(y, str)), x))
-        todo += [(y, inside or is_one) for y in x.items if isinstance(y, Node)]
-    return max(found, key=lambda f: (f[0], f[1]))[2] if found else None
+            found.append((x.name == "article", -marks, sum(len(y) for z in _walk(x) for y in z.items if isinstance(y, str)), x))
+        todo += [(y, inside or is_one, marks) for y in x.items if isinstance(y, Node)]
+    return max(found, key=lambda f: f[:3])[3] if found else None
 
 
-def subtrees(page: str | None) -> tuple[list[int], bool]:
-    """Distinct hashes (signed) of the elements that may be template: all outside the article; and whether there is one."""
+def subtrees(page: str | None) -> tuple[list[int], list[int], bool]:
+    """Distinct hashes (signed) of the elements that may be template: outside the article, inside it; and whether there is one."""
     root = parse(page or "")
     digest(root)
     core = article(root)
     out: set[int] = set()
-    todo = [root]
+    within: set[int] = set()
+    todo = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if x is core:
-            continue
-        if x is not root and x.name not in ("html", "body"):
+            inside = True
+        elif inside:
+            if x.name not in PARTS:
+                within.add(x.digest)
+        elif x is not root and x.name not in ("html", "body"):
             out.add(x.digest)
-        todo += [y for y in x.items if isinstance(y, Node)]
-    return [x - (1 << 64) if x >> 63 else x for x in out], core is not None
+        todo += [(y, inside) for y in x.items if isinstance(y, Node)]
+    signed = lambda found: [x - (1 << 64) if x >> 63 else x for x in found]
+    return signed(out), signed(within), core is not None
 
 
 def main_text(page: str | None, template: set[int]) -> str:
     """What is left without template and marked elements, within the article if the page has one. Blocks are joined by one space.
 
-    A page of which nothing would be left keeps its template.
+    A page of which nothing would be left keeps its template; if it is still empty, what only classes and ids mark.
     """
     root = parse(page or "")
     digest(root)
     core = article(root)
-    return _left(root, core, template) or (_left(root, core, set()) if template else "")
+    return _left(root, core, template, marked) or (_left(root, core, set(), marked) if template else "") or _left(root, core, set(), hidden)
 
 
-def _left(root: Node, core: Node | None, template: set[int]) -> str:
+def _left(root: Node, core: Node | None, template: set[int], gone: Callable[[Node], bool]) -> str:
     parts: list[str] = []
     todo: list[Node | str] = [core or root]
     while todo:
@@ -198,7 +236,7 @@ def _left(root: Node, core: Node | None, template: set[int]) -> str:
             parts.append(x)
             continue
         signed = x.digest - (1 << 64) if x.digest >> 63 else x.digest
-        if x is not core and x is not root and (marked(x) or (core is None and signed in template)):
+        if x is not core and x is not root and (gone(x) or (signed in template and (core is None or x.name not in PARTS))):
             parts.append(" " if x.name not in INLINE else "")
             continue
         gap = x.name not in INLINE
@@ -214,7 +252,8 @@ def extract(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> Dat
 
     pages: page_id, url, html. A null html is empty and gives the empty text; a null url has an empty host,
     which is a host like others. Repeated pages stay, but equal html counts once on a host: a subtree is template
-    there if it stands on at least recurs different pages and on that share of them. Character references are
+    there if it stands on at least recurs different pages and on that share of them; inside an article,
+    INSIDE_RECURS and INSIDE_SHARE hold, for the pages where it stands inside one. Character references are
     decoded, white space becomes one space. A host's pages never meet in one task: hashes are counted by
     (host, hash) with partial sums. A host has few template hashes, at most what 1 / share pages hold, or
     recurs / share on small hosts; they meet the pages' hashes, not the pages.
@@ -226,16 +265,24 @@ def extract(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> Dat
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [subtrees(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.bool_())], names=["host", "page", "hashes", "article"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _, _ in found], pa.list_(pa.int64())), pa.array([x for _, x, _ in found], pa.list_(pa.int64())), pa.array([x for *_, x in found], pa.bool_())], names=["host", "page", "hashes", "within", "article"])
 
-    each = stash(rows.select("host", "page", "html").mapInArrow(hashes, "host string, page long, hashes array<long>, article boolean"))
+    each = stash(rows.select("host", "page", "html").mapInArrow(hashes, "host string, page long, hashes array<long>, within array<long>, article boolean"))
     different = stash(each.dropDuplicates(["page"]))
     discard(each)
     sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
-    often = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").count().where(F.col("count") >= recurs)
-    template = stash(often.join(sizes, "host").where(F.col("count") / F.col("pages") >= share).groupBy("host").agg(F.collect_list("hash").alias("template")))
-    # outside an article nothing is kept anyway: only pages without one look their hashes up
-    mine = stash(different.where("not article").join(template, "host").select("page", F.array_intersect("hashes", "template").alias("template")).where("size(template) > 0"))
+
+    def recurring(name: str, least: int, part: float) -> DataFrame:
+        """host, template: hashes of that list that stand on so many different pages of the host, and on that share of them."""
+        often = different.select("host", F.explode(name).alias("hash")).groupBy("host", "hash").count().where(F.col("count") >= least)
+        return stash(often.join(sizes, "host").where(F.col("count") / F.col("pages") >= part).groupBy("host").agg(F.collect_list("hash").alias("template")))
+
+    def asked(pages: DataFrame, name: str, template: DataFrame) -> DataFrame:
+        return pages.join(template, "host").select("page", F.array_intersect(name, "template").alias("template")).where("size(template) > 0")
+
+    # what stands outside an article is not kept anyway: a page with one looks up what stands inside
+    bare = asked(different.where("not article"), "hashes", recurring("hashes", recurs, share))
+    mine = stash(bare.unionByName(asked(different.where("article"), "within", recurring("within", INSIDE_RECURS, INSIDE_SHARE))))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

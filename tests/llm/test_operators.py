@@ -230,3 +230,18 @@ def test_html_template_is_a_share_of_different_pages(spark):
     assert all(found[n] == "The only text of a copied page." for n in range(5))
     assert all(found[10 + n] == f"own words {n}" + (" quoted passage" if n < 3 else "") for n in range(40))
     assert all(found[60 + n] == "same on all" for n in range(4))
+
+
+def test_html_template_inside_articles_and_class_marks(spark):
+    def page(n):
+        quote = "<p>A passage that a few pages quote.</p>" if n < 4 else ""
+        return f"<body><article><h1>Title {n}</h1><div class='x1'><p>Written by the staff</p></div><p>Own <b>bold</b> words {n}.</p>{quote}<ul><li>yes</li><li>item {n}</li></ul></article></body>"
+
+    wrappers = ["<div class='no-sidebar'>", "<div class='page with-header'>", "<div class='has-ads'>", "<div id='sidebar-layout'>", "<div class='wide'>"]
+    rows = [(n, f"http://d/{n}", page(n)) for n in range(10)]
+    rows += [(20 + n, f"http://e{n}/", f"<html class='nav'><body class='has-sidebar comments'>{w}<article class='post'><p>Kept {n}</p><div class='ad-box'>buy</div></article></div><div class='comments'><article>{'short' if n == 3 else 'a comment that is longer than the text'}</article></div></body></html>") for n, w in enumerate(wrappers)]
+    rows += [(30 + n, f"http://f{n}/", f"<body class='sidebar'>{w}<p>Bare {n}</p><div class='share'>share</div></div></body>") for n, w in enumerate(wrappers)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[n] == f"Title {n} Own bold words {n}." + (" A passage that a few pages quote." if n < 4 else "") + f" yes item {n}" for n in range(10))
+    assert [found[20 + n] for n in range(5)] == [f"Kept {n}" for n in range(5)]
+    assert [found[30 + n] for n in (0, 1, 2, 4)] == [f"Bare {n}" for n in (0, 1, 2, 4)] and "Bare 3" in found[33]
