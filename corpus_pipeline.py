@@ -25,15 +25,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that with the smallest id. Documents without words are groups of their own.
+    """Keeps one row of each group of near duplicates: that with the smallest id, null ids last.
 
-    Rows of the kept id follow by text, and equal rows by chance: one of them stays.
+    Ids need not tell rows apart: a row is known by its id and a hash of its text, so rows of other groups stay,
+    whatever their ids. Different texts of one id in a group follow by that hash, and equal rows by chance: one
+    of them stays. Documents without words are groups of their own: all stay.
     """
-    found = stash(jaccard_join.jaccard_components(docs, SHINGLE, NUM, DEN))
-    kept = stash(found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    key = F.xxhash64("text")
+    found = jaccard_join.keyed_components(docs.withColumn("_key", key), "_key", SHINGLE, NUM, DEN)
+    firsts = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc", "key")).alias("first"))
+    kept = stash(firsts.select(F.col("first.doc").alias("_doc"), F.col("first.key").alias("_key")))
+    has_words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = docs.where(has_words).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID))).withColumn("_key", key)
+    # equal rows only: each task passes on one of them
+    nth = F.row_number().over(W.partitionBy("_doc", "_key").orderBy("text"))
+    one = rows.withColumn("_nth", nth).where("_nth = 1").join(kept, ["_doc", "_key"], "left_semi")
+    return one.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

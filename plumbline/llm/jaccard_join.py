@@ -148,7 +148,7 @@ def differing(x: bytes, y: bytes, size: int = 0) -> int:
 
 
 def _sets(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (doc, text): doc, size of the set, its node, marks and first-level regions."""
+    """For mapInArrow over (doc, text, others): doc, size of the set, its node, marks and first-level regions, others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +157,7 @@ def _sets(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]],
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
             marks = pa.array([marks_of(s, threshold) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), marks, lists], names=["doc", "n", "node", "marks", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), marks, lists, *b.columns[2:]], names=["doc", "n", "node", "marks", "keys", *b.schema.names[2:]])
 
     return run
 
@@ -365,12 +365,35 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     component. A null id counts as larger than all others; a component of null ids alone is null. No rows: no
     result. Sets are compared by 64-bit hashes of shingles and known by 64 bits of a 128-bit hash.
     """
+    sets, nodes, roots = _linked_sets(docs, n, num, den, id_col, text_col)
+    named = stash(roots.join(nodes, "node"))
+    least = stash(named.groupBy("root").agg(F.min("least").alias("component")))
+    linked = stash(named.select("node", "root").join(least, "root").select("node", "component"))
+    alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    out = sets.join(stash(alone), "node", "left")
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.withColumn("component", F.coalesce("component", "doc")).select(known("doc").alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def keyed_components(docs: DataFrame, key_col: str, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As jaccard_components, of rows that ids do not tell apart: each row's doc (its id, NO_ID for null), key (a long), n_shingles and root.
+
+    root is the same for the rows of one component only, whatever their ids, and means nothing for rows without words.
+    """
+    sets, _, roots = _linked_sets(docs, n, num, den, id_col, text_col, key_col)
+    return sets.join(roots, "node", "left").select("doc", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+
+
+def _linked_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's set (doc, n, node, and key where asked for), the nodes (node, least id) and the linked ones' components (node, root)."""
     t = Threshold(num, den)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    made = stash(rows.mapInArrow(_sets(n, t), "doc long, n long, node long, marks binary, keys array<long>"))
+    key = [F.col(key_col).cast("long").alias("key")] if key_col else []
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), *key)
+    rows = keyed.select("doc", "text")
+    made = stash(keyed.mapInArrow(_sets(n, t), "doc long, n long, node long, marks binary, keys array<long>" + (", key long" if key else "")))
     nodes = stash(made.where("n > 0").groupBy("node").agg(F.min("doc").alias("least")))
     one = stash(made.join(nodes.select(F.col("least").alias("doc"), "node"), ["doc", "node"]).select("node", "n", "marks", "keys"))
-    sets = stash(made.select("doc", "n", "node"))
+    sets = stash(made.select("doc", "n", "node", *(["key"] if key else [])))
     discard(made)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -379,14 +402,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         some = rows.join(ids.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
         return some.mapInArrow(_nodes(n), "node long, text string").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    roots = connect(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t)
-    named = stash(roots.join(nodes, "node"))
-    least = stash(named.groupBy("root").agg(F.min("least").alias("component")))
-    linked = stash(named.select("node", "root").join(least, "root").select("node", "component"))
-    alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    out = sets.join(stash(alone), "node", "left")
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.withColumn("component", F.coalesce("component", "doc")).select(known("doc").alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    return sets, nodes, connect(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
