@@ -8,20 +8,22 @@ nearly every pivot, and a window around each border would then hold everything.
 shingles instead: for each band of sizes, a hash deals all possible shingles to m sets. A pivot's distance to a
 document tells the document's share of that set, and by the triangle inequality the shares of two linked
 documents differ by at most D over all m sets together. With m above the largest D, some shares are the same: the
-window has width 0 there. m leaves room for empty shares, which would part nothing. Documents with the same share of the same set form a region. Size bands are
-windows of the same kind around the empty set: a document near a border stands in both bands.
-
-Further levels work on a shadow of D. A document's marks are the parities of its shares of 2^k more pivot sets;
-the number of parities in which two documents differ (h) is a metric, and never above D. So pairs with h above
-what the threshold allows are no links, and texts, a hundred times as large, move only for the other pairs.
-A region's pivot is the node that meets most others; pairs with it come first. What is linked to one node need
-not be compared any more. Large regions where documents are left take documents as pivots: every document joins
-its nearest pivot's region and those of other pivots that the triangle inequality cannot rule out
-(h(x, q) <= h(x, p) + 2 * the largest D that x's size allows). Regions that are small, or that pivots no longer
-part, compare the marks of all their documents, in blocks. Each pair that marks leave over is compared by its
-whole sets.
-
-Equal sets are one document from the start, so groups of copies never meet in a region.
+window has width 0 there. m leaves room for empty shares, which would part nothing. Documents with the same
+share of the same set meet. Size bands are windows of the same kind around the empty set: a document near a
+border stands in both bands.
+
+Second level. Of those that meet, the document that meets most others is the pivot, and a pivot's Voronoi region
+holds all that meet where it is the pivot; a document near several pivots stands in the regions of all of them, so
+each linked pair is in one region. A document's marks are the parities of its shares of 2^k more pivot sets; the
+number of parities in which two documents differ (h) is a metric, and never above D, so pairs whose h is above what
+the threshold allows are no links. Documents that may link to their pivot need not be compared with each other by
+marks; the others are compared with all whose distance to the pivot the triangle inequality allows. A large
+region is parted again between its pivot and the document farthest from it, with windows of twice the largest D
+on the border, as long as that makes regions smaller; what stays large is compared in blocks, by shells of distance.
+
+Only documents with a partner that marks allow are compared by their whole sets: first with their pivots, then, in
+regions that those links do not connect, with each other. A comparison of a block gives a spanning forest of its
+links, not all pairs. Equal sets are one document from the start, so groups of copies never meet in a region.
 """
 
 from __future__ import annotations
@@ -30,19 +32,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, stash, table
 
-#: Documents in a region that is compared whole in one task; pivots of a larger one; levels before blocks.
-LEAF, PIVOTS, LEVELS = 64, 4, 2
+#: Documents of a block, that one task compares whole; of a region that is not parted again; levels of that.
+BLOCK, LEAF, LEVELS = 1024, 4096, 6
 
 #: Ratio of a size band's borders.
 BAND = 1.25
 
+#: Keys that a task gathers before it deals them out or brings them together.
+HELD = 2_000_000
+
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Distinct 64-bit hashes, ascending, of a text's n-word shingles; with fewer words, of the whole sequence; without words, none."""
@@ -126,17 +131,28 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True)
 
 
-def marks_of(s: np.ndarray, threshold: Threshold) -> bytes:
-    """Parities of a set's shares of 2^k pivot sets: 16 at least for each element of the largest D, so that few of D's elements meet in one."""
+def marks_size(size: int, threshold: Threshold) -> int:
+    """Bytes of the marks of a set: 8 parities at least for each element of the largest D, so that few of D's elements meet in one."""
     bits = 256
-    while bits < 16 * threshold.most(len(s)):
+    while bits < 8 * threshold.most(size):
         bits *= 2
+    return bits // 8
+
+
+def marks_of(s: np.ndarray, threshold: Threshold) -> bytes:
+    """Parities of a set's shares of 2^k pivot sets."""
+    bits = 8 * marks_size(len(s), threshold)
     mixed = s * np.uint64(0xA0761D6478BD642F)
     mixed ^= mixed >> np.uint64(29)
     odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def window_size(pivot: int, threshold: Threshold) -> int:
+    """Bytes to which the marks of all that meet a set of this size can be folded: the smallest of them has at least t * pivot / BAND shingles."""
+    return marks_size(int(pivot * threshold.num / threshold.den / BAND), threshold)
+
+
 def fold(marks: np.ndarray, size: int) -> np.ndarray:
     """The marks for fewer pivot sets, in bytes; each is the union of some of the former."""
     return np.bitwise_xor.reduce(marks.reshape(-1, size), axis=0)
@@ -147,76 +163,249 @@ def differing(x: bytes, y: bytes, size: int = 0) -> int:
     return int(np.bitwise_count(fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).sum())
 
 
-def _sets(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (doc, text, others): doc, size of the set, its node, marks and first-level regions, others."""
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """Runs of 8-byte values as binary cells; starts: the first of each run, and the end."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+_DEALT = "bucket int, doc long, n long, node long, marks binary, key long, keys binary, nodes binary"
+
+
+def _deal(n: int, threshold: Threshold, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (doc, text, key): a row for each document, and for each bucket the keys (of shares) that fall into it, with their nodes.
+
+    A task deals out the keys of equal sets once, or once again after many others.
+    """
+    names = [f.split()[0] for f in _DEALT.split(", ")]
+
+    def passed(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        k, v = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys])
+        bucket = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        at = bucket[order]
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        ends = np.append(starts, len(k))
+        none = lambda kind: pa.nulls(len(starts), kind)
+        return pa.RecordBatch.from_arrays([pa.array(at[starts].astype(np.int32)), *(none(pa.int64()) for _ in range(3)), none(pa.binary()), none(pa.int64()), _blobs(k[order], ends), _blobs(v[order], ends)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        keys: list[np.ndarray] = []
+        nodes: list[int] = []
+        size = row = 0
         for b in batches:
-            sets = [shingles(x.as_py(), n) for x in b.column(1)]
-            keys = [region_keys(s, threshold) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
-            marks = pa.array([marks_of(s, threshold) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), marks, lists, *b.columns[2:]], names=["doc", "n", "node", "marks", "keys", *b.schema.names[2:]])
+            found: list[tuple[int, int, bytes | None]] = []
+            for x in b.column(1):
+                s = shingles(x.as_py(), n)
+                if not len(s):
+                    found.append((0, 0, None))
+                    continue
+                node = node_of(s)
+                if node in seen:
+                    found.append((len(s), node, None))
+                    continue
+                seen.add(node)
+                found.append((len(s), node, marks_of(s, threshold)))
+                k = region_keys(s, threshold)
+                if len(k):
+                    keys.append(k)
+                    nodes.append(node)
+                    size += len(k)
+                if size > HELD:
+                    yield passed(keys, nodes)
+                    keys, nodes, size = [], [], 0
+            if len(seen) > 200_000:
+                seen.clear()
+            many = b.num_rows
+            sizes, ids, marks = zip(*found, strict=True) if found else ((), (), ())
+            bucket = pa.array((np.arange(row, row + many) % buckets).astype(np.int32))
+            row += many
+            yield pa.RecordBatch.from_arrays([bucket, b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), b.column(2), pa.nulls(many, pa.binary()), pa.nulls(many, pa.binary())], names=names)
+        if keys:
+            yield passed(keys, nodes)
 
     return run
 
 
-def _nodes(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (doc, text): node, text."""
+def meet(keys: np.ndarray, nodes: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys and nodes of keys that several nodes have, how many there are, and one node for each key, to go on with.
+
+    told: entries that an earlier call returned as part of a key with several nodes; they are not returned again.
+    """
+    o = np.lexsort((nodes, keys))
+    k, v, m = keys[o], nodes[o], told[o]
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1]))))
+    k, v, m = k[first], v[first], np.logical_or.reduceat(m, first)
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    many = np.diff(np.append(starts, len(k)))
+    several = (many > 1) | np.logical_or.reduceat(m, starts)
+    out = np.repeat(several, many) & ~m
+    return k[out], v[out], np.repeat(many, many)[out], (k[starts], v[starts], several)
+
+
+_MET = "region long, node long, many long, doc long, n long, marks binary, key long"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over dealt rows sorted by bucket: documents as they are, and (region, node, many) where several nodes meet.
+
+    A bucket's keys meet in pieces of bounded size: each piece leaves one node for each key behind, so a key that very many nodes have streams through.
+    """
+    names = [f.split()[0] for f in _MET.split(", ")]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    state, keys, nodes, size, of = none, [], [], 0, None
+
+    def passed() -> pa.RecordBatch:
+        nonlocal state, keys, nodes, size
+        told = np.concatenate((state[2], np.zeros(size, bool)))
+        k, v, many, state = meet(np.concatenate((state[0], *keys)), np.concatenate((state[1], *nodes)), told)
+        keys, nodes, size = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(many.astype(np.int64)), *(pa.nulls(len(k), x) for x in (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=names)
+
+    for b in batches:
+        docs = b.filter(pa.compute.is_null(b.column(6)))
+        if docs.num_rows:
+            empty = pa.nulls(docs.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, docs.column(3), empty, docs.column(1), docs.column(2), docs.column(4), docs.column(5)], names=names)
+        for x in range(b.num_rows):
+            if not b.column(6)[x].is_valid:
+                continue
+            bucket = b.column(0)[x].as_py()
+            if bucket != of:
+                if size:
+                    yield passed()
+                state, of = none, bucket
+            keys.append(np.frombuffer(b.column(6)[x].as_buffer(), np.int64))
+            nodes.append(np.frombuffer(b.column(7)[x].as_buffer(), np.int64))
+            size += len(keys[-1])
+            if size > 4 * HELD:
+                yield passed()
+    if size:
+        yield passed()
+
+
+def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (doc, text): node and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(shingles(x.as_py(), n)) for x in b.column(1)], pa.int64()), b.column(1)], names=["node", "text"])
+            sets = [shingles(x.as_py(), n) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "data"])
+
+    return run
+
+
+_NEAR = "region long, node long, n long, w long, size int, may boolean"
+
+
+def _apart(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (pivot, node, pivot_n, n, pivot_marks, marks): whether the two may link, and w, their distance by marks that are folded alike for all that meet the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            a, b = t.column(2).to_numpy(), t.column(3).to_numpy()
+            size = np.array([window_size(x, threshold) for x in a.tolist()], np.int32)
+            pairs = [(x.as_py(), y.as_py()) for x, y in zip(t.column(4), t.column(5), strict=True)]
+            h = np.array([differing(x, y) for x, y in pairs], np.int64)
+            w = np.array([differing(x, y, s) for (x, y), s in zip(pairs, size.tolist(), strict=True)], np.int64)
+            cols = [t.column(0), t.column(1), t.column(3), pa.array(w), pa.array(size), pa.array(threshold.may(h, a, b), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["region", "node", "n", "w", "size", "may"])
 
     return run
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (region, a, b, a_marks, b_marks, size): region, a, b, h by marks of that size (0: the shorter one's)."""
+def _farther(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows whose last columns are size, marks, far_marks: these rows, with v, the distance of the marks, in place of both marks."""
     for t in batches:
-        h = [differing(x.as_py(), y.as_py(), size.as_py()) for x, y, size in zip(t.column(3), t.column(4), t.column(5), strict=True)]
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(h, pa.int64())], names=["region", "a", "b", "h"])
+        v = [differing(x.as_py(), y.as_py(), s.as_py()) for s, x, y in zip(t.column(t.num_columns - 3), t.column(t.num_columns - 2), t.column(t.num_columns - 1), strict=True)]
+        yield pa.RecordBatch.from_arrays([*t.columns[:-2], pa.array(v, pa.int64())], names=[*t.schema.names[:-2], "v"])
 
 
-def _linked(n: int, threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (a, b, a_text, b_text): the pairs a, b that link, by their whole sets."""
+def _linked(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (a, b, a_set, b_set): the pairs a, b that link, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            both, sizes_a, sizes_b = [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                t = x.as_py()
-                if t != last[0]:  # rows of one pivot mostly stand side by side
-                    last = (t, shingles(t, n))
-                s = shingles(y.as_py(), n)
-                both.append(len(np.intersect1d(last[1], s, assume_unique=True)))
-                sizes_a.append(len(last[1]))
-                sizes_b.append(len(s))
-            i, a, b = (np.array(v, np.int64) for v in (both, sizes_a, sizes_b))
+            sets = [(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            i = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], np.int64)
+            a, b = (np.array([len(s[k]) for s in sets], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(threshold.links(i, a, b), pa.bool_()))
 
     return run
 
 
-def _leaf(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
-    """For applyInArrow over a block pair's rows (side, node, n, root, marks): pairs of its documents that may link and are not connected."""
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets have in common."""
+    many = len(sets)
+    owner = np.repeat(np.arange(many), [len(s) for s in sets])
+    e = np.concatenate(sets)
+    o = np.argsort(e, kind="stable")
+    e, owner = e[o], owner[o]
+    starts = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+    held = np.diff(np.append(starts, len(e)))
+    out = np.zeros((many, many), np.float32)
+    for count in np.unique(held[(held > 1) & (held <= 16)]).tolist():
+        rows = owner[starts[held == count][:, None] + np.arange(count)]
+        for i in range(count):
+            for j in range(i + 1, count):
+                np.add.at(out.reshape(-1), rows[:, i] * many + rows[:, j], 1)
+    out += out.T
+    often = np.flatnonzero(held > 16)
+    for lo in range(0, len(often), 4096):
+        part = often[lo : lo + 4096]
+        m = np.zeros((many, len(part)), np.float32)
+        for x, (s, h) in enumerate(zip(starts[part].tolist(), held[part].tolist(), strict=True)):
+            m[owner[s : s + h], x] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def forest(linked: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Of a matrix of links enough to connect what they connect, given nodes that are connected already (equal roots)."""
+    label, out = np.unique(root, return_inverse=True)[1], []
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        for j in np.flatnonzero(linked[i]).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _to_compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, n, root of a pair of blocks (side 0 and 1; a block with itself: 2), and which two rows are to be compared."""
+    side, node, n, root = (t[c].to_numpy() for c in ("side", "node", "n", "root"))
+    asked = np.triu(np.ones((len(node), len(node)), bool), 1) & (root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    return node, n, root, asked
+
+
+def _alive(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
+    """For applyInArrow over a pair of blocks with marks: the nodes that may link to another one that they are compared with."""
 
     def run(t: pa.Table) -> pa.Table:
-        side, node, n, root = (t[c].to_numpy() for c in ("side", "node", "n", "root"))
-        marks = [np.frombuffer(x, np.uint8) for x in t["marks"].to_pylist()]
+        node, n, _, asked = _to_compare(t)
+        marks = [np.frombuffer(x, np.uint8) for x in t["data"].to_pylist()]
         size = min(map(len, marks))
-        m = np.stack([np.unpackbits(fold(x, size)) for x in marks]).astype(np.float32)
-        left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
-        ones = m.sum(axis=1)
-        h = (ones[left][:, None] + ones[right][None, :] - 2 * (m[left] @ m[right].T)).round().astype(np.int64)
-        a, b = n[left][:, None], n[right][None, :]
-        may = threshold.may(h, a, b) & (root[left][:, None] != root[right][None, :])
-        i, j = np.nonzero(may)
-        x, y = node[left[i]], node[right[j]]
-        keep = (side[left[i]] != side[right[j]]) | (x < y)
-        return pa.table({"a": pa.array(np.minimum(x, y)[keep], pa.int64()), "b": pa.array(np.maximum(x, y)[keep], pa.int64()), "h": pa.array(h[i, j][keep], pa.int64())})
+        m = np.stack([fold(x, size) for x in marks])
+        ones, both = np.bitwise_count(m).sum(axis=1, dtype=np.int64), np.zeros((len(n), len(n)), np.float32)
+        for lo in range(0, size, 512):
+            part = np.unpackbits(m[:, lo : lo + 512], axis=1).astype(np.float32)
+            both += part @ part.T
+        h = ones[:, None] + ones[None, :] - 2 * both.astype(np.int64)
+        may = asked & threshold.may(h, n[:, None], n[None, :])
+        return pa.table({"node": pa.array(node[may.any(axis=0) | may.any(axis=1)], pa.int64())})
+
+    return run
+
+
+def _links(threshold: Threshold) -> Callable[[pa.Table], pa.Table]:
+    """For applyInArrow over a pair of blocks with whole sets: links that connect what its links connect."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, n, root, asked = _to_compare(t)
+        both = common([np.frombuffer(x, np.uint64) for x in t["data"].to_pylist()])
+        found = forest(asked & threshold.links(both, n[:, None], n[None, :]), root)
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(node[i], pa.int64()), "b": pa.array(node[j], pa.int64())})
 
     return run
 
@@ -236,12 +425,12 @@ def components(links: DataFrame) -> DataFrame:
             return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         # large star: neighbours above a node go to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its neighbours below go to the smallest of them
-        low = stash(large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(low, "u")
-        edges = stash(moved.select("u", F.col("m").alias("v")).unionByName(moved.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        before, edges = edges, stash(moved.select("u", F.col("m").alias("v")).unionByName(moved.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(before, large)
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,96 +448,98 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stash(moved.unionByName(over.join(roots.select("node"), "node", "left_anti")))
 
 
-def _open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (region, node) of regions that links do not connect yet, with each node's component."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stash(placed.select("region", "node", "root"))
-    parted = stash(placed.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("r0 < r1"))
-    # regions of the same documents: one is enough
-    one = stash(parted.groupBy("many", "who").agg(F.min("region").alias("region")))
-    return stash(placed.join(one.select("region", "many"), "region"))
+def _most(threshold: Threshold, n: str) -> Column:
+    """The largest symmetric difference of a set of n and a linked one that is no smaller."""
+    return F.expr(f"(({threshold.den - threshold.num}) * ({n} + {n} * {threshold.den} div {threshold.num})) div {threshold.den + threshold.num}")
 
 
-def connect(keyed: DataFrame, marks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, threshold: Threshold) -> DataFrame:
-    """node, root of all linked nodes. keyed: region, node; marks: node, n, marks; texts_of: node, text of the nodes that it is given.
+def parted(members: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
+    """Members (region, node, n, w, size, may, many) with large regions parted between their pivot and the node farthest from it.
 
-    Pairs that other links connect already may be left out.
+    A node joins the side that it is nearer to, and the other one too if the triangle inequality lets a linked
+    node be there: by 2 * the largest D that its size allows. A region whose sides hold over one and a half times
+    its nodes together stays whole.
     """
-    shared = stash(keyed.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("region"))
-    met = stash(keyed.join(shared, "region").distinct())
-    discard(shared)
-    # a region's pivot is the node that meets most others in all its regions: the text that copies were made from
-    sizes = stash(met.groupBy("region").count())
-    degree = stash(met.join(sizes, "region").groupBy("node").agg(F.sum("count").alias("degree")))
-    pivots = stash(met.join(degree, "node").groupBy("region").agg(F.max_by("node", "degree").alias("pivot")))
-    pairs = stash(met.join(pivots, "region").where("node <> pivot").select(F.lit(0).cast("long").alias("region"), F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    some = stash(met.select("node").distinct())
-    marks = stash(marks.join(some, "node", "left_semi").dropDuplicates(["node"]))
-    texts = stash(texts_of(some))
-    discard(sizes, degree, pivots)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """h of pairs (region, a, b, and size where the marks are to be of one size), and whether they may link."""
-        x, y = (marks.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("marks").alias(f"{c}_marks")) for c in "ab")
-        size = F.col("size") if "size" in pairs.columns else F.lit(0)
-        full = pairs.join(x, "a").join(y, "b").select("region", "a", "b", "a_marks", "b_marks", size.cast("int").alias("size"))
-        h = full.mapInArrow(_apart, "region long, a long, b long, h long")
-        return h.join(x.drop("a_marks"), "a").join(y.drop("b_marks"), "b").withColumn("may", threshold.may(F.col("h"), F.col("a_n"), F.col("b_n"))).drop("a_n")
-
-    def settle(maybe: DataFrame, roots: DataFrame) -> DataFrame:
-        """roots with the links among pairs (a, b, h): first each node's nearest, then those that are not connected by then."""
-        first = stash(maybe.groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a")).select("a", "b"))
-        if first.isEmpty():
-            return roots
-        roots = joined(roots, compared(first))
-        x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-        left = maybe.select("a", "b").join(x, "a", "left").join(y, "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-        rest = stash(left.distinct().join(first, ["a", "b"], "left_anti"))
-        return roots if rest.isEmpty() else joined(roots, compared(rest))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        with_ab = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-        return stash(with_ab.mapInArrow(_linked(n, threshold), "a long, b long"))
-
-    none = stash(marks.sparkSession.createDataFrame([], "node long, root long"))
-    found = settle(stash(apart(pairs).where("may").select("a", "b", "h")), none)
-    members = _open_regions(met, found)
-    discard(met, pairs)
-    if members.isEmpty():
-        return found
+    done = members.where(F.col("many") <= LEAF)
+    large = members.where(F.col("many") > LEAF)
     for level in range(LEVELS):
-        found = settle(_compare(members.where(F.col("many") <= LEAF), marks, threshold), found)
-        members = members.where(F.col("many") > LEAF)
-        if members.isEmpty():
-            return found
-        slot = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(PIVOTS))
-        pivots = stash(members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot"))
-        shortest = members.join(marks, "node").groupBy("region").agg(F.min(F.octet_length("marks")).alias("size"))
-        near = stash(apart(members.select("region", F.col("node").alias("b")).join(pivots.join(stash(shortest), "region").withColumnRenamed("pivot", "a"), "region")))
-        found = settle(stash(near.where("may and a <> b").select("a", "b", "h").distinct()), found)
-        # Voronoi regions: the nearest pivot's, and those of others within the window
-        home = stash(near.groupBy("region", "b").agg(F.min("h").alias("nearest")))
-        most = F.expr(f"(({threshold.den - threshold.num}) * (b_n + b_n * {threshold.den} div {threshold.num})) div {threshold.den + threshold.num}")
-        inside = near.join(home, ["region", "b"]).where(F.col("h") <= F.col("nearest") + 2 * most)
-        members = _open_regions(inside.select(F.xxhash64("region", "a", F.lit(level)).alias("region"), F.col("b").alias("node")).distinct(), found)
-    return settle(_compare(members, marks, threshold), found)
-
-
-def _compare(members: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs (a, b, h) within regions (region, node, root, many) that may link, by the marks of all: LEAF documents a block, a task for a pair of blocks.
-
-    Blocks follow components, and a pair of blocks within one component is connected already.
+        if large.isEmpty():
+            return done
+        far = large.groupBy("region").agg(F.max_by("node", F.struct("w", "node")).alias("far"))
+        far = far.join(marks.select(F.col("node").alias("far"), F.col("marks").alias("far_marks")), "far").drop("far")
+        cols = ["region", "node", "n", "w", "may", "many", "size"]
+        asked = large.select(*cols).join(marks.select("node", "marks"), "node").join(far, "region").select(*cols, "marks", "far_marks")
+        known = stash(asked.mapInArrow(_farther, "region long, node long, n long, w long, may boolean, many long, size int, v long"))
+        near, over = F.col("w") <= F.col("v") + 2 * _most(threshold, "n"), F.col("v") <= F.col("w") + 2 * _most(threshold, "n")
+        counts = known.groupBy("region").agg(F.count_if(near).alias("c0"), F.count_if(over).alias("c1"))
+        known = known.join(stash(counts), "region").withColumn("whole", F.col("c0") + F.col("c1") > 1.5 * F.col("many"))
+        side = lambda k, d, c: known.where("not whole").where(near if k == 0 else over).select(F.xxhash64("region", F.lit(level), F.lit(k)).alias("region"), "node", "n", F.col(d).alias("w"), "size", "may", F.col(c).alias("many"))  # noqa: E731, B023
+        sides = stash(side(0, "w", "c0").unionByName(side(1, "v", "c1")))
+        done = done.unionByName(stash(known.where("whole").select(*done.columns))).unionByName(sides.where(F.col("many") <= LEAF))
+        large = sides.where(F.col("many") > LEAF)
+    return done.unionByName(large)
+
+
+def paired(members: DataFrame, data: DataFrame, threshold: Threshold) -> DataFrame:
+    """Rows (region, x, y, side, node, n, root, data) of the pairs of blocks that are to be compared; members: region, node, n, w, root, many.
+
+    A region that fits is one block. A larger one has shells of distance to the pivot, and each shell as many
+    blocks as it needs, dealt by a hash. Shells further apart than the largest D have no links, nor do blocks of one root matter.
+    """
+    cols = ["region", "x", "y", "side", "node", "n", "root"]
+    rows = members.where(F.col("many") <= BLOCK).select("region", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(2).alias("side"), "node", "n", "root")
+    large = members.where(F.col("many") > BLOCK)
+    if not large.isEmpty():
+        wide = large.groupBy("region").agg(F.max("n").alias("n_max")).withColumn("most", _most(threshold, "n_max")).withColumn("width", F.greatest(F.lit(1), F.expr("most div 2"))).drop("n_max")
+        shells = stash(large.join(wide, "region").withColumn("shell", F.expr("w div width")))
+        parts = shells.groupBy("region", "shell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+        dealt = stash(shells.join(parts, ["region", "shell"]).withColumn("block", F.col("shell") * (1 << 24) + F.pmod(F.xxhash64("node"), "parts")))
+        blocks = stash(dealt.groupBy("region", "block", "shell", "most", "width").agg(F.min("root").alias("r0"), F.max("root").alias("r1")))
+        x, y = blocks.select("region", "most", "width", *(F.col(c).alias(f"x_{c}") for c in ("block", "shell", "r0", "r1"))), blocks.select("region", *(F.col(c).alias(f"y_{c}") for c in ("block", "shell", "r0", "r1")))
+        pairs = stash(x.join(y, "region").where("x_block <= y_block and (y_shell - x_shell - 1) * width <= most and not (x_r0 = x_r1 and y_r0 = y_r1 and x_r0 = y_r0)").select("region", F.col("x_block").alias("x"), F.col("y_block").alias("y")))
+        sides = pairs.select("region", "x", "y", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).unionByName(pairs.where("x < y").select("region", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
+        rows = rows.unionByName(dealt.join(sides, ["region", "block"]).select(*cols))
+    return rows.join(data, "node").select(*cols, "data")
+
+
+def connect(met: DataFrame, marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: Threshold) -> DataFrame:
+    """node, root of all linked nodes. met: region, node, many; marks: node, n, marks; sets_of: node, data (the set) of the nodes that it is given.
+
+    Pairs that other links connect already may be left out.
     """
-    nth = F.row_number().over(W.partitionBy("region").orderBy("root", "node"))
-    rows = stash(members.select("region", "node", "root", F.floor((nth - 1) / LEAF).alias("block")))
-    blocks = stash(rows.groupBy("region", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1")))
-    x, y = blocks.select("region", *(F.col(c).alias(f"x_{c}") for c in ("block", "r0", "r1"))), blocks.select("region", *(F.col(c).alias(f"y_{c}") for c in ("block", "r0", "r1")))
-    pairs = x.join(y, "region").where("x_block <= y_block and not (x_r0 = x_r1 and y_r0 = y_r1 and x_r0 = y_r0)").select("region", F.col("x_block").alias("x"), F.col("y_block").alias("y"))
-    sides = pairs.select("region", "x", "y", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).unionByName(pairs.where("x < y").select("region", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
-    full = rows.join(stash(sides), ["region", "block"]).join(marks, "node").select("region", "x", "y", "side", "node", "n", "root", "marks")
-    return stash(full.groupBy("region", "x", "y").applyInArrow(_leaf(threshold), "a long, b long, h long").groupBy("a", "b").agg(F.min("h").alias("h")))
+    # where nodes meet, the pivot is the one that meets most others anywhere: the text that copies were made from
+    degree = met.groupBy("node").agg(F.sum("many").alias("degree"))
+    pivots = met.join(degree, "node").groupBy("region").agg(F.max(F.struct("degree", "node")).alias("top")).select("region", F.col("top.node").alias("pivot"))
+    pairs = stash(met.join(pivots, "region").where("node <> pivot").select("pivot", "node").distinct())
+    some = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+    marks = stash(marks.where("marks is not null").join(some, "node", "left_semi").dropDuplicates(["node"]))
+    own = marks.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("marks").alias("pivot_marks"))
+    asked = pairs.join(marks, "node").join(own, "pivot").select("pivot", "node", "pivot_n", "n", "pivot_marks", "marks")
+    near = stash(asked.mapInArrow(_apart(threshold), _NEAR))
+    discard(pairs)
+    # regions where marks leave something open: a node that may not link to the pivot, and another one within its window
+    windows = near.groupBy("region").agg(F.min(F.when(~F.col("may"), F.col("w") - _most(threshold, "n"))).alias("low"), F.count("*").alias("all")).where("low is not null and all > 1").drop("all")
+    within = near.join(windows, "region").where("w >= low").drop("low")
+    many = within.groupBy("region").agg(F.count("*").alias("many"), F.count_if(~F.col("may")).alias("open")).where("many > 1")
+    members = stash(parted(stash(within.join(many.drop("open"), "region")), marks, threshold))
+    as_one = F.when(F.col("may"), F.lit(NO_ID)).otherwise(F.col("node"))  # what may link to the pivot goes on in any case
+    compared = paired(members.withColumn("root", as_one), marks.select("node", F.col("marks").alias("data")), threshold)
+    alive = compared.groupBy("region", "x", "y").applyInArrow(_alive(threshold), "node long")
+    hoped = near.where("may")
+    alive = stash(alive.unionByName(hoped.select("node")).unionByName(hoped.select(F.col("region").alias("node"))).distinct())
+    discard(marks)
+
+    sets = stash(sets_of(alive))
+    a, b = (sets.select(F.col("node").alias(c), F.col("data").alias(f"{c}_set")) for c in "ab")
+    found = hoped.select(F.col("region").alias("a"), F.col("node").alias("b")).join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set")
+    roots = stash(components(stash(found.mapInArrow(_linked(threshold), "a long, b long"))))
+    left = members.join(alive, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("many", "may", "size")
+    left = stash(left)
+    still = left.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many")).where("r0 < r1").select("region", "many")
+    compared = paired(stash(left.join(still, "region")), sets, threshold)
+    more = stash(compared.groupBy("region", "x", "y").applyInArrow(_links(threshold), "a long, b long"))
+    discard(near, members, left, alive, sets)
+    return joined(roots, more)
 
 
 #: Stands for a null id inside; greater than any other.
@@ -387,22 +578,26 @@ def keyed_components(docs: DataFrame, key_col: str, n: int = 3, num: int = 90, d
 def _linked_sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, key_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each row's set (doc, n, node, and key where asked for), the nodes (node, least id) and the linked ones' components (node, root)."""
     t = Threshold(num, den)
-    key = [F.col(key_col).cast("long").alias("key")] if key_col else []
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), *key)
-    rows = keyed.select("doc", "text")
-    made = stash(keyed.mapInArrow(_sets(n, t), "doc long, n long, node long, marks binary, keys array<long>" + (", key long" if key else "")))
+    key = F.col(key_col).cast("long") if key_col else F.lit(0).cast("long")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), key.alias("key"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * max(parts, docs.count() >> 14)
+    dealt = keyed.mapInArrow(_deal(n, t, buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    both = stash(dealt.mapInArrow(_meet, _MET))
+    made, met = both.where("region is null"), both.where("region is not null").select("region", "node", "many")
     nodes = stash(made.where("n > 0").groupBy("node").agg(F.min("doc").alias("least")))
-    one = stash(made.join(nodes.select(F.col("least").alias("doc"), "node"), ["doc", "node"]).select("node", "n", "marks", "keys"))
-    sets = stash(made.select("doc", "n", "node", *(["key"] if key else [])))
-    discard(made)
+    sets = stash(made.select("doc", "n", "node", *(["key"] if key_col else [])))
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """A text for each wanted node, from its smallest id; an id with several texts is told apart by its node."""
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The set of each wanted node, from its smallest id; an id with several texts is told apart by its node."""
         ids = stash(wanted.join(nodes, "node"))
-        some = rows.join(ids.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
-        return some.mapInArrow(_nodes(n), "node long, text string").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        some = keyed.select("doc", "text").join(ids.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
+        return some.mapInArrow(_sets(n), "node long, data binary").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    return sets, nodes, connect(one.select(F.explode("keys").alias("region"), "node"), one.select("node", "n", "marks"), texts_of, n, t)
+    roots = connect(met, made.select("node", "n", "marks"), sets_of, t)
+    roots = stash(roots)
+    discard(both)
+    return sets, nodes, roots
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,24 +30,70 @@ def test_jaccard(spark, docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_jaccard_matches_all_pairs(spark):
-    rng = np.random.default_rng(1)
-    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+def near_copies(seed, many, longest=120, edits=7):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 500, longest)]
     texts = []
-    for k in range(90):
+    for k in range(many):
         w = list(base)
-        for x in rng.integers(0, 120, k % 7):
+        for x in rng.integers(0, longest, k % edits):
             w[x] = f"z{rng.integers(0, 9999)}"
         texts.append(" ".join(w))
-    sets = [jaccard_join.shingles(t, 3) for t in texts]
-    root = list(range(len(sets)))
-    for _ in range(len(sets)):
-        for a, b in itertools.combinations(range(len(sets)), 2):
-            i = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * i >= 90 * (len(sets[a]) + len(sets[b]) - i):
-                root[a] = root[b] = min(root[a], root[b])
+    return texts
+
+
+def all_pairs(texts, n, num, den):
+    """Each text's component by comparing all pairs of plain word tuples."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        i = len(sets[a] & sets[b])
+        if i and den * i >= num * (len(sets[a]) + len(sets[b]) - i):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize(("n", "num", "block", "leaf"), [(3, 90, 1024, 4096), (5, 80, 1024, 4096), (3, 90, 16, 32), (5, 80, 8, 24)])
+def test_jaccard_matches_all_pairs(spark, monkeypatch, n, num, block, leaf):
+    """Small blocks and leaves: regions are parted between far pivots, and what stays large is compared in blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "HELD", 500)
+    texts = near_copies(1, 90) + near_copies(2, 60, 40, 12) + near_copies(3, 30, 8, 3) + ["", "one", "one two", "one two", "ONE two three"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(root))
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, n, num, 100).collect()} == all_pairs(texts, n, num, 100)
+
+
+def test_keys_meet_in_pieces_as_at_once():
+    rng = np.random.default_rng(8)
+    keys, nodes = rng.integers(0, 40, 600), rng.integers(0, 90, 600)
+    want = {(k, v) for k, v in zip(keys.tolist(), nodes.tolist(), strict=True) if len(set(nodes[keys == k].tolist())) > 1}
+    state, got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)), set()
+    for lo in range(0, 600, 70):
+        k, v = np.concatenate((state[0], keys[lo : lo + 70])), np.concatenate((state[1], nodes[lo : lo + 70]))
+        k, v, _, state = jaccard_join.meet(k, v, np.concatenate((state[2], np.zeros(len(k) - len(state[2]), bool))))
+        got |= set(zip(k.tolist(), v.tolist(), strict=True))
+    assert got == want
+
+
+def test_common_and_forest():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, k).astype(np.uint64)) for k in rng.integers(1, 40, 50)]
+    both = jaccard_join.common(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in itertools.combinations(range(50), 2))
+    linked = np.zeros((6, 6), bool)
+    linked[0, 1] = linked[1, 2] = linked[0, 2] = linked[3, 4] = linked[2, 4] = True
+    assert len(jaccard_join.forest(linked, np.arange(6))) == 4 and len(jaccard_join.forest(linked, np.array([0, 0, 0, 3, 3, 5]))) == 1
 
 
 def test_marks_bound_the_distance():
@@ -61,6 +107,11 @@ def test_marks_bound_the_distance():
             x, y = jaccard_join.marks_of(a, t), jaccard_join.marks_of(b, t)
             assert jaccard_join.differing(x, y) <= len(np.setxor1d(a, b)) and (change or x == y)
             assert jaccard_join.differing(x, y, 16) <= jaccard_join.differing(x, y)
+    for a in range(1, 3000, 7):  # what meets a pivot has marks that can be folded to its window's size
+        bands = {b for b, _ in t.bands(a)}
+        for b in range(max(1, a // 2), 2 * a, max(1, a // 50)):
+            if bands & {x for x, _ in t.bands(b)}:
+                assert jaccard_join.window_size(a, t) <= jaccard_join.marks_size(b, t)
 
 
 def test_packing(spark, docs):
