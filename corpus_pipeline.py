@@ -17,11 +17,22 @@ from plumbline.llm.common import stash, table
 SHINGLE, NUM, DEN = 5, 80, 100
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the line field predicts to be good. It learns from the labelled rows of `documents` that op6 learns from."""
+    """Keeps the documents that the line field predicts to be good. It learns from the labelled rows of `documents` that op6 learns from.
+
+    A null or empty text is one empty line; rows with equal texts stay or go together, and extra columns pass through.
+    """
     labels = table(spark, sf_dir, "labels").where(~quality.held_out())
     field = quality.train(table(spark, sf_dir, "documents"), labels)
-    return quality.score(docs, field, ["text", *[c for c in docs.columns if c != "text"]]).where("score >= 0.5").select(*docs.columns)
+    score = _free(docs, "_score")
+    return quality.score(docs, field, docs.columns, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,27 +40,26 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ids need not tell rows apart: a row is known by its id and a hash of its text, so rows of other groups stay,
     whatever their ids. Different texts of one id in a group follow by that hash, and equal rows by chance: one
-    of them stays. Documents without words are groups of their own: all stay.
+    of them stays. Documents without words are groups of their own: all stay. Extra columns pass through.
     """
-    key = F.xxhash64("text")
-    found = jaccard_join.keyed_components(docs.withColumn("_key", key), "_key", SHINGLE, NUM, DEN)
+    doc, key, nth = (_free(docs, c) for c in ("_doc", "_key", "_nth"))
+    found = jaccard_join.keyed_components(docs.select("doc_id", "text", F.xxhash64("text").alias("_key")), "_key", SHINGLE, NUM, DEN)
     firsts = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc", "key")).alias("first"))
-    kept = stash(firsts.select(F.col("first.doc").alias("_doc"), F.col("first.key").alias("_key")))
+    kept = stash(firsts.select(F.col("first.doc").alias(doc), F.col("first.key").alias(key)))
     has_words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    rows = docs.where(has_words).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID))).withColumn("_key", key)
+    rows = docs.where(has_words).withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID)), key: F.xxhash64("text")})
     # equal rows only: each task passes on one of them
-    nth = F.row_number().over(W.partitionBy("_doc", "_key").orderBy("text"))
-    one = rows.withColumn("_nth", nth).where("_nth = 1").join(kept, ["_doc", "_key"], "left_semi")
+    one = rows.withColumn(nth, F.row_number().over(W.partitionBy(doc, key).orderBy("doc_id"))).where(F.col(nth) == 1).join(kept, [doc, key], "left_semi")
     return one.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: up to three times, or not at all."""
-    mixed = mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("_time")).select(*docs.columns)
+    """Takes each document as often as the mix does: up to three times, or not at all. Empty texts add no words and go with their length's share."""
+    return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text is its end id alone."""
     return packing.pack(docs, packing.tokenizer_path())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import discard, stash, table
 
 #: Weights of the sources in code point order, repeating; the most passes over a source; the seed.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
@@ -102,16 +102,16 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each document with size, source_size, target and times, how often the mix takes it (0 to 3), and keep.
+def mix(docs: DataFrame, seed: int = SEED, key_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Each document with size, source_size, target and times, how often the mix takes it (0 to 3), and its key_cols.
 
-    docs: doc_id, text, source. A null text has size 0; a null source is a source of its own. Every document
-    is taken by whole passes alike, and once more where the seeded hash chooses it. Equal rows rank side by
-    side, so any of them may be the one that is chosen, and the result is the same set of rows. A source
-    without words is never chosen beyond passes (0). No rows: no result. Each source's words come within the
-    knapsack's gap of its target, below it.
+    docs: doc_id, text, source; other columns are not read, whatever their names. A null text has size 0; a null
+    source is a source of its own. Every document is taken by whole passes alike, and once more where the seeded
+    hash chooses it. Equal rows rank side by side, so any of them may be the one that is chosen, and the result is
+    the same set of rows. A source without words is never chosen beyond passes (0). No rows: no result. Each
+    source's words come within the knapsack's gap of its target, below it. Texts are read once and never shuffled.
     """
-    cols = ["doc_id", "source", *keep]
+    cols = ["doc_id", "source", *key_cols]
     text_key = F.xxhash64("text")
     rows = docs.select(*cols, words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_key).alias("pick"))
     rows = stash(rows.withColumn("salt", F.pmod(F.shiftright("pick", 32), F.lit(SALTS))).withColumn("none", F.col("source").isNull()).withColumn("src", F.coalesce("source", F.lit(""))))
@@ -124,11 +124,28 @@ def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFr
     before = W.partitionBy("none", "src", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     quota = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count", "source").join(chosen, ["none", "src", "size"])
     quota = stash(quota.withColumn("quota", F.greatest(F.col("extra") - F.col("before"), F.lit(0))).drop("before", "extra"))
+    discard(counts)
     nth = F.row_number().over(W.partitionBy("none", "src", "size", "salt").orderBy("pick", "doc_id"))
     ranked = rows.withColumn("nth", nth).join(quota, ["none", "src", "size", "salt"])
     return ranked.select(*cols, "size", "source_size", "target", (F.col("passes") + (F.col("nth") <= F.col("quota")).cast("long")).alias("times"))
 
 
+def mixed_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; docs: doc_id, text, source and any others, whatever their names.
+
+    Rows are known by two hashes of all their columns. Which rows are taken is decided on sizes alone; then the texts move
+    once, to meet the numbers. Equal rows meet as one that stands as often as all of them are taken.
+    """
+    taken = [n for n in (f"_{x}" for x in range(len(docs.columns) + 4)) if n not in docs.columns][:4]
+    one, two, nth, total = taken
+    keyed = docs.withColumns({one: F.xxhash64(*docs.columns), two: F.hash(*docs.columns)})
+    mixed = mix(keyed.select("doc_id", "text", "source", one, two), seed, (one, two)).where("times > 0")
+    times = stash(mixed.groupBy(one, two).agg(F.sum("times").alias(total)))
+    first = F.row_number().over(W.partitionBy(one, two).orderBy("doc_id"))
+    single = keyed.withColumn(nth, first).where(F.col(nth) == 1).join(times, [one, two])
+    return single.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(total).cast("int"))).alias(total)).select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 

@@ -215,16 +215,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     return fit([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows]))
 
 
-def score(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
-    """Every row's keep columns and its quality score, 0 to 1. A null text is empty; an empty text has one empty line. Repeated rows stay."""
-    schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
+def score(docs: DataFrame, field: Field, keep: list[str], name: str = "score") -> DataFrame:
+    """Every row's keep columns and, under that name, its quality score, 0 to 1. A null text is empty; an empty text has one empty line. Repeated rows stay; no rows give none."""
+    text = next(x for x in ("_text", "_text_", "_text__") if x not in keep)
+    schema = docs.select(*keep, F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = field.scores([(x.as_py() or "").encode() for x in b.column(0)])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.float64())], names=[*keep, name])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias(text), *keep).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
