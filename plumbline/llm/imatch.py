@@ -31,8 +31,8 @@ DENSITIES = ((0, 4), (4, 7), (11, 10))
 #: The band: a term stands in at least this many documents, and in at most this share of them.
 LEAST, MOST = 2, 0.2
 
-#: Bytes of text that a range of ids holds, about.
-RANGE = 8 << 20
+#: Bytes of text that a range of ids holds, about, and the most ranges that ids are dealt to (a few numbers of each are known to the driver and the plan).
+RANGE, RANGES = 16 << 20, 1 << 16
 
 #: Terms of a range that a task counts before it passes them on.
 HELD = 2_000_000
@@ -46,18 +46,24 @@ def hashes(words: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
-def all_terms(words: set[bytes]) -> str:
-    """A hash of all distinct terms, sorted."""
+def mixed_bits(terms: np.ndarray) -> np.ndarray:
+    mixed = (terms ^ (terms >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def whole_hash(terms: np.ndarray, words: set[bytes]) -> str:
+    """A hash of all terms of the lexicon that a text has, whatever their order; of a text that has none, of all its terms."""
+    if len(terms):
+        return f"{int(mixed_bits(terms).sum()):016x}"
     return xxhash.xxh64_hexdigest(b" ".join(sorted(words)))
 
 
 def subset_hashes(terms: np.ndarray) -> np.ndarray:
     """For each subset the hash of its terms among these (distinct) ones, whatever their order; 0 without any."""
     out = np.zeros((len(DENSITIES), SUBSETS), np.uint64)
-    mixed = (terms ^ (terms >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
+    mixed = mixed_bits(terms)
     for level, (shift, bits) in enumerate(DENSITIES):
         subset = (terms >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
         inside = subset < SUBSETS
@@ -72,7 +78,7 @@ def edited(text: str, after: str) -> str:
 
 
 def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
-    """0 to 1, of fingerprints (hash of all terms, subset hashes): 1 for equal ones; else the share of subsets with equal hashes among those that either text has terms of."""
+    """0 to 1, of fingerprints (hash of all terms of the lexicon, subset hashes): 1 for equal ones; else the share of subsets with equal hashes among those that either text has terms of."""
     used = (a[1] != 0) | (b[1] != 0)
     same = a[1] == b[1]
     if a[0] == b[0] and same.all():
@@ -81,7 +87,7 @@ def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
 
 
 def printed(fingerprint: tuple[str, np.ndarray]) -> str:
-    """A fingerprint as text: the hash of all terms, then for each subset the hash of its terms in the lexicon, or `-`."""
+    """A fingerprint as text: the hash of its terms in the lexicon, then for each subset the hash of its terms in the lexicon, or `-`."""
     return ".".join([fingerprint[0], *(f"{x:016X}" if x else "-" for x in fingerprint[1].tolist())])
 
 
@@ -145,10 +151,11 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def fingerprint(words: set[bytes], terms: np.ndarray) -> tuple[str, np.ndarray]:
-        if not len(known):
-            return all_terms(words), subset_hashes(terms[:0])
-        at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-        return all_terms(words), subset_hashes(terms[known[at] == terms])
+        if len(known):
+            terms = terms[known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms]
+        else:
+            terms = terms[:0]
+        return whole_hash(terms, words), subset_hashes(terms)
 
     for b in batches:
         out: list[tuple] = []
@@ -178,54 +185,68 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=[f.split()[0] for f in _PRINTS.split(", ")])
 
 
+def _numbers(found: list[int]) -> Column:
+    """Numbers as one constant array."""
+    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
+
+
 def _range(cuts: list[int]) -> Column:
-    """The number of cuts that are <= doc_id; null ids come first."""
+    """0 for a null doc_id, else 1 + the number of cuts (ascending) that are <= doc_id, by binary search."""
     if not cuts:
-        return F.lit(0)
-    array = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.coalesce(F.size(F.filter(array, lambda c: c <= F.col("doc_id"))), F.lit(0))
+        return F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("int")
+    array, bits = _numbers(cuts), len(cuts).bit_length()
+    steps = F.array(*[F.lit(1 << x) for x in range(bits - 1, -1, -1)])
+    onward = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(array, at + step - 1) <= F.col("doc_id")), at + step).otherwise(at)
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.aggregate(steps, F.lit(0), onward)).cast("int")
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (part, kind, doc_id, text, terms) of ranges of ids, and the number of documents; next is by ascending doc_id, then text; after the last, the first.
+    """Rows (part, kind, doc_id, text, h, terms) of ranges of ids, and the number of documents; next is by ascending doc_id, then a hash of the text; after the last, the first.
 
-    Ranges of ids hold about RANGE bytes each. The first row of a range also ends the range before it: its id
-    is found from ids alone, and the row is lent to that range, so neighbours meet without a global sort of texts.
+    Ranges of ids hold about RANGE bytes each, or 1 / RANGES of all; an id (or null) that alone fills several ranges is
+    split by the hash. The first row of a range also ends the range before it: it is found from ids and hashes alone,
+    and the row is lent to that range, so neighbours meet without a global sort of texts. Of each range only its size,
+    its first id and hash come to the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    many = max(1, min(int(n), -(-int(size) // RANGE)))
-    cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [x / many for x in range(1, many)], 0.1 / many)}) if many > 1 else []  # a number for each range
-    parts = rows.withColumn("part", _range(cuts))
-    firsts = sorted((r["part"], r["first"]) for r in parts.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect())  # a row for each range
+    each = max(RANGE, -(-int(size) // RANGES))
+    many = max(1, min(int(n), -(-int(size) // each)))
+    cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [x / many for x in range(1, many)], 0.1 / many)}) if many > 1 else []
+    ranges = rows.withColumn("range", _range(cuts))
+    found = ranges.groupBy("range").agg(F.sum(F.octet_length("text")).alias("size"), (F.max("doc_id") > F.min("doc_id")).alias("ids")).collect()  # a row for each range
+    split = [1] * (len(cuts) + 2)
+    for r in found:
+        split[r["range"]] = 1 if r["ids"] else max(1, -(-r["size"] // each))
+    base = np.concatenate(([0], np.cumsum(split)[:-1])).tolist()
+    k = F.get(_numbers(split), F.col("range"))
+    nth = F.least(k - 1, F.floor((F.col("h").cast("double") / float(1 << 64) + 0.5) * k))
+    parts = ranges.withColumn("part", (F.get(_numbers(base), F.col("range")) + nth).cast("int")).drop("range")
     none = F.lit(None).cast("array<long>").alias("terms")
-    own = parts.select("part", F.lit(OWN).alias("kind"), "doc_id", "text", none)
+    own = parts.select("part", F.lit(OWN).alias("kind"), "doc_id", "text", "h", none)
+    firsts = sorted((r["part"], r["first"]) for r in parts.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect())  # a row for each part
     if not firsts:
         return own, 0
-    # the rows of a range's first id, lent to the range before; those of the very first to the last
-    order = [p for p, _ in firsts]
-    lend = [(f["doc_id"], order[x - 1]) for x, (_, f) in enumerate(firsts)]
-    if len(lend) == 1:
-        lend = [(lend[0][0], order[0])]
-    ids = {d: p for d, p in lend}
-    known = {d: p for d, p in ids.items() if d is not None}
-    target = F.element_at(F.create_map(*[x for d, p in known.items() for x in (F.lit(d).cast("long"), F.lit(p))]), F.col("doc_id")) if known else F.lit(None).cast("int")
-    if None in ids:
-        target = F.when(F.col("doc_id").isNull(), F.lit(ids[None])).otherwise(target)
-    lent = rows.withColumn("part", target).where("part is not null").select("part", F.lit(LENT).alias("kind"), "doc_id", "text", none)
-    return own.unionByName(lent), int(n)
+    # the rows that begin a part, lent to the part before; those that begin the first one to the last
+    ids, hs, to = ([0] * sum(split) for _ in range(3))
+    for x, (part, first) in enumerate(firsts):
+        ids[part], hs[part], to[part] = first["doc_id"] or 0, first["h"], firsts[x - 1][0]
+    begins = F.coalesce("doc_id", F.lit(0)) == F.get(_numbers(ids), F.col("part"))
+    lent = parts.where(begins & (F.col("h") == F.get(_numbers(hs), F.col("part"))))
+    return own.unionByName(lent.select(F.get(_numbers(to), F.col("part")).cast("int").alias("part"), F.lit(LENT).alias("kind"), "doc_id", "text", "h", none)), int(n)
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition(F.col("part")).sortWithinPartitions("part", "kind", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.repartition(F.col("part")).sortWithinPartitions("part", "kind", F.col("doc_id").asc_nulls_first(), "h").drop("h")
 
 
 def imatch(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, its edited text's, and how alike they and the next document's are.
 
     docs: doc_id, text. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. A null text is empty. Rows of one id follow by text; null ids come first. One row alone is its own
-    next. A text without terms in the lexicon has only the hash of all its terms. No rows: no result.
+    near_next. A null text is empty. Rows of one id follow by a hash of the text; null ids come first. One row
+    alone is its own next. A text without terms in the lexicon has only the hash of all its terms. No rows: no
+    result. Columns other than doc_id and text are not read.
 
     Texts move twice, in ranges of ids: for their terms, and, with the range's terms of the lexicon, for their fingerprints.
     """
@@ -237,7 +258,7 @@ def imatch(docs: DataFrame) -> DataFrame:
     everywhere = met.withColumn("all", F.sum("n").over(W.partitionBy("term"))).where((F.col("all") >= LEAST) & (F.col("all") <= max(LEAST, MOST * n)))
     asked = stash(everywhere.groupBy("part", F.pmod("term", F.lit(16)).alias("list")).agg(F.collect_set("term").alias("terms")).select("part", "terms"))
     discard(met)
-    known = asked.select("part", F.lit(KNOWN).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "terms")
+    known = asked.select("part", F.lit(KNOWN).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("h"), "terms")
     return _in_order(rows.unionByName(known)).mapInArrow(_prints, _PRINTS)
 
 

@@ -1,5 +1,6 @@
 """Small fixtures against brute force; nulls, empty and repeated rows, ties, empty tables, extra columns."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -248,7 +249,8 @@ def test_imatch_matches_one_pass(spark, docs, monkeypatch):
     rows = [(None if n % 9 == 0 else n // 2, t) for n, t in enumerate(texts)] + [(r.doc_id, r.text) for r in docs.collect()]
     monkeypatch.setattr(imatch, "RANGE", 2000)
     found = imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    order = sorted([(d is not None, d or 0, t or "") for d, t in rows])
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = [(k, d, t) for k, d, _, t in sorted((d is not None, d or 0, h[t or ""], t or "") for d, t in rows)]
     lists = [imatch.words_of(t) for *_, t in order]
     count = Counter(w for words in lists for w in words)
     lexicon = {w for w, c in count.items() if 2 <= c <= max(2, 0.2 * len(rows))}
@@ -258,7 +260,7 @@ def test_imatch_matches_one_pass(spark, docs, monkeypatch):
         for shift, bits in ((0, 4), (4, 7), (11, 10)):
             for s in range(16):
                 out.append(frozenset(w for w in words & lexicon if int(imatch.hashes([w])[0]) >> shift & (1 << bits) - 1 == s))
-        return frozenset(words), out
+        return frozenset(words & lexicon) or frozenset(words), out
 
     def like(a, b):
         used = sum(bool(x or y) for x, y in zip(a[1], b[1], strict=True))
@@ -268,8 +270,25 @@ def test_imatch_matches_one_pass(spark, docs, monkeypatch):
     for k, (known, d, t) in enumerate(order):
         after = order[(k + 1) % len(order)][2]
         own, e, nxt = (prints(imatch.words_of(x)) for x in (t, imatch.edited(t, after), after))
-        want.append((d if known else None, len(t), round(like(own, e), 9), round(like(own, nxt), 9)))
-    assert Counter(want) == Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
+        want.append((d if known else None, len(t), round(like(own, e), 9), round(like(own, nxt), 9), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    assert Counter(want) == Counter((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9), r.edited_sha256) for r in found)
+    # a word outside the lexicon makes no difference to a fingerprint
+    extra = [(1000, texts[5] + " onlyhere"), (1001, texts[5])]
+    both = {r.doc_id: r.fingerprint for r in imatch.imatch(spark.createDataFrame(rows + extra, "doc_id long, text string")).where("doc_id >= 1000").collect()}
+    assert both[1000] == both[1001]
+
+
+def test_imatch_splits_an_id_that_fills_ranges(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE", 300)
+    rows = [(None if n % 3 else 7, f"text {n} " * (n % 5)) for n in range(60)] + [(7, "same")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, _ = imatch.dealt(df)
+    assert parts.where("kind = 1").groupBy("doc_id").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 2
+    found = imatch.imatch(df).collect()
+    h = {r.t: r.h for r in df.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    order = [t for *_, t in sorted((d is not None, d or 0, h[t], t) for d, t in rows)]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(order))
+    assert Counter(r.edited_sha256 for r in found) == want
 
 
 def test_html_template_is_a_share_of_different_pages(spark):
