@@ -32,7 +32,7 @@ DENSITIES = ((0, 4), (4, 7), (11, 10))
 LEAST, MOST = 2, 0.2
 
 #: Bytes of text that a range of ids holds, about, and the most ranges that ids are dealt to (a few numbers of each are known to the driver and the plan).
-RANGE, RANGES = 16 << 20, 1 << 16
+RANGE, RANGES = 32 << 20, 1 << 16
 
 #: Terms of a range that a task counts before it passes them on.
 HELD = 2_000_000
