@@ -7,14 +7,31 @@ strings and comments, and missing statement ends; it skips what it does not know
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass, field
 
-#: Names whose calls are no edges, as callee object.
+#: Seconds that one source may take.
+LIMIT = 60
+
+#: Packages and functions of the standard library; calls of which they are the object are no edges.
 BUILTINS = frozenset(
-    "DBMS_OUTPUT DBMS_LOB DBMS_SQL DBMS_JOB DBMS_SCHEDULER DBMS_LOCK DBMS_UTILITY DBMS_RANDOM DBMS_METADATA DBMS_STATS DBMS_XMLGEN UTL_FILE UTL_HTTP UTL_SMTP UTL_RAW UTL_ENCODE "
-    "NVL NVL2 DECODE COALESCE NULLIF SUBSTR INSTR LENGTH TRIM LTRIM RTRIM UPPER LOWER REPLACE REGEXP_REPLACE REGEXP_LIKE TO_CHAR TO_NUMBER TO_DATE TO_TIMESTAMP SYSDATE SYSTIMESTAMP TRUNC ROUND FLOOR CEIL "
-    "MOD ABS POWER SQRT GREATEST LEAST COUNT SUM MAX MIN AVG".split()
+    "DBMS_OUTPUT DBMS_SQL DBMS_UTILITY DBMS_METADATA DBMS_LOCK DBMS_SESSION DBMS_APPLICATION_INFO DBMS_TRANSACTION UTL_FILE UTL_HTTP UTL_SMTP UTL_RAW UTL_I18N SYS STANDARD DUAL "
+    "TO_DATE TO_CHAR TO_NUMBER TO_TIMESTAMP TO_CLOB NVL NVL2 NULLIF COALESCE DECODE TRIM LTRIM RTRIM SUBSTR INSTR LENGTH UPPER LOWER REPLACE REGEXP_REPLACE REGEXP_LIKE SYSDATE SYSTIMESTAMP "
+    "TRUNC ROUND FLOOR CEIL ABS MOD POWER SQRT RAISE_APPLICATION_ERROR ROWNUM ROWID".split()
+)
+#: Functions that the grammar knows by name; without a dot before them they are no calls.
+STANDARD = frozenset(
+    "SUBSTR TO_CHAR DECODE CHR NVL TRIM TO_DATE SUM COUNT ROUND AVG MIN MAX LEAST GREATEST CORR LAG_DIFF LAG_DIFF_PERCENT MEDIAN NTH_VALUE NTILE RATIO_TO_REPORT ROW_NUMBER VARIANCE "
+    "REGR_SLOPE REGR_INTERCEPT REGR_COUNT REGR_R2 REGR_AVGX REGR_AVGY REGR_SXX REGR_SYY REGR_SXY STDDEV STDDEV_POP STDDEV_SAMP VAR_POP VAR_SAMP COVAR_POP COVAR_SAMP "
+    "CAST XMLCAST COALESCE COLLECT CUME_DIST DENSE_RANK LISTAGG PERCENT_RANK PERCENTILE_CONT PERCENTILE_DISC RANK DECOMPOSE EXTRACT FIRST_VALUE LAST_VALUE LEAD LAG "
+    "PREDICTION PREDICTION_BOUNDS PREDICTION_COST PREDICTION_DETAILS PREDICTION_PROBABILITY PREDICTION_SET TO_BINARY_DOUBLE TO_BINARY_FLOAT TO_NUMBER TO_TIMESTAMP TO_TIMESTAMP_TZ TO_DSINTERVAL TO_YMINTERVAL "
+    "TRANSLATE TREAT VALIDATE_CONVERSION XMLAGG XMLCOLATTVAL XMLFOREST XMLELEMENT XMLEXISTS XMLPARSE XMLPI XMLQUERY XMLROOT XMLSERIALIZE XMLTABLE "
+    "JSON_ARRAY JSON_ARRAYAGG JSON_OBJECT JSON_OBJECTAGG JSON_QUERY JSON_SERIALIZE JSON_TRANSFORM JSON_VALUE JSON_TABLE".split()
 )
+#: Operators that need a value after them, and what stands there when none does.
+NEEDS_VALUE = frozenset([":=", "=", "<", ">", "<=", ">=", "<>", "!=", "^=", "~=", "+", "-", "||"])
+NO_VALUE = frozenset([";", ",", ":=", "=", "<", ">", "<=", ">=", "<>", "!=", "^=", "~=", "*", "||"])
+
 #: Words that an opening parenthesis may follow without a call.
 KEYWORDS = frozenset(
     "AND OR NOT IN IF ELSIF WHILE WHEN THEN ELSE CASE RETURN SELECT FROM WHERE ON USING VALUES INTO SET BY HAVING UNION ALL ANY SOME EXISTS BETWEEN LIKE IS NULL AS OVER PARTITION WITHIN GROUP ORDER KEEP "
@@ -86,6 +103,10 @@ class Parser:
         self.facts = Facts()
         self.seen: set[tuple] = set()
         self.seqs: dict[str, int] = {}
+        self.until_time = time.monotonic() + LIMIT
+        for x, y in zip(self.t, self.t[1:], strict=False):
+            if x.kind == y.kind == "op" and x.text in NEEDS_VALUE and y.text in NO_VALUE:
+                raise Problem(f"line {y.line}:{y.at - source.rfind(chr(10), 0, y.at) - 1} no value before {y.text}")
 
     # -- reading
     def up(self, k: int = 0) -> str:
@@ -116,6 +137,8 @@ class Parser:
             self.facts.table_accesses.append((scope, schema or None, table, op))
 
     def statement(self, parent: int | None, position: int, kind: str, a: int, b: int, text: str | None = None) -> int:
+        if time.monotonic() > self.until_time:
+            raise Problem(f"timeout after {LIMIT} s")
         sub = self.scope_name
         seq = self.seqs.get(sub, 0)
         self.seqs[sub] = seq + 1
@@ -138,6 +161,12 @@ class Parser:
             f = frames[-1]
             if t[x].text == "(":
                 inner = t[x + 1].upper if x + 1 < b else ""
+                wanted = f["tables"] and f.get("want") and not (x > a and t[x - 1].upper in ("TABLE", "LATERAL"))
+                f["want"] = False  # what stands in these parentheses is this place's table; a name after them is its alias
+                if wanted and inner not in ("SELECT", "WITH"):  # a join in parentheses
+                    frames.append({"op": f["op"], "tables": True, "want": True})
+                    x += 1
+                    continue
                 # a subquery in a FROM list or after INTO is a statement of its own; others keep the operation outside
                 frames.append({"op": "SELECT" if inner in ("SELECT", "WITH") and f["tables"] else f["op"], "tables": False, "arg": not f["tables"]})
             elif t[x].text == ")":
@@ -166,8 +195,8 @@ class Parser:
                 elif u not in KEYWORDS and (x == a or t[x - 1].text != "."):
                     parts, y = self.dotted(x)
                     k = x
-                    while y < b and t[y].text == "(":
-                        if not (f["tables"] and f.get("want")):
+                    while y < b and t[y].text == "(" and not (y + 2 < b and t[y + 1].text == "+" and t[y + 2].text == ")"):  # (+) marks an outer join
+                        if not (f["tables"] and f.get("want")) and not (len(parts) == 1 and parts[0] in STANDARD):
                             self.edge(parts)
                         close = self.closing(y, b)
                         if close + 1 < b and t[close + 1].text == "." and t[close + 2].kind == "id":
@@ -507,5 +536,9 @@ def parse_unit(source: str, name: str) -> Facts:
         p.unit()
         p.facts.substatements = merge_others(p.facts.substatements)
         return p.facts
-    except (Problem, IndexError) as e:
-        return Facts("error", str(e) or "line 1:0 unexpected end")
+    except Problem as e:
+        return Facts("error", str(e))
+    except RecursionError:
+        return Facts("error", "line 1:0 nested too deeply")
+    except Exception as e:  # one source's failure is its status, never the job's
+        return Facts("error", f"line 1:0 unexpected end ({type(e).__name__})")

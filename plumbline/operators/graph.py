@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.store import Store
 
-#: Statuses that a visit ends with.
-STUBS = ("missing", "cycle", "wrapped", "error", "unindexed")
-
 #: Levels between cuts of lineage.
 CUT = 8
 
@@ -32,6 +29,7 @@ def dependency_tree(roots: DataFrame, edges: DataFrame, info: DataFrame, max_dep
     level = roots.select(node.alias("root"), F.upper("schema_name").alias("schema_name"), F.upper("object_name").alias("object_name"), "subprogram", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("ord"))
     calls = edges.select("caller_schema", "caller_object", "caller_subprogram", F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("callee_schema"), "callee_object", "callee_subprogram").distinct()
     kinds = info.select("schema_name", "object_name", "object_type", F.col("status").alias("found"))
+    calls, kinds = calls.persist(), kinds.persist()  # read at every level
     visits: DataFrame | None = None
     depth = 0
     while True:
@@ -59,8 +57,59 @@ def with_accesses(visits: DataFrame, accesses: DataFrame) -> DataFrame:
 
 
 def reach(roots: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
-    """Distinct nodes that a root reaches, with its smallest depth: what a summary visits once."""
-    return dependency_tree(roots, edges, info).groupBy("root", "schema_name", "object_name", "subprogram", "status").agg(F.min("depth").alias("depth"), F.count("*").alias("visits"))
+    """Distinct nodes that a root reaches, with status and smallest depth: what a summary visits once.
+
+    Breadth first: a node that a root has visited is not expanded again, so shared subtrees cost one visit each.
+    """
+    key = ["root", "schema_name", "object_name", "_sub"]
+    sub = F.upper(F.coalesce("subprogram", F.lit("")))
+    root = _label(F.col("schema_name"), F.col("object_name"), F.col("subprogram"))
+    calls = edges.select("caller_schema", "caller_object", F.upper(F.coalesce("caller_subprogram", F.lit(""))).alias("_sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), "callee_object", "callee_subprogram").distinct().persist()
+    kinds = info.select("schema_name", "object_name", "object_type", F.col("status").alias("found")).persist()
+    level = roots.select(root.alias("root"), F.upper("schema_name").alias("schema_name"), F.upper("object_name").alias("object_name"), "subprogram", sub.alias("_sub"), F.lit(0).alias("depth"))
+    visited: DataFrame | None = None
+    while True:
+        new = level.dropDuplicates(key)
+        new = new if visited is None else new.join(visited.select(*key), key, "left_anti")
+        new = new.join(kinds, ["schema_name", "object_name"], "left").withColumn("status", F.coalesce("found", F.lit("missing"))).drop("found")
+        cut = new.sparkSession.sparkContext.getCheckpointDir()
+        new = new.checkpoint() if cut else new.persist()
+        if visited is not None and new.isEmpty():
+            return visited.drop("_sub")
+        visited = new if visited is None else visited.unionByName(new)
+        same = (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v.object_name") == F.col("e.caller_object")) & (F.col("v._sub") == F.col("e._sub"))
+        level = new.where("status = 'ok'").alias("v").join(calls.alias("e"), same).select(
+            "root", F.col("to_schema").alias("schema_name"), F.col("callee_object").alias("object_name"), F.col("callee_subprogram").alias("subprogram"),
+            F.upper(F.coalesce("callee_subprogram", F.lit(""))).alias("_sub"), (F.col("depth") + 1).alias("depth"),
+        )
+
+
+def rendered(visits: DataFrame) -> DataFrame:
+    """The trees of all roots as text: root, at, line. Ordered by root and at, the lines are what render() prints of each root.
+
+    A line's lead follows from whether each of its ancestors is the last of its siblings, so it is a join of visits
+    with the visits above them, and no tree comes together in one task. Tables stand before calls.
+    """
+    none = F.array().cast("array<string>")
+    v = visits.withColumn("tables", F.col("tables")) if "tables" in visits.columns else visits.withColumn("tables", none)
+    parent = F.slice("ord", 1, F.greatest(F.col("depth") - 1, F.lit(0)))
+    label = F.concat("object_name", F.coalesce(F.concat(F.lit("."), F.nullif("subprogram", F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit(" ("), "object_type", F.lit(")")), F.lit("")), F.when(F.col("status") != "ok", F.concat(F.lit(" ["), "status", F.lit("]"))).otherwise(""))
+    v = v.select("root", "depth", "ord", "tables", parent.alias("parent"), label.alias("label"))
+    last = v.where("depth > 0").groupBy("root", "parent").agg(F.max("ord").alias("last"))
+    ends = v.where("depth > 0").join(last, ["root", "parent"]).select("root", "ord", (F.col("ord") == F.col("last")).alias("is_last"))
+    has_calls = last.select("root", F.col("parent").alias("ord"), F.lit(True).alias("calls"))
+    ups = v.where("depth > 0").select("root", "ord", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ord")), lambda n: F.slice("ord", 1, n))).alias("n", "up"))
+    flags = ups.join(ends.withColumnRenamed("ord", "up"), ["root", "up"]).groupBy("root", "ord").agg(F.array_sort(F.collect_list(F.struct("n", "is_last"))).alias("flags"))
+    lead = lambda flags: F.array_join(F.transform(flags, lambda f: F.when(f["is_last"], "    ").otherwise("│   ")), "")
+    stick = lambda is_last: F.when(is_last, "└── ").otherwise("├── ")
+    full = v.join(flags, ["root", "ord"], "left").join(has_calls, ["root", "ord"], "left")
+    above = F.concat(F.lit("    "), lead(F.slice("flags", 1, F.size("flags") - 1)), stick(F.element_at("flags", -1)["is_last"]))
+    lines = full.select("root", F.transform("ord", lambda x: F.concat(F.lit("1"), x)).alias("at"), F.concat(F.when(F.col("depth") > 0, above).otherwise(""), "label").alias("line"))
+    below = F.concat(F.lit("    "), F.when(F.col("depth") > 0, lead(F.col("flags"))).otherwise(""))
+    leaves = full.select("root", "ord", "calls", below.alias("below"), F.size("tables").alias("many"), F.posexplode("tables").alias("n", "name"))
+    ends_here = (F.col("n") == F.col("many") - 1) & F.col("calls").isNull()
+    leaves = leaves.select("root", F.concat(F.transform("ord", lambda x: F.concat(F.lit("1"), x)), F.array(F.concat(F.lit("0"), F.lpad(F.col("n").cast("string"), 9, "0")))).alias("at"), F.concat("below", stick(ends_here), F.lit("TABLE "), "name").alias("line"))
+    return lines.unionByName(leaves)
 
 
 def render(visits: DataFrame) -> list[str]:

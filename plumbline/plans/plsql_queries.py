@@ -88,11 +88,11 @@ def explain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part sizes as nodes, each calling another one; every path ends in a cycle."""
-    p = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 13).alias("i")).distinct()
+    """Each part calls another one of its block of 13 keys; every path ends in a cycle, or where a key is missing."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("i")).distinct()
     s = lambda x: F.concat(F.lit("P_"), x)
-    none = F.lit(None).cast("string")
-    edges = p.select(F.lit("APP").alias("caller_schema"), s(F.col("i")).alias("caller_object"), none.alias("caller_subprogram"), none.alias("callee_schema"), s((F.col("i") * 7 + 3) % 13).alias("callee_object"), none.alias("callee_subprogram"))
+    none, block = F.lit(None).cast("string"), F.expr("i div 13 * 13")
+    edges = p.select(F.lit("APP").alias("caller_schema"), s(F.col("i")).alias("caller_object"), none.alias("caller_subprogram"), none.alias("callee_schema"), s(block + (F.col("i") % 13 * 7 + 3) % 13).alias("callee_object"), none.alias("callee_subprogram"))
     info = p.select(F.lit("APP").alias("schema_name"), s(F.col("i")).alias("object_name"), F.lit("PROCEDURE").alias("object_type"), F.lit("ok").alias("status"))
     roots = info.select("schema_name", "object_name", none.alias("subprogram"))
     return graph.dependency_tree(roots, edges, info).select("root", "object_name", "depth", "status")
@@ -125,9 +125,9 @@ UNION ALL SELECT 'APP.O_' || o_orderkey || '.', 'N_' || c_nationkey, 2, CASE WHE
 UNION ALL SELECT 'APP.O_' || o_orderkey || '.', 'R_' || n_regionkey, 3, CASE WHEN n_regionkey = 4 THEN 'missing' ELSE 'ok' END FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey <> 3
 """,
     "explain_cycle": """
-WITH RECURSIVE p AS (SELECT DISTINCT p_partkey % 13 AS i FROM part), w AS (
-  SELECT i AS root, i, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM p
-  UNION ALL SELECT root, (i * 7 + 3) % 13, depth + 1, list_append(path, i) FROM w WHERE NOT list_contains(path, i)
-) SELECT 'APP.P_' || root || '.' AS root, 'P_' || i AS object_name, depth, CASE WHEN list_contains(path, i) THEN 'cycle' ELSE 'ok' END AS status FROM w
+WITH RECURSIVE p AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS i FROM part), w AS (
+  SELECT i AS root, i, 0 AS depth, CAST([] AS BIGINT[]) AS path, true AS there FROM p
+  UNION ALL SELECT w.root, n.i, w.depth + 1, list_append(w.path, w.i), q.i IS NOT NULL FROM w, LATERAL (SELECT w.i // 13 * 13 + (w.i % 13 * 7 + 3) % 13 AS i) n LEFT JOIN p q ON q.i = n.i WHERE w.there AND NOT list_contains(w.path, w.i)
+) SELECT 'APP.P_' || root || '.' AS root, 'P_' || i AS object_name, depth, CASE WHEN list_contains(path, i) THEN 'cycle' WHEN NOT there THEN 'missing' ELSE 'ok' END AS status FROM w
 """,
 }

@@ -19,7 +19,7 @@ SHARED: dict[str, str] = {
     "cte_chain": "WITH a AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, count(*) AS n FROM a GROUP BY o_custkey) SELECT o_custkey, n FROM b WHERE n > 1",
     "filter_between_like": "SELECT p_partkey, p_type FROM part WHERE p_size BETWEEN 10 AND 20 AND p_type LIKE '%A%' AND p_brand IS NOT NULL",
     "filter_in_subquery": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
-    "filter_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "filter_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "filter_all_subquery": "SELECT p_partkey FROM part WHERE p_size >= (SELECT max(p_size) FROM part)",
     "case_expression": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "decode_expression": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders",
@@ -39,7 +39,7 @@ SHARED: dict[str, str] = {
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
-    "set_minus": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier",
+    "set_minus": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 8000",
     # I.4 aggregation
     "group_having": "SELECT o_custkey, count(*) AS n, CAST(sum(o_totalprice) AS DECIMAL(18,2)) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 2",
     "group_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
@@ -60,6 +60,7 @@ SHARED: dict[str, str] = {
     # I.6 sort and limit
     "fetch_ties": "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) t WHERE r <= 10",
     "offset_fetch": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
+    "fetch_percent": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderkey FROM orders) d) t WHERE r <= ceil(n * 5 / 100.0)",
     # I.7 mutations, as the rows that they would leave
     "update_tuple": "SELECT c.c_custkey, coalesce(t.m, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) t ON t.o_custkey = c.c_custkey",
     "delete_where": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal < 0)",
@@ -73,20 +74,6 @@ SHARED: dict[str, str] = {
     "math_functions": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_quantity) AS f, ceil(l_discount * 10) AS c, abs(l_tax - l_discount) AS a, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS e FROM lineitem",
     "null_functions": "SELECT d.doc_id, coalesce(l.quality, -1) AS q, nullif(l.toxic, 0) AS t FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "date_functions": "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('month', o_orderdate) AS first FROM orders",
-    # keys and change tracking of source objects, with documents as sources
-    "change_counts": (
-        "WITH old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE n_chars > 500), new AS (SELECT doc_id, md5(CASE WHEN n_chars > 5000 THEN upper(text) ELSE text END) AS h FROM documents) "
-        "SELECT CASE WHEN old.h IS NULL THEN 'inserted' WHEN old.h = new.h THEN 'unchanged' ELSE 'updated' END AS outcome, count(*) AS n FROM new LEFT JOIN old ON new.doc_id = old.doc_id GROUP BY 1"
-    ),
-    "pending_parse": "SELECT o.o_orderkey FROM orders o LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority <> '1-URGENT') d ON o.o_orderkey = d.o_orderkey AND o.o_orderstatus = d.o_orderstatus WHERE d.o_orderkey IS NULL",
-    "object_info": "SELECT o.o_orderkey, coalesce(p.o_orderstatus, 'unindexed') AS status FROM orders o LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') p ON o.o_orderkey = p.o_orderkey",
-    "upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1",
-    "merge_others": (
-        "SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events) t "
-        "GROUP BY user_id, event_type, island"
-    ),
-    "first_per_key": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) t WHERE rn = 1",
-    "cache_prefix_invalid": "SELECT conv_id, turn, max(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS invalid FROM conversations",
 }
 
 #: Spark text and DuckDB text, where they differ.
@@ -115,24 +102,7 @@ TWO: dict[str, tuple[str, str]] = {
         "SELECT b.item_id, count(*) AS n, max(length(w.word)) AS longest FROM benchmark b, LATERAL explode(split(b.text, ' ')) AS w(word) GROUP BY b.item_id",
         "SELECT item_id, count(*) AS n, max(length(word)) AS longest FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word FROM benchmark) GROUP BY item_id",
     ),
-    "fetch_percent": (
-        "SELECT o_orderkey FROM (SELECT o_orderkey, ntile(100) OVER (ORDER BY o_orderkey) AS c FROM (SELECT DISTINCT o_orderkey FROM orders)) WHERE c <= 5",
-        "SELECT o_orderkey FROM (SELECT o_orderkey, ntile(100) OVER (ORDER BY o_orderkey) AS c FROM (SELECT DISTINCT o_orderkey FROM orders)) WHERE c <= 5",
-    ),
-    "source_hash": ("SELECT doc_id, sha2(text, 256) AS source_hash FROM documents", "SELECT doc_id, sha256(text) AS source_hash FROM documents"),
-    "assemble_source": (
-        "SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, text))), x -> coalesce(x.text, '')), '') AS source_text FROM conversations GROUP BY conv_id",
-        "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS source_text FROM conversations GROUP BY conv_id",
-    ),
-    "chunk_hash": (
-        "SELECT conv_id, sha2(array_join(transform(array_sort(collect_list(struct(turn, sha2(text, 256) AS h))), x -> x.h), '|'), 256) AS chunk_hash FROM conversations GROUP BY conv_id",
-        "SELECT conv_id, sha256(string_agg(sha256(text), '|' ORDER BY turn)) AS chunk_hash FROM conversations GROUP BY conv_id",
-    ),
-    "json_field": ("SELECT event_id, length(props) AS n, get_json_object(props, '$.nope') AS none FROM events", "SELECT event_id, length(props) AS n, json_extract_string(props, '$.nope') AS none FROM events"),
-    "subtree_len": (
-        "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS subtree FROM conversations",
-        "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS subtree FROM conversations",
-    ),
+    "json_field": ("SELECT event_id, length(props) AS n, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, length(props) AS n, json_extract_string(props, '$.k') AS k FROM events"),
 }
 
 

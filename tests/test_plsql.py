@@ -50,3 +50,34 @@ def test_wrapped_and_errors():
     bad = parse_unit("PROCEDURE p IS BEGIN f(1; END;", "P")
     assert bad.status == "error" and bad.error_message.startswith("line") and not bad.call_edges
     assert parse_unit("PROCEDURE p IS BEGIN x := 'open; END;", "P").status == "error"
+
+
+def calls(body: str) -> set[str]:
+    f = parse_unit(f"PROCEDURE p IS BEGIN {body} END;", "P")
+    assert f.status == "ok", f.error_message
+    return {".".join(x for x in e[1:] if x) for e in f.call_edges}
+
+
+def tables(body: str) -> set[tuple]:
+    f = parse_unit(f"PROCEDURE p IS BEGIN {body} END;", "P")
+    assert f.status == "ok", f.error_message
+    return {(a[2], a[3]) for a in f.table_accesses}
+
+
+def test_standard_library_is_no_edge():
+    assert calls("raise_application_error(-20001, 'x'); sys.do_it(1); dbms_lob.append(a, b); dbms_session.set_role('x'); to_clob(1);") == {"DBMS_LOB.APPEND"}
+    assert calls("SELECT stddev(a), lead(b) OVER (ORDER BY c), percentile_cont(0.5) WITHIN GROUP (ORDER BY d), first_value(e) OVER (ORDER BY f), ntile(4) OVER (ORDER BY g), translate(h, 'a', 'b'), json_object('k' VALUE i), chr(10), xmlagg(j), greatest(1, 2) INTO v FROM t;") == set()
+    assert calls("v := pkg.lead(1) + my.chr(2);") == {"PKG.LEAD", "MY.CHR"}
+
+
+def test_aliases_are_no_tables():
+    assert tables("SELECT 1 INTO v FROM t1, (SELECT b FROM t2) z, TABLE(f(1)) q, t3 x WHERE a IN (SELECT c FROM t4);") == {(t, "SELECT") for t in ("T1", "T2", "T3", "T4")}
+    assert tables("SELECT 1 INTO v FROM (t1 a JOIN t2 b ON a.x = b.x) LEFT JOIN t3 c ON c.x = a.x;") == {(t, "SELECT") for t in ("T1", "T2", "T3")}
+
+
+def test_no_source_breaks_a_job():
+    deep = "PROCEDURE p IS BEGIN " + "IF a THEN " * 1500 + "NULL;" + " END IF;" * 1500 + " END;"
+    assert parse_unit(deep, "P").status in ("ok", "error")
+    assert parse_unit("PROCEDURE p IS BEGIN x := = 3 + ; END;", "P").status == "error"
+    assert parse_unit("", "P").status in ("ok", "error")
+    assert calls("SELECT a INTO v FROM t, u WHERE t.x = u.x (+); v := -f(1);") == {"F"}
