@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunks, extract, graph, store
+from plumbline.operators import chunks, extract, graph, store, summarize
 from plumbline.sources.lines import assemble
 
 
@@ -178,11 +178,27 @@ def tree_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("root", F.row_number().over(W.partitionBy("root").orderBy("at")).alias("nth"), "line")
 
 
+def bottom_up_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all diamonds from the leaves up, by the offline completer, which counts the callees that a prompt lists."""
+    roots, edges, info = _diamonds(spark, sf_dir)
+    sources = info.select("schema_name", "object_name", "object_type", F.lit("x").alias("source_text"), F.lit("h").alias("source_hash"))
+    accesses = info.limit(0).select("schema_name", "object_name", F.lit("").alias("subprogram"), F.lit("").alias("table_schema"), F.lit("").alias("table_name"), F.lit("").alias("operation"))
+    return summarize.summarize(roots, edges, info, sources, accesses).select("object_name", "summary")
+
+
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each customer, with its orders as callees and its nation as a table."""
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("O_"), F.col("o_orderkey"), F.lit(": done")))).alias("calls"))
+    c = _t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    rows = c.select(F.lit("APP").alias("schema_name"), F.concat(F.lit("C_"), F.col("c_custkey")).alias("object_name"), F.lit("").alias("sub"), F.lit("PROCEDURE").alias("object_type"), F.concat(F.lit(" "), "c_name").alias("fragment"), F.array(F.concat(F.lit("N_"), F.col("c_nationkey"), F.lit(" (SELECT)"))).alias("tables"), F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))
+    return rows.select("object_name", summarize.prompt().alias("prompt"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         assemble_source, source_hash, change_counts, pending_parse, object_info, upsert_latest, replace_facts, first_per_key, builtin_filter, call_edges_schema, wrapped_flag, statement_tree, merge_others,
-        subtree_len, chunk_hash, chunk_pack, cache_prefix_invalid, explain_diamond, diamond_once, tree_render,
+        subtree_len, chunk_hash, chunk_pack, cache_prefix_invalid, explain_diamond, diamond_once, tree_render, bottom_up_height, prompt_build,
     )
 }
 
@@ -232,6 +248,12 @@ WITH RECURSIVE r AS (SELECT conv_id, turn - turn % 3 AS root, sum(length(text))
     "cache_prefix_invalid": "SELECT CAST(conv_id AS VARCHAR) AS object_name, CAST(turn AS INTEGER) AS chunk_index, max(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0 AS valid FROM conversations",
     "explain_diamond": f"SELECT 'APP.T_' || k || '.' AS root, v.p || '_' || k AS object_name, v.depth, 'ok' AS status FROM {_NODES}, (VALUES ('T', 0), ('L', 1), ('R', 1), ('E', 2), ('E', 2)) v(p, depth)",
     "diamond_once": f"SELECT 'APP.T_' || k || '.' AS root, v.p || '_' || k AS object_name, v.depth, 'ok' AS status FROM {_NODES}, (VALUES ('T', 0), ('L', 1), ('R', 1), ('E', 2)) v(p, depth)",
+    "bottom_up_height": f"SELECT v.p || '_' || k AS object_name, 'Object: APP.' || v.p || '_' || k || ' (PROCEDURE) calls ' || v.n AS summary FROM {_NODES}, (VALUES ('T', 2), ('L', 1), ('R', 1), ('E', 0)) v(p, n)",
+    "prompt_build": (
+        "SELECT 'C_' || c_custkey AS object_name, 'Object: APP.C_' || c_custkey || ' (PROCEDURE)' || chr(10) || chr(10) || 'Source code:' || chr(10) || '```plsql' || chr(10) || c_name || chr(10) || '```' || chr(10) || chr(10) "
+        "|| 'Table accesses:' || chr(10) || '- N_' || c_nationkey || ' (SELECT)' || chr(10) || chr(10) || coalesce('Called objects:' || chr(10) || o.calls || chr(10) || chr(10), '') "
+        "|| 'Write a short description (2-4 sentences) of what this object does.' AS prompt FROM customer LEFT JOIN (SELECT o_custkey, string_agg('- O_' || o_orderkey || ': done', chr(10) ORDER BY 'O_' || o_orderkey || ': done') AS calls FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1) o ON o_custkey = c_custkey"
+    ),
     "tree_render": (
         f"SELECT 'APP.T_' || k || '.' AS root, v.nth, replace(v.line, '#', k || ' (PROCEDURE)') AS line FROM {_NODES}, (VALUES (1, 'T_#'), (2, '    ├── L_#'), (3, '    │   ├── TABLE A SELECT'), "
         "(4, '    │   ├── TABLE B SELECT'), (5, '    │   └── E_#'), (6, '    └── R_#'), (7, '        └── E_#')) v(nth, line)"
