@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ INSIDE_RECURS, INSIDE_SHARE = 5, 0.5
 #: Elements without content, elements of running text, and those whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas".split())
 DROPPED = frozenset("nav header footer aside form button select dialog menu fieldset head".split()) | RAW
 #: An open element that ends when one of these begins inside it.
 CLOSES = {
@@ -51,9 +52,12 @@ ARTICLE = frozenset(["article", "main"])
 #: Elements that are no template by themselves inside an article.
 PARTS = INLINE | frozenset("li dt dd td th tr tbody thead tfoot caption br".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A tag ends at the first `>` outside quotes, or, if a quote stays open or another tag begins before it, at the first `>`. No part can be read in two ways, so the search is linear.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*+)(?:((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)>)", re.S)
+#: An attribute's name and value; values are read whole, so that words in them are no names.
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
@@ -68,9 +72,16 @@ class Node:
 def parse(page: str) -> Node:
     """A page's element tree. Stray ends are dropped; open elements end with what holds them."""
     root = Node("#root", "")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n, last = [root], 0, len(page), page.rfind(">")
+    block = [0]  # for each open element the place of the nearest one that is not inline
+    opened: Counter[str] = Counter()
+
+    def cut(x: int) -> None:
+        opened.subtract(y.name for y in stack[x:])
+        del stack[x:], block[x:]
+
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None  # no tag ends after the last `>`
         if m is None:
             stack[-1].items.append(page[at:])
             break
@@ -82,28 +93,28 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            for x in range(len(stack) - 1, 0, -1):
+            for x in range(len(stack) - 1 if opened[name] > 0 else 0, 0, -1):
                 if stack[x].name == name:
-                    del stack[x:]
+                    cut(x)
                     break
                 if name in INLINE and stack[x].name not in INLINE:  # an inline end does not close a block
                     break
             continue
         while len(stack) > 1:
             # an element that the new one ends, looked for up to the nearest holder
-            x = len(stack) - 1
-            while x > 0 and stack[x].name in INLINE:
-                x -= 1
+            x = block[-1]
             if x > 0 and name in CLOSES.get(stack[x].name, ()):
-                del stack[x:]
+                cut(x)
                 continue
             if stack[-1].name not in SCOPE and x > 0 and stack[x].name not in SCOPE and name in ("li", "dt", "dd", "tr", "td", "th"):
                 y = next((y for y in range(x, 0, -1) if stack[y].name in CLOSES and name in CLOSES[stack[y].name]), 0)
                 if y and not any(s.name in ("ul", "ol", "dl", "table") for s in stack[y:]):
-                    del stack[y:]
+                    cut(y)
                     continue
             break
-        node = Node(name, m[3] or "")
+        attrs = m[3] if m[3] is not None else m[4] or ""
+        closed = attrs.endswith("/")
+        node = Node(name, attrs.removesuffix("/"))
         stack[-1].items.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -111,8 +122,10 @@ def parse(page: str) -> Node:
                 node.items.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
                 continue
-        if name not in VOID and not m[4]:
+        if name not in VOID and not closed:
+            block.append(block[-1] if name in INLINE else len(stack))
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -126,28 +139,25 @@ def _marks(value: str) -> bool:
     return False
 
 
+def attributes(node: Node) -> list[tuple[str, str]]:
+    """Names and values, lower-case."""
+    return [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(node.attrs)] if node.attrs else []
+
+
 def hidden(node: Node) -> bool:
     """Whether name, role or a hidden attribute says that this is no part of an article."""
     if node.name in DROPPED:
         return True
-    if not node.attrs:
+    if node.name in ("html", "body"):
         return False
-    for m in _ATTR.finditer(node.attrs):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if kind == "hidden" and re.search(r"(^|\s)hidden(\s|=|$)", node.attrs, re.I):
-            return True
-        if kind == "aria-hidden" and value == "true":
-            return True
-        if kind == "role" and _marks(value):
-            return True
-    return False
+    return any(kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and _marks(value)) for kind, value in attributes(node))
 
 
 def classed(node: Node) -> bool:
-    """Whether a class or id says so; on html and body it says nothing."""
-    if not node.attrs or node.name in ("html", "body"):
+    """Whether a class or id says so; on html, body, main and article it says nothing."""
+    if node.name in ("html", "body") or node.name in ARTICLE:
         return False
-    return any(m[1].lower() in ("class", "id") and _marks((m[2] or m[3] or m[4] or "").lower()) for m in _ATTR.finditer(node.attrs))
+    return any(kind in ("class", "id") and _marks(value) for kind, value in attributes(node))
 
 
 def marked(node: Node) -> bool:
@@ -175,36 +185,41 @@ def digest(root: Node) -> None:
         x.digest = h.intdigest()
 
 
-def article(root: Node) -> Node | None:
-    """The page's article: the one with the most text of its article elements, else its main element; None without.
+def articles(root: Node) -> list[Node]:
+    """The page's articles: its outermost article elements, else main elements, that stand under the fewest marked elements; none without such an element.
 
-    Classes and ids do not rule one out; among articles (or mains) those under the fewest marked elements come first.
+    Classes and ids do not rule one out, but an article under a marked element, as a comment or a teaser is, gives way to others.
     """
-    found: list[tuple[bool, int, int, Node]] = []
-    todo = [(root, False, 0)]
+    found: list[tuple[bool, int, Node]] = []
+    todo = [(root, "", 0)]
     while todo:
         x, inside, marks = todo.pop()
         if x is not root and hidden(x):
             continue
         marks += classed(x)
-        is_one = x.name in ARTICLE or re.search(r"role\s*=\s*[\"']?(main|article)\b", x.attrs) is not None
-        if is_one and not (inside and x.name != "article"):
-            found.append((x.name == "article", -marks, sum(len(y) for z in _walk(x) for y in z.items if isinstance(y, str)), x))
-        todo += [(y, inside or is_one, marks) for y in x.items if isinstance(y, Node)]
-    return max(found, key=lambda f: f[:3])[3] if found else None
+        role = next((v for k, v in attributes(x) if k == "role"), "")
+        kind = x.name if x.name in ARTICLE else role if role in ARTICLE else ""
+        if kind and inside != "article" and kind != inside:
+            found.append((kind == "article", -marks, x))
+        todo += [(y, "article" if "article" in (inside, kind) else inside or kind, marks) for y in reversed(x.items) if isinstance(y, Node)]
+    best = max((f[:2] for f in found), default=(False, 0))
+    first = [x for *rank, x in found if tuple(rank) == best]
+    if best[1] < 0:  # all are under marked elements: the one with the most text
+        return [max(first, key=lambda x: sum(len(y) for z in _walk(x) for y in z.items if isinstance(y, str)))]
+    return first
 
 
 def subtrees(page: str | None) -> tuple[list[int], list[int], bool]:
     """Distinct hashes (signed) of the elements that may be template: outside the article, inside it; and whether there is one."""
     root = parse(page or "")
     digest(root)
-    core = article(root)
+    cores = articles(root)
     out: set[int] = set()
     within: set[int] = set()
     todo = [(root, False)]
     while todo:
         x, inside = todo.pop()
-        if x is core:
+        if x in cores:
             inside = True
         elif inside:
             if x.name not in PARTS:
@@ -213,34 +228,38 @@ def subtrees(page: str | None) -> tuple[list[int], list[int], bool]:
             out.add(x.digest)
         todo += [(y, inside) for y in x.items if isinstance(y, Node)]
     signed = lambda found: [x - (1 << 64) if x >> 63 else x for x in found]
-    return signed(out), signed(within), core is not None
+    return signed(out), signed(within), bool(cores)
 
 
 def main_text(page: str | None, template: set[int]) -> str:
-    """What is left without template and marked elements, within the article if the page has one. Blocks are joined by one space.
+    """What is left without template and marked elements, within the articles if the page has any. Blocks are joined by one space.
 
-    A page of which nothing would be left keeps its template; if it is still empty, what only classes and ids mark.
+    Of a header inside an article its headings stay. A page of which nothing would be left keeps its template; if it is still empty, what only classes and ids mark.
     """
     root = parse(page or "")
     digest(root)
-    core = article(root)
-    return _left(root, core, template, marked) or (_left(root, core, set(), marked) if template else "") or _left(root, core, set(), hidden)
+    cores = articles(root)
+    return _left(root, cores, template, marked) or (_left(root, cores, set(), marked) if template else "") or _left(root, cores, set(), hidden)
 
 
-def _left(root: Node, core: Node | None, template: set[int], gone: Callable[[Node], bool]) -> str:
+def _left(root: Node, cores: list[Node], template: set[int], gone: Callable[[Node], bool]) -> str:
     parts: list[str] = []
-    todo: list[Node | str] = [core or root]
+    tops = cores or [root]
+    todo: list[Node | str] = list(reversed(tops))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        signed = x.digest - (1 << 64) if x.digest >> 63 else x.digest
-        if x is not core and x is not root and (gone(x) or (signed in template and (core is None or x.name not in PARTS))):
-            parts.append(" " if x.name not in INLINE else "")
-            continue
-        gap = x.name not in INLINE
-        if gap:
+        if x not in tops:
+            signed = x.digest - (1 << 64) if x.digest >> 63 else x.digest
+            if cores and x.name == "header":
+                todo += [y for y in _walk(x) if y.name in HEADINGS][::-1]
+                continue
+            if gone(x) or (signed in template and (not cores or x.name not in PARTS)):
+                parts.append(" " if x.name not in INLINE else "")
+                continue
+        if x.name not in INLINE:
             parts.append(" ")
             todo.append(" ")
         todo += reversed(x.items)
@@ -256,7 +275,8 @@ def extract(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> Dat
     INSIDE_RECURS and INSIDE_SHARE hold, for the pages where it stands inside one. Character references are
     decoded, white space becomes one space. A host's pages never meet in one task: hashes are counted by
     (host, hash) with partial sums. A host has few template hashes, at most what 1 / share pages hold, or
-    recurs / share on small hosts; they meet the pages' hashes, not the pages.
+    recurs / share on small hosts; they meet the pages' hashes, not the pages. No rows: no result; columns other
+    than the three are not read, whatever their names; parsing takes time and memory in proportion to a page.
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

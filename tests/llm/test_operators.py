@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -315,3 +316,43 @@ def test_html_template_inside_articles_and_class_marks(spark):
     assert all(found[n] == f"Title {n} Own bold words {n}." + (" A passage that a few pages quote." if n < 4 else "") + f" yes item {n}" for n in range(10))
     assert [found[20 + n] for n in range(5)] == [f"Kept {n}" for n in range(5)]
     assert [found[30 + n] for n in (0, 1, 2, 4)] == [f"Bare {n}" for n in (0, 1, 2, 4)] and "Bare 3" in found[33]
+
+
+def test_html_is_read_in_linear_time():
+    for page in ('<a ' + '"x' * 100_000, "<a '" * 50_000, '<a ">"' * 50_000, '<a "' * 50_001 + ">", "<" * 100_000, "<div>" * 20_000 + "deep", "<p>a" * 20_000):
+        began = time.perf_counter()
+        html_text.main_text(page, set())
+        assert time.perf_counter() - began < 3, page[:20]
+
+
+def test_html_attributes_and_articles():
+    text = lambda page: html_text.main_text(page, set())
+    assert text('<p title="a hidden gem">text</p>') == text('<p data-id="ad">text</p>') == text("<p data-class='nav menu'>text</p>") == "text"
+    assert text("<p hidden>gone</p><p>text</p>") == text('<div class="ad">gone</div><p>text</p>') == "text"
+    assert text('<body class="right-sidebar"><p>real text</p></body>') == "real text"
+    assert text('<article class="post has-sidebar">real</article><p>other</p>') == text('<article class="sidebar">real</article><p>other</p>') == "real"
+    assert text("<article><p>one</p></article><p>x</p><article><p>two</p></article><div class='comments'><article>no</article></div>") == "one two"
+    assert text("<article><header><h1>Head</h1><p>by line</p></header><p>body <math><mi>x</mi></math></p><footer>f</footer></article>") == "Head body x"
+    assert text("<main><article>in</article> out</main>") == "in" and text("<main>all</main><p>x</p>") == "all"
+    assert text('<p>a<br/>b<img src="x>y"/>c &amp;lt; &eacute;</p>') == "a bc &lt; é"
+
+
+def test_html_template_against_a_plain_count(spark):
+    """Subtrees that only recurrence can tell, at several shares of a host's pages, with equal pages and clashing columns."""
+    rng = np.random.default_rng(11)
+    shares = {f"block {k}": k / 10 for k in range(11)}
+    rows = []
+    for n in range(60):
+        blocks = [b for b, p in shares.items() if rng.random() < p]
+        rows.append((n, f"http://{'ab'[n % 2]}.net/{n}", "<article>" + "".join(f"<div><span>{b}</span></div>" for b in blocks) + f"<p>own {n}</p></article>", "x", "y"))
+    rows += [(100 + n, "http://a.net/again", rows[0][2], "x", "y") for n in range(30)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, template string")).collect()}
+    for host in "ab":
+        mine = {r[2] for r in rows if r[1].startswith(f"http://{host}.")}
+        gone = {b for b in shares if sum(f"<span>{b}</span>" in h for h in mine) >= max(html_text.INSIDE_RECURS, html_text.INSIDE_SHARE * len(mine))}
+        assert gone and len(gone) < 11
+        for n, url, page, *_ in rows:
+            if url.startswith(f"http://{host}."):
+                want = [x for x in re.findall(r"block \d+|own \d+", page) if x not in gone]
+                assert found[n] == " ".join(want)
+    assert html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, template string").limit(0)).count() == 0
