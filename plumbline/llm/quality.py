@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import remainder, table
 
-#: Most labelled documents that the field is fitted on; the smallest by a seeded hash of the id are taken.
-SAMPLE = 2000
+#: Most labelled documents that the field is fitted on, and the most bytes of each: the smallest by a seeded hash of the id among those within. So the driver gets SAMPLE * LONGEST bytes at most.
+SAMPLE, LONGEST = 2000, 1 << 16
 
-#: Steps of the fit, its step size and the weight of the squared weights.
-STEPS, RATE, RIDGE = 150, 0.05, 1e-3
+#: Steps of the fit, its step size and the weight of the squared weights of features and of pairs.
+STEPS, RATE, RIDGE, PAIR_RIDGE = 150, 0.05, 1e-3, 1e-2
 
 # Kinds of bytes: lower-case, upper-case, digit, white space, sentence marks, other ASCII, first byte of a non-ASCII character, later byte.
 _KIND = np.array([3 if x in (9, 10, 11, 12, 13, 32) else 2 if 48 <= x <= 57 else 1 if 65 <= x <= 90 else 0 if 97 <= x <= 122 else 4 if x in b".,;:?!'\"()-" else 5 if x < 128 else 7 if x < 192 else 6 for x in range(256)], np.uint8)
@@ -36,18 +36,10 @@ FEATURES = 3 * OWN + 1
 
 
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x FEATURES) and byte lengths of a text's lines. A text without lines has one empty line.
-
-    A very long line is cut where 2,000 bytes end, so that it counts as several lines; no byte is left out.
-    """
+    """Features (lines x FEATURES) and byte lengths of a text's lines. A text without lines has one empty line; a line of any length is one line."""
     data = np.frombuffer(text + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10) + 1
     starts = np.concatenate(([0], ends[:-1]))
-    long = ends - starts > 2000
-    if long.any():
-        starts = np.concatenate([starts, *(np.arange(s + 2000, e, 2000) for s, e in zip(starts[long], ends[long], strict=True))])
-        starts.sort()
-        ends = np.concatenate((starts[1:], [len(data)]))
     size = (ends - starts).astype(np.float64)
     kind = _KIND[data]
     of = np.repeat(np.arange(len(starts)), (ends - starts))
@@ -178,7 +170,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
         p, e = marginals(x @ w, lengths, pair, weight)
         g = x.T @ ((p - y) * weight) / len(labels) + RIDGE * w
         o = np.array([[((1 - y[same]) * weight[same]).sum(), 0.0], [0.0, (y[same] * weight[same]).sum()]])
-        gp = (e - o) / len(labels) + 0.1 * pair
+        gp = (e - o) / len(labels) + PAIR_RIDGE * pair
         for v, gr, a, b in ((w, g, m1, m2), (pair, gp, k1, k2)):
             a *= 0.9
             a += 0.1 * gr
@@ -202,14 +194,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most `sample` labelled documents: the smallest by a hash of their ids. This bound holds at every size of input.
+    """Fit on at most `sample` labelled documents of up to LONGEST bytes: the smallest by a hash of their ids. These bounds hold at every size of input.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1; other values and null do not count). With no
     labelled row, or labels of one kind, the field is fitted all the same and gives that kind.
     """
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id", "text").limit(sample).collect()  # bounded by sample
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(y), "doc_id").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id", "text").limit(sample).collect()  # bounded by sample
     if not rows:
         return Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.ones(FEATURES), (1.0, 0.0))
     return fit([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows]))
