@@ -30,7 +30,7 @@ INSIDE_RECURS, INSIDE_SHARE = 5, 0.5
 
 #: Elements without content, elements of running text, and those whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg canvas".split())
 DROPPED = frozenset("nav header footer aside form button select dialog menu fieldset head".split()) | RAW
 #: An open element that ends when one of these begins inside it.

@@ -21,23 +21,43 @@ from plumbline.llm.common import table
 #: Phrase and label.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: Template and label. Wording of well-known public licences and notices.
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+_AS_IS = "<<any 12>> is provided as is <<opt>>without warranty of any kind<</opt>>"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_2 = (
+    f"{_BSD} <<opt>>1<</opt>> <<opt>>a<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<opt>>2<</opt>> <<opt>>b<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_GNU = "<<opt>>licensed<</opt>> <<opt>>licenced<</opt>> under <<opt>>the<</opt>> <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>>"
+_GNU_NOTICE = "is free software you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license as published by the free software foundation <<opt>>either<</opt>> version <<any 1>> of the license"
+
+#: Template and label. Wording of well-known public licences, whole ones first, then notices that name one.
 TEMPLATES = [
-    ("<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the mit license", "mit"),
+    (f"{_MIT} and to permit persons to whom the software is furnished to do so subject to the following conditions <<any 40>> the software is provided as is without warranty of any kind express or implied", "mit-text"),
+    (_MIT, "mit"),
+    (f"{_BSD_2} <<any 60>> neither the name of <<any 20>> may be used to endorse or promote products derived from this software without specific prior written permission <<any 12>> this software {_AS_IS}", "bsd-3-text"),
+    (f"{_BSD_2} <<any 12>> this software {_AS_IS}", "bsd-2-text"),
+    (f"{_BSD} <<any 40>> redistributions in binary form must reproduce the above copyright notice", "bsd"),
+    (f"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software {_AS_IS}", "isc-text"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> "
-        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-        "mit",
+        "this software is provided as is without any express or implied warranty <<any 40>> permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+        "subject to the following restrictions <<any 8>> the origin of this software must not be misrepresented",
+        "zlib-text",
     ),
-    ("licensed under the apache license version 2 0 <<opt>>the license<</opt>>", "apache-2.0"),
     (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 40>> "
-        "redistributions in binary form must reproduce the above copyright notice",
-        "bsd",
+        "licensed under the apache license version 2 0 the license you may not use <<opt>>this file<</opt>> <<opt>>these files<</opt>> except in compliance with the license you may obtain a copy of the license at <<any 20>> "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "apache-2.0-text",
     ),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("<<opt>>licensed<</opt>> <<opt>>licenced<</opt>> under <<opt>>the<</opt>> <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2", "gpl-2"),
-    ("<<opt>>licensed<</opt>> <<opt>>licenced<</opt>> under <<opt>>the<</opt>> <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3", "gpl-3"),
+    ("licensed under the apache license version 2 0 <<opt>>the license<</opt>>", "apache-2.0"),
+    (f"<<opt>>this program<</opt>> <<opt>>this library<</opt>> {_GNU_NOTICE} <<opt>>or at your option any later version<</opt>> <<any 30>> without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gnu-text"),
+    (_GNU_NOTICE, "gnu-notice"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense-text"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the mit license", "mit"),
+    (f"{_GNU} version 2", "gpl-2"),
+    (f"{_GNU} version 3", "gpl-3"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("cc by <<opt>>nc<</opt>> <<opt>>sa<</opt>> 4 0", "cc-by-4.0"),
@@ -46,9 +66,8 @@ TEMPLATES = [
     ("cc by <<opt>>nc<</opt>> nd", "cc-by-nd"),
     ("creative commons attribution <<opt>>noncommercial<</opt>> <<opt>>sharealike<</opt>> <<opt>>noderivatives<</opt>> <<opt>>4 0<</opt>> <<opt>>international<</opt>> license", "cc-by"),
     ("copyright <<opt>>c<</opt>> <<any 12>> all rights reserved", "copyright"),
-    ("mozilla public license <<opt>>version<</opt>> <<opt>>v<</opt>> 2 0", "mpl-2.0"),
+    ("<<opt>>subject to the terms of the<</opt>> mozilla public license <<opt>>version<</opt>> <<opt>>v<</opt>> 2 0", "mpl-2.0"),
     ("subject to the terms of the mozilla public license", "mpl"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 
 #: Bytes that part words: everything in ASCII but digits and letters; letters become lower-case.
@@ -85,6 +104,12 @@ class Template:
             raise ValueError(f"{label}: a template needs mandatory words")
         #: The longest mandatory run, as a byte string, and the most words that can stand before it.
         self.anchor = b" " + b" ".join(self.ops[x][1] for x in best) + b" "  # type: ignore[misc]
+        #: How many words a match needs at least.
+        self.needs, depth_end = 0, 0
+        for at, (kind, x) in enumerate(self.ops):
+            if kind == "opt":
+                depth_end = max(depth_end, int(x))
+            self.needs += kind == "word" and at >= depth_end
         self.before = sum(int(x) if kind == "any" else kind == "word" for kind, x in self.ops[: best[0]])
         self.after = sum(int(x) if kind == "any" else kind == "word" for kind, x in self.ops[best[0] :])
 
@@ -122,16 +147,25 @@ class Template:
                         after |= self.states(place, used + 1)
             now, at = after, at + 1
 
-    def found(self, words: bytes) -> list[int]:
-        """Places (offsets of the anchor) around which the automaton accepts. words: ` a b c `."""
-        out, at = [], words.find(self.anchor)
+    def accepts(self, words: bytes) -> bool:
+        """Whether the automaton accepts somewhere. words: ` a b c `. Around each anchor only as many words are looked at as a match can have."""
+        at = words.find(self.anchor)
         while at >= 0:
-            head, tail = words[:at].rsplit(None, self.before)[-self.before :] if self.before else [], words[at:].split(None, self.after)[: self.after]
-            window = [*head, *tail]
-            if any(self.ends(window, x) is not None and self.ends(window, x) > len(head) for x in range(len(head) + 1)):  # type: ignore[operator]
-                out.append(at)
+            lo = at
+            for _ in range(self.before):
+                lo = max(words.rfind(b" ", 0, lo), 0)
+            hi = at
+            for _ in range(self.after):
+                hi = words.find(b" ", hi + 1)
+                if hi < 0:
+                    hi = len(words)
+                    break
+            head, tail = words[lo:at].split(), words[at:hi].split()
+            window = head + tail
+            if any((self.ends(window, x) or 0) > len(head) for x in range(len(head) + 1)):
+                return True
             at = words.find(self.anchor, at + 1)
-        return out
+        return False
 
 
 def normal(text: str | None) -> bytes:
@@ -152,8 +186,9 @@ def scan(text: str | None, phrases: list[tuple[bytes, str]], templates: list[Tem
             base.add(label)
             at = words.find(phrase, at + 1)
     first, last = (words.count(b" ", 0, f(places)) for f in (min, max)) if places else (None, None)
-    own = {t.label for t in templates if t.found(words)}
-    return n, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if own else 0.5 if base else 0.0
+    own = [t for t in templates if t.accepts(words)]
+    most = max([t.needs for t in own] + [p.count(b" ") - 1 for p, label in phrases if label in base], default=0)
+    return n, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | {t.label for t in own})), most / (most + 2)
 
 
 def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -161,9 +196,10 @@ def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, temp
 
     docs: doc_id, text. A-Z become lower-case; words are runs of digits, a-z and non-ASCII. n_base counts the
     places of all phrases; first_word and last_word are the smallest and largest start (words from 0), else
-    null. labels adds the templates' labels to the phrases'. score: 1 where a template's automaton accepts,
-    0.5 where a phrase alone stands, else 0. A null or empty text has no words; repeated rows stay; a null
-    doc_id stays null; the scan of a text takes memory in proportion to that text.
+    null. labels adds the templates' labels to the phrases'. score: m / (m + 2), m the most words
+    that an accepted template or a phrase needs, so a whole licence is near 1 and none is 0. A null or empty text has no
+    words; repeated rows stay; a null doc_id stays null; no rows: no result. The scan of a text takes time and memory in
+    proportion to that text; columns other than doc_id and text are not read, whatever their names.
     """
     marks = [(f" {p} ".encode(), label) for p, label in phrases]
     compiled = [Template(*t) for t in templates]
@@ -181,3 +217,32 @@ def licence_scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, temp
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over ` a b c `, for checks by other engines."""
+    out = re.sub(r"<<any (\d+)>>", lambda m: "(?: [^ ]+){0," + m[1] + "}", markup)
+    parts = re.findall(r"\(\?: \[\^ \]\+\)\{0,\d+\}|<<opt>>|<</opt>>|[^\s<>]+", out)
+    return "".join({"<<opt>>": "(?:", "<</opt>>": ")?"}.get(x, x if x.startswith("(?:") else f" {x}") for x in parts) + " "
+
+
+def _sql() -> str:
+    """The contract's columns in DuckDB: phrases by positions in the list of words, templates as regular expressions."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    at = lambda p: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")"
+    hit = {n: f"regexp_matches(s, '{_pattern(m)}')" for n, (m, _) in enumerate(TEMPLATES)}
+    phrase = [f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, (_, label) in enumerate(PHRASES)]
+    own = [f"CASE WHEN t{n} THEN ['{label}'] ELSE [] END" for n, (_, label) in enumerate(TEMPLATES)]
+    needs = [f"CASE WHEN len(p{n}) > 0 THEN {len(p.split())} ELSE 0 END" for n, (p, _) in enumerate(PHRASES)] + [f"CASE WHEN t{n} THEN {Template(*TEMPLATES[n]).needs} ELSE 0 END" for n in hit]
+    every = "list_sort(" + "p0 || " + " || ".join(f"p{n}" for n in range(1, len(PHRASES))) + ")"
+    return f"""
+WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {', '.join(f'{at(p)} AS p{n}' for n, (p, _) in enumerate(PHRASES))} FROM a),
+c AS (SELECT *, {every} AS places, {', '.join(f'{h} AS t{n}' for n, h in hit.items())} FROM b),
+d AS (SELECT *, greatest({', '.join(needs)}) AS m FROM c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(places[1] AS BIGINT) AS first_word, CAST(places[-1] AS BIGINT) AS last_word,
+  array_to_string(list_sort({' || '.join(phrase)}), ',') AS base_labels, array_to_string(list_sort(list_distinct({' || '.join(phrase + own)})), ',') AS labels, m / (m + 2.0) AS score FROM d
+"""
+
+
+OP7_SQL = _sql()

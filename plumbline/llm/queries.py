@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_url_rules": url_rules.OP4_SQL,
+    "op7_licences": licences.OP7_SQL,
     "op8_topk": topk.OP8_SQL,
 }

@@ -195,6 +195,37 @@ def test_licences():
     assert licences.scan(None, p, t) == (0, 0, None, None, "", "", 0.0)
 
 
+def test_licence_templates_match_a_plain_search():
+    """Whole templates with their optional words in and out, replaceable words up to their number and one above, and a mandatory word changed."""
+    rng = np.random.default_rng(13)
+    compiled = [licences.Template(*x) for x in licences.TEMPLATES]
+    patterns = [re.compile(licences._pattern(m)) for m, _ in licences.TEMPLATES]
+    hits = Counter()
+    for markup, _ in licences.TEMPLATES:
+        for trial in range(30):
+            text = re.sub(r"<<opt>>(.*?)<</opt>>", lambda m: m[1] if rng.random() < 0.5 else "", markup)
+            text = re.sub(r"<<any (\d+)>>", lambda m: "w " * int(rng.integers(0, int(m[1]) + (2 if trial % 3 == 0 else 1))), text)
+            w = ("before it " * 3 + text + " after" * 3).split()
+            if trial % 5 == 4:
+                w[int(rng.integers(6, len(w) - 3))] = "other"
+            words = licences.normal(" ".join(w) * (2 if trial % 7 == 6 else 1))
+            got = [t.accepts(words) for t in compiled]
+            assert got == [p.search(words.decode()) is not None for p in patterns]
+            hits[sum(got) > 0] += 1
+    assert hits[True] > 300 and hits[False] > 20
+    began = time.perf_counter()
+    assert not any(t.accepts(licences.normal("all rights reserved gnu general public license cc by " * 20_000)) for t in compiled if t.label not in ("copyright",))
+    assert time.perf_counter() - began < 10
+
+
+def test_licences_on_rows(spark):
+    rows = [(1, "All rights reserved", "x"), (1, "All rights reserved", "x"), (None, None, "x"), (2, "", "x"), (3, "word " * 200_000 + "cc by", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    found = licences.licence_scan(df).collect()
+    assert len(found) == 5 and Counter(r.labels for r in found) == {"reserved": 2, "": 2, "cc-by": 1} and licences.licence_scan(df.limit(0)).count() == 0
+    assert {r.first_word for r in found if r.doc_id == 3} == {200_000}
+
+
 def test_field_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     good, pair = rng.normal(size=7), rng.normal(size=(2, 2))
@@ -356,3 +387,25 @@ def test_html_template_against_a_plain_count(spark):
                 want = [x for x in re.findall(r"block \d+|own \d+", page) if x not in gone]
                 assert found[n] == " ".join(want)
     assert html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, template string").limit(0)).count() == 0
+
+
+def test_quality_on_rows(spark):
+    """Held-out accuracy, lines of any length, nulls, empty and very long texts, repeated rows, clashing columns, empty tables."""
+    rng = np.random.default_rng(12)
+    good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "runs", "under", "old", "stones", "and", "we", "walk"], 12)).capitalize() + "." for _ in range(int(rng.integers(1, 6))))
+    bad = lambda: "\n".join(" ".join(rng.choice(["BUY!!", "$$$", "###", "WIN", "!!!", "www", "%%%", "CLICK"], 8)) for _ in range(int(rng.integers(1, 6))))
+    rows = [(n, good() if n % 2 else bad(), n % 2) for n in range(240)]
+    docs = spark.createDataFrame([(n, t, "clash") for n, t, _ in rows] + [(300, None, ""), (301, "", ""), (302, "one line " * 5000, ""), (1, rows[1][1], ""), (None, "no id", "")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(n, y) for n, _, y in rows] + [(300, None), (301, 7)], "doc_id long, quality int")
+    field = quality.train(docs, labels.where(~quality.held_out()))
+    found = quality.score(docs, field, ["doc_id", "text", "score"], "found").collect()
+    assert len(found) == docs.count() and all(0 <= r.found <= 1 for r in found)
+    held = [(r.found >= 0.5, r.doc_id % 2 == 1) for r in found if r.doc_id is not None and r.doc_id < 240 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(held) > 60 and sum(a == b for a, b in held) > 0.97 * len(held)
+    assert len({r.found for r in found if r.doc_id == 1}) == 1 and len({r.found for r in found if r.doc_id in (300, 301)}) == 1
+    assert len(quality.line_features(b"word " * 3000 + b"\nnext")[1]) == 2 and quality.score(docs.limit(0), field, ["doc_id"]).count() == 0
+    assert quality.train(docs.limit(0), labels).scores([b"x"]).shape == (1,)
+    # each line's features stand beside those of its neighbours
+    x, size = quality.line_features(b"aa bb\nC! 7\n")
+    own = quality.OWN
+    assert (x[1, own : 2 * own] == x[0, :own]).all() and (x[0, 2 * own : 3 * own] == x[1, :own]).all() and size.tolist() == [6, 5, 1]
