@@ -1,9 +1,9 @@
 """Scoring of texts by a Brown class-based bigram model.
 
 P(word | word before) = P(class | class before) * P(word | class). Classes come from exchange clustering:
-the most frequent words start as classes of their own and all others in one class; then every word is
-exchanged into the class that raises the mutual information of neighbouring classes most, given the class
-bigrams of the round. Words of a text are counted and looked up by blocks of documents: a block holds its texts'
+the most frequent words start as classes of their own and all others in one class; then every word, those
+frequent ones too, is exchanged into the class that raises the mutual information of neighbouring classes most,
+given the class bigrams. There is one such round over all words at once. Words of a text are counted and looked up by blocks of documents: a block holds its texts'
 words as numbers into the block's own list of distinct words, so that only distinct words of a block are
 shuffled. Every training text counts, and the tables of words grow with them; only the table of classes is
 of fixed size.
@@ -80,13 +80,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[at]), pa.array(n[at].astype(np.int64))], names=["word", "n"])
 
 
-def _contexts(first: dict[int, int]):
+def _contexts(first: dict[int, int], frequent: bool):
     """For mapInArrow: for each word of each block its neighbours' first classes in training texts, as (code, count) pairs.
 
-    code: class of the word before, or CLASSES + class of the word after.
+    code: class of the word before, or CLASSES + class of the word after. frequent: the end and the words that the
+    classes began with, which stand in nearly every block, summed over a task's blocks; or all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CLASSES, 2 * CLASSES), np.int64)
         for row in _rows(batches):
             held, sizes, ids, words = _open(row)
             cls = np.array([first.get(w, REST) for w in words.tolist()], np.int64)
@@ -95,6 +97,13 @@ def _contexts(first: dict[int, int]):
                 continue
             before = np.concatenate((np.zeros(1, np.int64), ids[:-1]))  # every text ends with 0, the end
             pairs = np.concatenate((ids * (2 * CLASSES) + cls[before], before[1:] * (2 * CLASSES) + CLASSES + cls[ids[1:]]))
+            if frequent:
+                of = cls[pairs // (2 * CLASSES)]
+                sums += np.bincount((of * (2 * CLASSES) + pairs % (2 * CLASSES))[of != REST], minlength=sums.size).reshape(sums.shape)
+                continue
+            pairs = pairs[cls[pairs // (2 * CLASSES)] == REST]
+            if not len(pairs):
+                continue
             key, n = np.unique(pairs, return_counts=True)
             word = key // (2 * CLASSES)
             cells = np.empty(len(key), np.dtype([("c", "<u1"), ("n", "<u4")]))
@@ -103,6 +112,9 @@ def _contexts(first: dict[int, int]):
             offsets = np.concatenate((starts, [len(key)])).astype(np.int32) * 5
             blob = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cells.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(words[word[starts]]), blob], names=["word", "cells"])
+        if frequent:
+            a, b = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums[a, b])], names=["a", "b", "n"])
 
     return run
 
@@ -124,15 +136,13 @@ def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, now: np.nda
     return np.where(keep, now, best)
 
 
-def _assign(first: dict[int, int], pairs: np.ndarray):
+def _assign(pairs: np.ndarray):
     """For mapInArrow over (word, cells), sorted by word: word, n, class."""
 
     def done(words: np.ndarray, of: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
         m = np.bincount(of * (2 * CLASSES) + cells["c"], weights=cells["n"], minlength=len(words) * 2 * CLASSES).reshape(len(words), -1)
         left, right = m[:, :CLASSES], m[:, CLASSES:]
-        now = np.array([first.get(w, REST) for w in words.tolist()], np.int64)
-        fixed = now != REST  # the words that the classes began with hold them
-        new = np.where(fixed, now, exchange(left, right, pairs, now))
+        new = exchange(left, right, pairs, np.full(len(words), REST))
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(left.sum(1).astype(np.int64)), pa.array(new)], names=["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +150,8 @@ def _assign(first: dict[int, int], pairs: np.ndarray):
         held: tuple[int, dict[int, int]] | None = None  # the last word: the next batch may go on with it
 
         def begun(word: int, sums: dict[int, int]) -> pa.RecordBatch:
-            cells = np.array(list(sums.items()), kind) if sums else np.empty(0, kind)
+            sum_kind = np.dtype([("c", "<u1"), ("n", "<i8")])  # one block's counts fit into four bytes, sums need not
+            cells = np.array(list(sums.items()), sum_kind) if sums else np.empty(0, sum_kind)
             return done(np.array([word]), np.zeros(len(cells), np.int64), cells)
 
         for b in batches:
@@ -191,9 +202,9 @@ def _pair_sums(batches: Iterator[pa.RecordBatch], cls_of) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums[a, b].astype(np.int64))], names=["a", "b", "n"])
 
 
-def _table(df: DataFrame) -> np.ndarray:
-    out = np.zeros((CLASSES, CLASSES))
-    for r in df.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most CLASSES squared
+def _table(df: DataFrame, columns: int = 0) -> np.ndarray:
+    out = np.zeros((CLASSES, columns or CLASSES))
+    for r in df.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most 2 * CLASSES squared
         out[r["a"], r["b"]] = r["n"]
     return out
 
@@ -231,8 +242,11 @@ def _look_up(train_tokens: int, types: int, class_n: np.ndarray, class_once: np.
     return run
 
 
-def _score(pairs: np.ndarray, share: np.ndarray):
-    """For mapInArrow: adds the classes' transitions to what the words emit."""
+def transitions(pairs: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of a class after a class, smoothed by the classes' own frequencies; in the unknown's column, of the unknown word.
+
+    pairs: class bigrams; share: what each class keeps of its probability for the unknown word.
+    """
     freq = pairs.sum(0) + 1e-9
     freq[UNKNOWN] = 0
     freq /= freq.sum()
@@ -242,6 +256,12 @@ def _score(pairs: np.ndarray, share: np.ndarray):
     move[UNKNOWN] = freq  # after an unknown word: the classes' own frequencies
     log = np.log10(np.maximum(move, 1e-300))
     log[:, UNKNOWN] = np.log10(np.maximum(move @ share, 1e-12))  # the unknown word, of whichever class
+    return log
+
+
+def _score(pairs: np.ndarray, share: np.ndarray):
+    """For mapInArrow: adds the classes' transitions to what the words emit."""
+    log = transitions(pairs, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +278,7 @@ def _score(pairs: np.ndarray, share: np.ndarray):
 
 
 def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (10 to the power -score / n_tokens).
 
     docs: doc_id, text; held_out: the rows that the model does not learn from. A-Z are lower-cased; words are
     runs of other than ASCII white space, and a text ends with one end token, so a null or empty text is
@@ -281,8 +301,13 @@ def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         yield cls[ids], np.repeat(~held, sizes)
 
     pairs = _table(blocks.mapInArrow(lambda b: _pair_sums(b, first_classes), "a long, b long, n long"))
-    contexts = blocks.mapInArrow(_contexts(first), "word long, cells binary")
-    classes = stash(contexts.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(first, pairs), "word long, n long, class long"))
+    often = _table(blocks.mapInArrow(_contexts(first, True), "a long, b long, n long"), 2 * CLASSES)
+    left, right = often[:, :CLASSES], often[:, CLASSES:]
+    best = exchange(left, right, pairs, np.arange(CLASSES))
+    seeds = [(w, int(left[c].sum()), END if c == END else int(best[c])) for w, c in first.items() if left[c].sum()]  # at most CLASSES
+    contexts = blocks.mapInArrow(_contexts(first, False), "word long, cells binary")
+    others = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(pairs), "word long, n long, class long")
+    classes = stash(others.unionByName(docs.sparkSession.createDataFrame(seeds, "word long, n long, class long")))
     by_class = classes.groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()  # at most CLASSES
     class_n, class_once = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
@@ -306,7 +331,7 @@ def class_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     share = np.clip(class_once / np.maximum(class_n, 1), 1e-6, 0.5)
     share[END] = 0
     scored = looked.mapInArrow(_score(pairs, share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import class_lm, html_text, imatch, jaccard_join, licences, mixing, packing, quality, topk, url_rules
@@ -409,3 +410,69 @@ def test_quality_on_rows(spark):
     x, size = quality.line_features(b"aa bb\nC! 7\n")
     own = quality.OWN
     assert (x[1, own : 2 * own] == x[0, :own]).all() and (x[0, 2 * own : 3 * own] == x[1, :own]).all() and size.tolist() == [6, 5, 1]
+
+
+def test_exchange_takes_the_best_class():
+    rng = np.random.default_rng(14)
+    k = class_lm.CLASSES
+    pairs = rng.integers(0, 50, (k, k)).astype(float)
+    left, right, now = rng.integers(0, 4, (20, k)).astype(float), rng.integers(0, 4, (20, k)).astype(float), rng.integers(2, k, 20)
+    got = class_lm.exchange(left, right, pairs, now)
+    p = pairs + class_lm.PRIOR * np.outer(pairs.sum(1) + 1, pairs.sum(0) + 1) / (pairs.sum() + k) / k
+    for w in range(20):
+        gain = {c: sum(left[w, a] * math.log(p[a, c] * p.sum() / p[a].sum() / p[:, c].sum()) for a in range(k)) + sum(right[w, b] * math.log(p[c, b] * p.sum() / p[c].sum() / p[:, b].sum()) for b in range(k)) for c in range(class_lm.REST, k)}
+        assert math.isclose(gain[int(got[w])], max(gain.values()), rel_tol=1e-9)
+
+
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(15)
+    k = class_lm.CLASSES
+    pairs, share = rng.integers(0, 9, (k, k)).astype(float), rng.random(k) / 2
+    pairs[:, class_lm.UNKNOWN] = pairs[class_lm.UNKNOWN] = 0
+    p = 10.0 ** class_lm.transitions(pairs, share)
+    known = [c for c in range(k) if c != class_lm.UNKNOWN]
+    for a in range(k):  # all known words of a class have 1 - share of it together
+        assert math.isclose(sum(p[a, c] * (1 - share[c]) for c in known) + p[a, class_lm.UNKNOWN], 1, rel_tol=1e-6)
+
+
+def test_class_scores_by_one_pass(spark, monkeypatch):
+    """Scores of a small corpus, over many blocks, against a model that is counted word by word."""
+    monkeypatch.setattr(class_lm, "BLOCK", 4000)
+    rng = np.random.default_rng(16)
+    weights = 1 / np.arange(1, 151)
+    texts = [" ".join(rng.choice([f"w{x}" for x in range(150)], int(n), p=weights / weights.sum())) for n in rng.integers(0, 40, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in class_lm.class_scores(df, F.col("doc_id") % 5 == 2).collect()}
+    code = lambda w: class_lm._END if w == "\n" else int(np.array([xxhash.xxh64_intdigest(w)], np.uint64).view(np.int64)[0])
+    train = [[*t.split(), "\n"] for n, t in enumerate(texts) if n % 5 != 2]
+    count = Counter(w for t in train for w in t)
+    k, rest = class_lm.CLASSES, class_lm.REST
+    top = sorted((w for w in count if w != "\n"), key=lambda w: (-count[w], code(w)))[: k - rest - 1]
+    first = {"\n": 0} | {w: rest + 1 + n for n, w in enumerate(top)}
+    pairs, left, right = np.zeros((k, k)), {w: np.zeros(k) for w in count}, {w: np.zeros(k) for w in count}
+    line = ["\n"] + [w for t in train for w in t]
+    for a, b in itertools.pairwise(line):
+        pairs[first.get(a, rest), first.get(b, rest)] += 1
+        left[b][first.get(a, rest)] += 1
+        right[a][first.get(b, rest)] += 1
+    best = {w: int(class_lm.exchange(left[w][None], right[w][None], pairs, np.array([first.get(w, rest)]))[0]) for w in count if w != "\n"} | {"\n": 0}
+    n, once = np.zeros(k), np.zeros(k)
+    for w, c in best.items():
+        n[c] += count[w]
+        once[c] += count[w] == 1
+    share = np.clip(once / np.maximum(n, 1), 1e-6, 0.5)
+    share[0] = 0
+    final = np.zeros((k, k))
+    for a, b in itertools.pairwise(line):
+        final[best[a], best[b]] += 1
+    log = class_lm.transitions(final, share)
+    agree = 0
+    for d, t in enumerate(texts):
+        before, score = 0, 0.0
+        for w in [*t.split(), "\n"]:
+            c = best.get(w, class_lm.UNKNOWN)
+            score += log[before, c] + (math.log10(count[w] / n[c] * (1 - share[c])) if w in count else 0)
+            before = c
+        agree += math.isclose(found[d].score, score, rel_tol=1e-6)
+        assert math.isclose(found[d].perplexity, 10 ** (-found[d].score / found[d].n_tokens), rel_tol=1e-9)
+    assert agree == len(texts)
