@@ -60,6 +60,8 @@ class WordIds(dict):
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
         ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         if len(part) <= 64:
+            if len(self.parts) >= CACHE:  # a text without white space has parts, but no words that are kept
+                self.parts.clear()
             self.parts[part] = ids
         return ids
 

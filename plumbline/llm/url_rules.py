@@ -30,7 +30,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _key(host: Column, path: Column) -> Column:
-    """Reversed labels, each followed by 0x01, then 0x02 and the path; as bytes."""
+    """Reversed labels, each followed by 0x01, then 0x02 and the path; as bytes. In labels those bytes stand as 0x03 and another one."""
+    for byte, escaped in (("\x03", "\x03\x03"), ("\x01", "\x03\x04"), ("\x02", "\x03\x05")):
+        host = F.replace(host, F.lit(byte), F.lit(escaped))
     labels = F.reverse(F.split(host, r"\."))
     return F.concat(F.array_join(labels, "\x01"), F.lit("\x01\x02"), path).cast("binary")
 

@@ -476,3 +476,51 @@ def test_class_scores_by_one_pass(spark, monkeypatch):
         agree += math.isclose(found[d].score, score, rel_tol=1e-6)
         assert math.isclose(found[d].perplexity, 10 ** (-found[d].score / found[d].n_tokens), rel_tol=1e-9)
     assert agree == len(texts)
+
+
+def test_pieces_hold_the_tokenizers_ids(spark):
+    """Every id of every text, in order, against the tokenizer itself, in windows of 16."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(17)
+    odd = ["It's 2024: don't <|endoftext|> stop!", "Straße ÄÖÜ naïve — “quotes” \u00a0x", "日本語 テキスト 🎉🎉", "\x00\x1f tab\tnew\nline", "aaaa" * 500, "x" * 70 + " " + "y1" * 60, None, "", "   ", "ǅ İ ﬁ"]
+    texts = odd + [" ".join(rng.choice(["The", "quick", "brown's", "fox,", "1999", "jumps!", "über", "C++", "(ok)"], int(n))) for n in rng.integers(0, 60, 20)]
+    path = packing.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack(spark.createDataFrame([(n, t, "clash") for n, t in enumerate(texts)], "doc_id long, text string, offset string"), path, 16).collect()
+    by = {n: sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == n) for n in range(len(texts))}
+    for n, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END]
+        assert by[n] == [(at, len(ids[at : at + 16]), zlib.crc32(np.array(ids[at : at + 16], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 16)], t
+
+
+def test_targets_are_those_of_sharing_again_and_again(spark):
+    rng = np.random.default_rng(18)
+    for _ in range(4):
+        many = int(rng.integers(1, 12))
+        sizes = {f"s{x:02d}" if x else None: int(v) for x, v in enumerate(rng.choice([0, 1, 10, 1000, 100_000], many))}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
+        total, target, free = sum(sizes.values()), dict.fromkeys(sizes, 0.0), set(sizes)
+        while free:
+            left = total - sum(target[s] for s in sizes if s not in free)
+            share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = {s for s in free if share[s] > mixing.MOST * sizes[s]}
+            target |= {s: float(mixing.MOST * sizes[s]) for s in over} if over else share
+            free = free - over if over else set()
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert all(math.isclose(got[s], target[s], rel_tol=1e-9, abs_tol=1e-9) for s in sizes), (sizes, got, target)
+
+
+def test_url_rules_against_a_plain_loop(spark):
+    """Random nested rules and urls: the rule of most characters that fits wins, then the smaller text."""
+    rng = np.random.default_rng(19)
+    hosts, paths = ["net", "a.net", "b.a.net", "org", "x.org", "neta.net", "a\x01net", "x\x02.net"], ["/", "/en/", "/en/a", "/en/a/b", "/e", ""]
+    pairs = sorted({(str(rng.choice(hosts[:5])), str(rng.choice(paths))) for _ in range(14)})
+    rules = [(h, p, str(rng.choice(["block", "allow"]))) for h, p in pairs]
+    urls = [f"http://{'w.' if rng.random() < 0.3 else ''}{rng.choice(hosts)}{rng.choice([*paths, '/en/a/b/c', '/q', '/en'])}" for _ in range(300)]
+    found = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), ["page_id"]).collect()}
+    for n, u in enumerate(urls):
+        host, slash, path = u[7:].partition("/")
+        fits = [(-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        assert found[n] == (min(fits)[1:] if fits else (None, "allow")), (u, rules)
