@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunks, extract, graph, store, summarize
+from plumbline.operators import chunks, extract, graph, recovery, report, store, summarize
 from plumbline.sources.lines import assemble
 
 
@@ -194,11 +194,64 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("object_name", summarize.prompt().alias("prompt"))
 
 
+# look-ups, reports and recovery
+def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text by name of each customer's objects: the body's, where there is one."""
+    kind = F.when(F.col("o_orderstatus") == "F", "PACKAGE BODY").when(F.col("o_orderstatus") == "O", "PACKAGE").otherwise("PROCEDURE")
+    objects = _t(spark, sf_dir, "orders").groupBy(*_key(F.col("o_custkey"), kind)).agg(F.min("o_orderkey").cast("string").alias("source_text"))
+    return store.source_text(objects).select("object_name", "object_type", "source_text")
+
+
+def parse_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of what was parsed last, for a specification and a body of each part."""
+    p = _t(spark, sf_dir, "part")
+    parsed = [p.select(*_key(F.col("p_partkey"), kind), F.md5(F.concat("p_name", F.lit(kind))).alias("source_hash")) for kind in ("PACKAGE", "PACKAGE BODY")]
+    return store.parse_hash(parsed[0].unionByName(parsed[1])).select("object_name", "source_hash")
+
+
+def subprogram_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order's package the text of one procedure; finished orders ask for one that is not there and get all of it."""
+    o = _t(spark, sf_dir, "orders")
+    objects = o.select(*_key(F.col("o_orderkey"), "PACKAGE BODY"), F.concat(F.lit("all of "), "o_orderkey").alias("source_text"))
+    own = o.where("o_orderstatus <> 'F'").select(*_key(F.col("o_orderkey"), "PACKAGE BODY"), F.lit("LOAD").alias("subprogram_name"), F.concat(F.lit("load of "), "o_orderkey").alias("source_text"))
+    wanted = o.select(*_key(F.col("o_orderkey"), "PACKAGE BODY"), F.lit("load").alias("subprogram"))
+    return recovery.subprogram_text(wanted, objects, own).select("object_name", "source_text")
+
+
+def unmatched_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's text opens a block after its name; those of the first ten nations close it."""
+    text = F.concat(F.lit("/* BEGIN */ "), "c_name", F.lit(" v := 'BEGIN';\nBEGIN -- END\n  BEGIN x; END;\n  IF a THEN b; END IF;\n"), F.when(F.col("c_nationkey") < 10, "END;").otherwise("y;"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", recovery.unmatched_begin(text).alias("at"))
+
+
+def loose_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four statements of each order's text, with semicolons in strings and comments."""
+    text = F.concat(F.lit("\n v := 'x;y'; -- c;d\n UPDATE o_"), "o_orderkey", F.lit("\n SET a = 1 /* ; */;\nwith q as (1) select 1;; Execute immediate '"), "o_orderpriority", F.lit(";'"))
+    segments = _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("source_text"))
+    return recovery.loose_statements(segments, first_line=F.lit(10)).select("o_orderkey", "position", "statement_type", "start_line", "end_line", "source_text")
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a package for each customer, whose call and update bear its number."""
+    text = F.concat(F.lit("PACKAGE BODY k IS\n  PROCEDURE p IS\n  BEGIN\n    IF v > 1 THEN\n      q_"), "c_custkey", F.lit("(1);\n    END IF;\n    UPDATE t_"), "c_custkey", F.lit(" SET a = 1;\n  END;\nEND;\n"))
+    lines = report.report(_units(_t(spark, sf_dir, "customer"), F.concat(F.lit("C_"), "c_custkey"), text, "PACKAGE BODY"))
+    return lines.select("object_name", F.row_number().over(W.partitionBy("object_name").orderBy("at")).alias("nth"), "line")
+
+
+def json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's procedure as a JSON text, read back by its fields."""
+    text = F.concat(F.lit("PROCEDURE p IS\nBEGIN\n  n_"), "s_nationkey", F.lit(".load(1);\nEND;\n"))
+    made = report.json_records(_units(_t(spark, sf_dir, "supplier"), F.concat(F.lit("S_"), "s_suppkey"), text))
+    field = lambda path: F.get_json_object("record", f"$.{path}")
+    return made.select(field("object_name").alias("object_name"), field("status").alias("status"), field("call_edges[0].callee_object").alias("callee_object"), field("call_edges[0].callee_subprogram").alias("callee_subprogram"), field("substatements[1].statement_type").alias("statement_type"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         assemble_source, source_hash, change_counts, pending_parse, object_info, upsert_latest, replace_facts, first_per_key, builtin_filter, call_edges_schema, wrapped_flag, statement_tree, merge_others,
         subtree_len, chunk_hash, chunk_pack, cache_prefix_invalid, explain_diamond, diamond_once, tree_render, bottom_up_height, prompt_build,
+        source_text, parse_hash, subprogram_text, unmatched_begin, loose_statements, report_lines, json_record,
     )
 }
 
@@ -258,4 +311,25 @@ WITH RECURSIVE r AS (SELECT conv_id, turn - turn % 3 AS root, sum(length(text))
         f"SELECT 'APP.T_' || k || '.' AS root, v.nth, replace(v.line, '#', k || ' (PROCEDURE)') AS line FROM {_NODES}, (VALUES (1, 'T_#'), (2, '    ├── L_#'), (3, '    │   ├── TABLE A SELECT'), "
         "(4, '    │   ├── TABLE B SELECT'), (5, '    │   └── E_#'), (6, '    └── R_#'), (7, '        └── E_#')) v(nth, line)"
     ),
+    "source_text": (
+        "SELECT CAST(o_custkey AS VARCHAR) AS object_name, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'PACKAGE BODY' WHEN bool_or(o_orderstatus = 'O') THEN 'PACKAGE' ELSE 'PROCEDURE' END AS object_type, "
+        "CAST(coalesce(min(o_orderkey) FILTER (o_orderstatus = 'F'), min(o_orderkey) FILTER (o_orderstatus = 'O'), min(o_orderkey)) AS VARCHAR) AS source_text FROM orders GROUP BY o_custkey"
+    ),
+    "parse_hash": "SELECT CAST(p_partkey AS VARCHAR) AS object_name, md5(p_name || 'PACKAGE BODY') AS source_hash FROM part",
+    "subprogram_text": "SELECT CAST(o_orderkey AS VARCHAR) AS object_name, CASE o_orderstatus WHEN 'F' THEN 'all of ' ELSE 'load of ' END || o_orderkey AS source_text FROM orders",
+    "unmatched_begin": "SELECT c_custkey, CAST(CASE WHEN c_nationkey >= 10 THEN length('/* BEGIN */ ') + length(c_name) + length(' v := ''BEGIN'';') + 2 END AS INTEGER) AS at FROM customer",
+    "loose_statements": (
+        "SELECT o_orderkey, v.position, v.statement_type, v.start_line, v.end_line, replace(replace(v.text, '#', CAST(o_orderkey AS VARCHAR)), '@', o_orderpriority) AS source_text FROM orders, "
+        "(VALUES (0, 'OTHER', 11, 11, 'v := ''x;y'''), (1, 'SQL_UPDATE', 12, 13, 'UPDATE o_#' || chr(10) || ' SET a = 1'), (2, 'SQL_SELECT', 14, 14, 'with q as (1) select 1'), "
+        "(3, 'SQL_EXECUTE_IMMEDIATE', 14, 14, 'Execute immediate ''@;''')) v(position, statement_type, start_line, end_line, text)"
+    ),
+    "report_lines": """
+SELECT 'C_' || k AS object_name, v.nth, replace(replace(replace(v.line, '#', k), '<C>', rpad('Q_' || k, 32, ' ')), '<T>', rpad('T_' || k, 12, ' ')) AS line FROM (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer), (VALUES
+  (1, '=== Parse Result: APP.C_# (PACKAGE BODY) ==='), (2, 'Status: ok'),
+  (3, '--- Call edges (1) ---'), (4, 'CALLER  CALLEE_SCHEMA  CALLEE_OBJECT  CALLEE_SUBPROGRAM'), (5, '------  -------------  -------------  -----------------'), (6, rpad('P', 23, ' ') || '<C>'),
+  (7, '--- Table accesses (1) ---'), (8, 'SUBPROGRAM  TABLE_SCHEMA  TABLE_NAME  OPERATION'), (9, '----------  ------------  ----------  ---------'), (10, rpad('P', 26, ' ') || '<T>' || 'UPDATE   '),
+  (11, '--- Subprograms (1) ---'), (12, 'NAME  TYPE       START_LINE  END_LINE'), (13, '----  ---------  ----------  --------'), (14, 'P     PROCEDURE  2           8       '),
+  (15, '--- Substatements (4) ---'), (16, '  Subprogram: P'), (17, '  └── [0] BEGIN_END  L3-L3'), (18, '      ├── [1] IF  L4-L4'), (19, '      │   └── [2] OTHER  L5-L5'), (20, '      └── [3] SQL_UPDATE  L7-L7')) v(nth, line)
+""",
+    "json_record": "SELECT 'S_' || s_suppkey AS object_name, 'ok' AS status, 'N_' || s_nationkey AS callee_object, 'LOAD' AS callee_subprogram, 'OTHER' AS statement_type FROM supplier",
 }

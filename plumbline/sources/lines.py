@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,18 @@ from pyspark.sql import functions as F
 LINES = "owner string, name string, type string, line int, text string"
 
 
+def settings(env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Options of from_jdbc by the variables ORACLE_USER, ORACLE_PASSWORD and ORACLE_DSN; a missing one raises KeyError."""
+    env = os.environ if env is None else env
+    return {"url": f"jdbc:oracle:thin:@{env['ORACLE_DSN']}", "user": env["ORACLE_USER"], "password": env["ORACLE_PASSWORD"], "driver": "oracle.jdbc.OracleDriver"}
+
+
+def from_texts(spark: SparkSession, texts: Iterable[tuple[str, str, str, str | None]]) -> DataFrame:
+    """Objects of a few given texts (schema, name, type, text), which are taken as they are."""
+    rows = spark.createDataFrame([(s.upper(), n.upper(), t.upper(), x) for s, n, t, x in texts], "schema_name string, object_name string, object_type string, source_text string")
+    return rows.withColumn("source_text", F.coalesce("source_text", F.lit(""))).withColumn("source_hash", F.sha2("source_text", 256))
+
+
 def from_jdbc(spark: SparkSession, options: dict[str, str], schema: str, obj: str | None = None) -> DataFrame:
     """Lines of a schema (and object) from a database; the filters and the columns reach it."""
     lines = spark.read.format("jdbc").options(**options, dbtable="ALL_SOURCE").load()
