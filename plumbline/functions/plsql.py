@@ -40,13 +40,13 @@ KEYWORDS = frozenset(
     "DENSE_RANK RANK ROW_NUMBER FIRST LAST LISTAGG MEDIAN REVERSE WITH LIMIT BULK COLLECT RETURNING SAVE EXCEPTIONS PACKAGE PROCEDURE FUNCTION".split()
 )
 _TOKEN = re.compile(
-    r"(?P<ws>\s+)|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<badcomment>/\*)|(?P<q>[nN]?[qQ]'(?:\[.*?\]|\{.*?\}|\(.*?\)|<.*?>|(?P<d>[^\s\[{(<]).*?(?P=d))')|(?P<str>[nN]?'(?:[^']|'')*')|(?P<badstr>')"
-    r"|(?P<id>\"[^\"]*\"|[^\W\d][\w$#]*)|(?P<num>\d+(?:\.(?!\.)\d*)?(?:[eE][+-]?\d+)?)|(?P<op>:=|=>|\.\.|\|\||<<|>>|<=|>=|<>|!=|\^=|~=|\*\*|.)",
+    r"\s*(?:(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<badcomment>/\*)|(?P<q>[nN]?[qQ]'(?:\[.*?\]|\{.*?\}|\(.*?\)|<.*?>|(?P<d>[^\s\[{(<]).*?(?P=d))')|(?P<str>[nN]?'(?:[^']|'')*')|(?P<badstr>')"
+    r"|(?P<id>\"[^\"]*\"|[^\W\d][\w$#]*)|(?P<num>\d+(?:\.(?!\.)\d*)?(?:[eE][+-]?\d+)?)|(?P<end>\Z)|(?P<op>:=|=>|\.\.|\|\||<<|>>|<=|>=|<>|!=|\^=|~=|\*\*|.))",
     re.S,
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -71,14 +71,18 @@ class Problem(Exception):
 
 def tokens(source: str) -> list[Token]:
     out, line = [], 1
+    breaks = [m.start() for m in re.finditer("\n", source)] + [len(source) + 1]
     for m in _TOKEN.finditer(source):
-        kind, text = m.lastgroup or "", m.group()
+        kind = m.lastgroup or ""
         kind = "q" if kind == "d" else kind
+        if kind in ("comment", "end"):
+            continue
+        text, at = m.group(kind), m.start(kind)
+        while breaks[line - 1] < at:
+            line += 1
         if kind in ("badstr", "badcomment"):
-            raise Problem(f"line {line}:{m.start() - source.rfind(chr(10), 0, m.start()) - 1} open {'string' if kind == 'badstr' else 'comment'}")
-        if kind not in ("ws", "comment"):
-            out.append(Token(kind, text, m.start(), line, text.upper() if kind == "id" else text))
-        line += text.count("\n")
+            raise Problem(f"line {line}:{at - source.rfind(chr(10), 0, at) - 1} open {'string' if kind == 'badstr' else 'comment'}")
+        out.append(Token(kind, text, at, line, text.upper() if kind == "id" else text))
     return out
 
 

@@ -1,10 +1,11 @@
-"""Facts of source objects: one pass of the parser, then relational tables."""
+"""Facts of source objects: one Arrow pass of the parser, then relational tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,27 +22,38 @@ PARSED = (
     "subprograms array<struct<subprogram_name:string,subprogram_type:string,start_line:int,end_line:int,source_text:string>>, "
     "substatements array<struct<subprogram:string,seq:int,parent_seq:int,position:int,statement_type:string,start_line:int,end_line:int,source_text:string>>"
 )
-_FIELDS = {
-    "call_edges": ["caller_subprogram", "callee_schema", "callee_object", "callee_subprogram"],
-    "table_accesses": ["subprogram", "table_schema", "table_name", "operation"],
-    "subprograms": ["subprogram_name", "subprogram_type", "start_line", "end_line", "source_text"],
-    "substatements": ["subprogram", "seq", "parent_seq", "position", "statement_type", "start_line", "end_line", "source_text"],
+_ARROW = {
+    "call_edges": [("caller_subprogram", pa.string()), ("callee_schema", pa.string()), ("callee_object", pa.string()), ("callee_subprogram", pa.string())],
+    "table_accesses": [("subprogram", pa.string()), ("table_schema", pa.string()), ("table_name", pa.string()), ("operation", pa.string())],
+    "subprograms": [("subprogram_name", pa.string()), ("subprogram_type", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("source_text", pa.string())],
+    "substatements": [("subprogram", pa.string()), ("seq", pa.int32()), ("parent_seq", pa.int32()), ("position", pa.int32()), ("statement_type", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("source_text", pa.string())],
 }
 
 
-def parse(objects: DataFrame) -> DataFrame:
-    """Nested facts of each object; objects: KEY, source_text, source_hash. A source that cannot be parsed has status error and no facts."""
+def _nested(lists: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """A list of structs for each source, of tuples in the order of fields."""
+    offsets = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+    columns = list(zip(*chain.from_iterable(lists), strict=True)) or [()] * len(fields)
+    made = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(made, [n for n, _ in fields]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def parse(objects: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Nested facts of each object; objects: KEY, source_text, source_hash. A source that cannot be parsed has status error and no facts.
+
+    only: the nested columns that are wanted; the others come back empty, so that their texts need not leave the task.
+    """
+    wanted = set(_ARROW) if only is None else set(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                f = parse_unit(r.source_text or "", r.object_name or "")
-                nested = {k: [dict(zip(names, x, strict=True)) for x in getattr(f, k)] for k, names in _FIELDS.items()}
-                rows.append({**{k: getattr(r, k) for k in KEY}, "source_hash": r.source_hash, "status": f.status, "error_message": f.error_message, **nested})
-            yield pd.DataFrame(rows, columns=[*KEY, "source_hash", "status", "error_message", *_FIELDS])
-
-    return objects.select(*KEY, "source_text", "source_hash").mapInPandas(run, PARSED)
+            pairs = zip(b["source_text"].to_pylist(), b["object_name"].to_pylist(), strict=True)
+            found = [parse_unit(text or "", name or "") for text, name in pairs]
+            nested = {k: _nested([getattr(f, k) if k in wanted else [] for f in found], fields) for k, fields in _ARROW.items()}
+            status = {"status": pa.array([f.status for f in found], pa.string()), "error_message": pa.array([f.error_message for f in found], pa.string())}
+            yield pa.RecordBatch.from_pydict({k: b[k] for k in (*KEY, "source_hash")} | status | nested)
+
+    return objects.select(*KEY, "source_text", "source_hash").mapInArrow(run, PARSED)
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

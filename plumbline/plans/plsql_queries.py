@@ -33,8 +33,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("APP").alias("owner"), F.concat(F.lit("O_"), F.col("l_orderkey")).alias("name"), F.lit("PROCEDURE").alias("type"), F.col("at").alias("line"), "text")
 
 
-def parsed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.parse(assemble(order_lines(spark, sf_dir)))
+def parsed_orders(spark: SparkSession, sf_dir: str, *facts: str) -> DataFrame:
+    return extract.parse(assemble(order_lines(spark, sf_dir)), facts)
 
 
 def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +42,15 @@ def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.call_edges(parsed_orders(spark, sf_dir)).select("caller_object", "callee_object", "callee_subprogram")
+    return extract.call_edges(parsed_orders(spark, sf_dir, "call_edges")).select("caller_object", "callee_object", "callee_subprogram")
 
 
 def table_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.table_accesses(parsed_orders(spark, sf_dir)).select("object_name", "table_name", "operation")
+    return extract.table_accesses(parsed_orders(spark, sf_dir, "table_accesses")).select("object_name", "table_name", "operation")
 
 
 def statement_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.substatements(parsed_orders(spark, sf_dir)).groupBy("object_name", "statement_type").agg(F.count("*").alias("n")).where("statement_type like 'SQL%'")
+    return extract.substatements(parsed_orders(spark, sf_dir, "substatements")).groupBy("object_name", "statement_type").agg(F.count("*").alias("n")).where("statement_type like 'SQL%'")
 
 
 def subprogram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
