@@ -6,6 +6,7 @@ Two texts are as alike as the share of subsets in which their hashes agree; a su
 term of does not count. Subsets are of several densities, so that short and long texts each have some that hold
 a few of their terms. A term's subsets follow from a hash of the term. The densest subsets together hold every
 term, so all terms of all texts are counted and looked up; lists of terms are not stored for single texts.
+A range of texts is told which of its terms the lexicon leaves out: those are the fewer, and all others are in it.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def printed(fingerprint: tuple[str, np.ndarray]) -> str:
 
 
 #: Kinds of rows, in the order in which a range's rows come.
-KNOWN, OWN, LENT = 0, 1, 2
+OUTSIDE, OWN, LENT = 0, 1, 2
 
 _MET = "part int, term long, n long"
 
@@ -143,30 +144,28 @@ _PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (part, kind, doc_id, text, terms), sorted within part: each own row with what follows from its text and the next one's.
 
-    A part's terms of the lexicon come first. Lent rows belong to the next part (to the last part: to the first) and only end this one.
+    A part's terms outside the lexicon come first; all others are in it. Lent rows belong to the next part (to the last part: to the first) and only end this one.
     """
     held: tuple[int, int, int | None, str, dict[bytes, int], tuple[str, np.ndarray]] | None = None
     lists: list[np.ndarray] = []
-    known, known_of = np.zeros(0, np.uint64), None
+    outside, outside_of = np.zeros(0, np.uint64), None
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def fingerprint(words: set[bytes], terms: np.ndarray) -> tuple[str, np.ndarray]:
-        if len(known):
-            terms = terms[known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms]
-        else:
-            terms = terms[:0]
+        if len(outside):
+            terms = terms[outside[np.minimum(np.searchsorted(outside, terms), len(outside) - 1)] != terms]
         return whole_hash(terms, words), subset_hashes(terms)
 
     for b in batches:
         out: list[tuple] = []
         for part, kind, doc, text, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
-            if part != known_of:
-                known_of, lists, held, known = part, [], None, np.zeros(0, np.uint64)
-            if kind == KNOWN:
+            if part != outside_of:
+                outside_of, lists, held, outside = part, [], None, np.zeros(0, np.uint64)
+            if kind == OUTSIDE:
                 lists.append(terms.values.to_numpy().view(np.uint64))
                 continue
             if lists:
-                known, lists = np.sort(np.concatenate(lists)), []
+                outside, lists = np.sort(np.concatenate(lists)), []
             if kind == LENT and (held is None or held[1] == LENT):
                 continue
             t = text.as_py() or ""
@@ -248,18 +247,18 @@ def imatch(docs: DataFrame) -> DataFrame:
     alone is its own next. A text without terms in the lexicon has only the hash of all its terms. No rows: no
     result. Columns other than doc_id and text are not read.
 
-    Texts move twice, in ranges of ids: for their terms, and, with the range's terms of the lexicon, for their fingerprints.
+    Texts move twice, in ranges of ids: for their terms, and, with the range's terms outside the lexicon, for their fingerprints.
     """
     rows, n = dealt(docs)
     if not n:
         return docs.sparkSession.createDataFrame([], _PRINTS)
     met = stash(_in_order(rows).mapInArrow(_met, _MET))
     # a term's documents are summed over the parts that hold it: one shuffle gives both the lexicon and who asks for it
-    everywhere = met.withColumn("all", F.sum("n").over(W.partitionBy("term"))).where((F.col("all") >= LEAST) & (F.col("all") <= max(LEAST, MOST * n)))
-    asked = stash(everywhere.groupBy("part", F.pmod("term", F.lit(16)).alias("list")).agg(F.collect_set("term").alias("terms")).select("part", "terms"))
+    everywhere = met.withColumn("all", F.sum("n").over(W.partitionBy("term"))).where((F.col("all") < LEAST) | (F.col("all") > max(LEAST, MOST * n)))
+    left_out = stash(everywhere.groupBy("part", F.pmod("term", F.lit(16)).alias("list")).agg(F.collect_set("term").alias("terms")).select("part", "terms"))
     discard(met)
-    known = asked.select("part", F.lit(KNOWN).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("h"), "terms")
-    return _in_order(rows.unionByName(known)).mapInArrow(_prints, _PRINTS)
+    outside = left_out.select("part", F.lit(OUTSIDE).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("h"), "terms")
+    return _in_order(rows.unionByName(outside)).mapInArrow(_prints, _PRINTS)
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
