@@ -91,17 +91,19 @@ def _contexts(first: dict[int, int], frequent: bool):
         sums = np.zeros((CLASSES, 2 * CLASSES), np.int64)
         for row in _rows(batches):
             held, sizes, ids, words = _open(row)
-            cls = np.array([first.get(w, REST) for w in words.tolist()], np.int64)
-            ids = ids[np.repeat(~held, sizes)].astype(np.int64)
+            number = np.int32 if len(words) * 2 * CLASSES < 1 << 31 else np.int64
+            cls = np.array([first.get(w, REST) for w in words.tolist()], number)
+            ids = ids[np.repeat(~held, sizes)].astype(number, copy=False)
             if not len(ids):
                 continue
-            before = np.concatenate((np.zeros(1, np.int64), ids[:-1]))  # every text ends with 0, the end
-            pairs = np.concatenate((ids * (2 * CLASSES) + cls[before], before[1:] * (2 * CLASSES) + CLASSES + cls[ids[1:]]))
+            of = cls[ids]  # every text ends with 0, the end, and so does what stands before the first one
+            sides = [(ids, np.concatenate((cls[:1], of[:-1]))), (ids[:-1], CLASSES + of[1:])]
             if frequent:
-                of = cls[pairs // (2 * CLASSES)]
-                sums += np.bincount((of * (2 * CLASSES) + pairs % (2 * CLASSES))[of != REST], minlength=sums.size).reshape(sums.shape)
+                for word, beside in sides:
+                    mine = cls[word]
+                    sums += np.bincount((mine * (2 * CLASSES) + beside)[mine != REST], minlength=sums.size).reshape(sums.shape)
                 continue
-            pairs = pairs[cls[pairs // (2 * CLASSES)] == REST]
+            pairs = np.concatenate([(word * (2 * CLASSES) + beside)[cls[word] == REST] for word, beside in sides])
             if not len(pairs):
                 continue
             key, n = np.unique(pairs, return_counts=True)
