@@ -7,8 +7,9 @@ independent hashes. Once all slots hold an offer of at most the steps taken, lat
 the walk stops: long texts need one or two steps. Steps are taken for all elements of many texts at once.
 
 A band of 4 slots makes two sets of similarity s meet with probability s^4; that a pair of similarity 0.85 meets in none
-of 32 bands has probability 6e-11, with these signatures less. Sets that meet are compared exactly, and links are
-joined into components; equal sets are one node from the start.
+of 32 bands has probability 6e-11, with these signatures less. Only sets of sizes that can link meet: the smaller one's
+size says in which band of sizes. Sets that meet are compared exactly, and links are joined into components; equal sets
+are one node from the start.
 """
 
 from __future__ import annotations
@@ -84,11 +85,18 @@ def band_keys(signature: np.ndarray, rows: int = BAND) -> np.ndarray:
 _SIGNED = "doc long, n long, node long, marks binary, keys array<long>"
 
 
+def meeting_keys(sets: list[np.ndarray], threshold: Threshold, m: int, rows: int) -> list[np.ndarray]:
+    """For each set, its bands' keys in each band of sizes that a linked pair with it can have; none where only equal sets link."""
+    with np.errstate(over="ignore"):
+        sized = [np.array([b for b, most in threshold.bands(len(s)) if most], np.uint64) * _G1 for s in sets]
+        return [(k.view(np.uint64) ^ b[:, None]).view(np.int64).reshape(-1) for k, b in zip(band_keys(signatures(sets, m), rows), sized, strict=True)]
+
+
 def _sign(n: int, threshold: Threshold, m: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (doc, text): each document's set size and node; of each node once in a task, or again after many others, marks and keys of bands."""
 
     def signed(sets: list[np.ndarray]) -> tuple[list[bytes], list[np.ndarray]]:
-        return [marks_of(s, threshold) for s in sets], list(band_keys(signatures(sets, m), rows))
+        return [marks_of(s, threshold) for s in sets], meeting_keys(sets, threshold, m, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -92,6 +92,13 @@ def test_near_duplicates_match_all_pairs(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_sets_of_very_different_sizes_that_share_bands(spark):
+    """The words of short texts begin long ones, whose other words are one shingle's worth of repetition."""
+    texts = [" ".join(f"w{x}" for x in range(k)) + f" e{n}" * 3 for n, k in enumerate([6, 7, 8, 9, 12, 14, 20, 28, 40, 41, 42, 90, 91, 300, 301, 340])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85, 100).collect()} == all_pairs(texts, 3, 85, 100)
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     t = " ".join(f"w{x}" for x in range(50))
     rows = [(None, t), (None, "a b c d"), (7, t + " more"), (7, "q r s t"), (3, "q r s t"), (3, "q r s t"), (None, "a b c d")]
