@@ -11,7 +11,6 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,10 +29,13 @@ class Journal:
 
     def log(self) -> DataFrame:
         """Writes so far: seq (from 1), at, kind (delta, base or fold), segment, stream, batch."""
-        try:
-            return self.spark.read.schema(_LOG).json(f"{self.path}/log")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _LOG)
+        fs, path = self._file("log")
+        return self.spark.read.schema(_LOG).json(f"{self.path}/log") if fs.exists(path) else self.spark.createDataFrame([], _LOG)
+
+    def _file(self, name: str) -> tuple:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
     def _entries(self) -> list:
         return sorted(self.log().collect(), key=lambda r: (r["seq"], r["kind"] == "base"))
@@ -49,9 +51,8 @@ class Journal:
         segment = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/segments/{segment}")
         entry = {"seq": seq, "at": self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0], "kind": kind, "segment": segment, "stream": stream, "batch": batch}
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{seq:020d}-{kind}.json")
-        out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)  # fails where there is one
+        fs, path = self._file(f"log/{seq:020d}-{kind}.json")
+        out = fs.create(path, False)  # fails where there is one
         try:
             out.write(bytearray(json.dumps(entry).encode()))
         finally:

@@ -15,7 +15,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _streamed(rows: DataFrame, batches: int) -> DataFrame:
+def streamed(rows: DataFrame, batches: int) -> DataFrame:
     """Rows as a stream of some batches, dealt without order over files."""
     spark, files = rows.sparkSession, 2 * batches
     path = new_dir(spark, "stream-source")
@@ -29,7 +29,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = e.select(F.lit("APP").alias("owner"), F.col("user_id").cast("string").alias("name"), F.lit("PROCEDURE").alias("type"), F.col("event_id").alias("line"), F.concat("event_type", F.lit(";\n")).alias("text"), F.col("ts").alias("at"))
     again = lines.where("line % 10 = 0").withColumn("text", F.upper("text")).withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR"))
     journal = Journal(spark, new_dir(spark, "objects"), ingest.KEY, ingest.OBJECTS)
-    stream = ingest.objects(_streamed(lines.unionByName(again), 4), "90 days")
+    stream = ingest.objects(streamed(lines.unionByName(again), 4), "90 days")
     ingest.into(stream, journal, "lines", new_dir(spark, "checkpoint")).awaitTermination()
     return journal.read().select("object_name", "source_hash", "lines")
 
@@ -37,7 +37,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, counted as they come in four batches."""
     journal = Journal(spark, new_dir(spark, "windows"), ["window_start", "event_type"], "window_start timestamp, event_type string, n long, total decimal(38,6)")
-    events = _streamed(_t(spark, sf_dir, "events").select("ts", "event_type", "value"), 4)
+    events = streamed(_t(spark, sf_dir, "events").select("ts", "event_type", "value"), 4)
     ingest.into(ingest.windowed(events, "ts", ["event_type"], "value", "1 day", "90 days"), journal, "windows", new_dir(spark, "checkpoint")).awaitTermination()
     return journal.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.col("total").cast("decimal(18,2)").alias("total"))
 

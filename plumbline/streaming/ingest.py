@@ -59,7 +59,8 @@ def objects(lines: DataFrame, delay: str = "1 hour", delay_ms: int = 3_600_000)
     """A stream of objects as far as their lines have come, of a stream of lines: owner, name, type, line, text, at.
 
     A line that comes again replaces the earlier one if its time is later; a null text is empty. Rows without a line
-    number or a time are left out. Each batch gives a row for each object that it changed.
+    number or a time are left out; times up to 1970-01-01, where a watermark begins, are late. Each batch gives a row for
+    each object that it changed.
     """
     rows = lines.where("line is not null and at is not null").select(F.col("owner").alias("schema_name"), F.col("name").alias("object_name"), F.col("type").alias("object_type"), F.col("line").cast("long").alias("line"), "text", F.col("at").cast("timestamp").alias("at"))
     grouped = rows.withWatermark("at", delay).groupBy(*KEY)
