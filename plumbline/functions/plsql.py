@@ -1,7 +1,8 @@
 """Fact extraction from one PL/SQL unit: a tokenizer and an island parser of blocks, statements and SQL.
 
 Known gap: it accepts more than a full grammar does. It reports unbalanced parentheses and blocks, open
-strings and comments, and missing statement ends; it skips what it does not know up to the next `;`.
+strings and comments, missing statement ends, conditions and clauses, and names with something else than
+parentheses, `:=` or an end after them; it skips what it does not know up to the next `;`.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ KEYWORDS = frozenset(
     "EXECUTE IMMEDIATE VARCHAR2 VARCHAR CHAR NCHAR NVARCHAR2 NUMBER RAW FLOAT DECIMAL NUMERIC INTEGER TIMESTAMP INTERVAL CAST EXTRACT CONNECT START PRIOR DISTINCT UNIQUE FETCH OPEN CLOSE PIPE MULTISET MEMBER "
     "DENSE_RANK RANK ROW_NUMBER FIRST LAST LISTAGG MEDIAN REVERSE WITH LIMIT BULK COLLECT RETURNING SAVE EXCEPTIONS PACKAGE PROCEDURE FUNCTION".split()
 )
+#: Functions with a FROM of their own in their parentheses.
+FROM_INSIDE = frozenset(["EXTRACT", "TRIM", "OVERLAY", "SUBSTRING"])
+#: Words that begin a statement, which more than a call may follow.
+BEGINS = frozenset("EXIT CONTINUE GOTO RAISE RETURN PIPE PRAGMA SET NULL CALL FORALL LOCK ROLLBACK COMMIT SAVEPOINT TRUNCATE ALTER CREATE DROP GRANT REVOKE".split())
 _TOKEN = re.compile(
     r"\s*(?:(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<badcomment>/\*)|(?P<q>[nN]?[qQ]'(?:\[.*?\]|\{.*?\}|\(.*?\)|<.*?>|(?P<d>[^\s\[{(<]).*?(?P=d))')|(?P<str>[nN]?'(?:[^']|'')*')|(?P<badstr>')"
     r"|(?P<id>\"[^\"]*\"|[^\W\d][\w$#]*)|(?P<num>\d+(?:\.(?!\.)\d*)?(?:[eE][+-]?\d+)?)|(?P<end>\Z)|(?P<op>:=|=>|\.\.|\|\||<<|>>|<=|>=|<>|!=|\^=|~=|\*\*|.))",
@@ -172,17 +177,22 @@ class Parser:
                     x += 1
                     continue
                 # a subquery in a FROM list or after INTO is a statement of its own; others keep the operation outside
-                frames.append({"op": "SELECT" if inner in ("SELECT", "WITH") and f["tables"] else f["op"], "tables": False, "arg": not f["tables"]})
+                frames.append({"op": "SELECT" if inner in ("SELECT", "WITH") and f["tables"] else f["op"], "tables": False, "arg": not f["tables"], "from_off": x > a and t[x - 1].upper in FROM_INSIDE})
             elif t[x].text == ")":
                 if len(frames) > 1:
                     frames.pop()
                 frames[-1]["alias"] = True
             elif t[x].kind == "id":
-                if u in ("FROM", "JOIN") and (x == a or t[x - 1].upper not in ("EXTRACT",)) and f["op"] and not f.get("from_off"):
+                if u in ("FROM", "JOIN") and f["op"] and not f.get("from_off"):
                     f["tables"], f["want"] = True, True
+                elif u == "ONLY" and f["tables"] and f.get("want") and x + 1 < b and t[x + 1].text == "(":
+                    pass  # its view stands in the parentheses
+                elif u in ("PIVOT", "UNPIVOT", "NULLS") and f["tables"] and not f.get("want") and x + 1 < b and (t[x + 1].text == "(" or t[x + 1].upper in ("XML", "INCLUDE", "EXCLUDE")):
+                    pass
                 elif u == "USING" and f["op"] == "MERGE":
                     f["tables"], f["want"] = True, False
                 elif u in ("WHERE", "SET", "GROUP", "ORDER", "CONNECT", "START", "ON", "HAVING", "UNION", "INTERSECT", "MINUS", "VALUES", "SELECT", "RETURNING", "FETCH", "MODEL", "WHEN"):
+                    f["joined"] = u == "ON" and (f["tables"] or f.get("joined", False)) and f["op"] != "MERGE"  # a comma may go on with the FROM list
                     f["tables"], f["want"] = False, False
                     if u == "SELECT" and f["op"] == "INSERT":
                         f["op"] = "SELECT"
@@ -215,8 +225,8 @@ class Parser:
                         k = max(y, x + 1)
                     x = k
                     continue
-            elif t[x].text == "," and f["tables"]:
-                f["want"] = True
+            elif t[x].text == "," and (f["tables"] or f.get("joined")):
+                f["tables"], f["want"], f["joined"] = True, True, False
             x += 1
 
     def dotted(self, x: int) -> tuple[list[str], int]:
@@ -244,14 +254,20 @@ class Parser:
         kind = self.t[a].upper
         kind = "SELECT" if kind == "WITH" else kind
         if kind == "SELECT":
+            self.clauses(a, b)
             self.scan(a, b, "SELECT")
         elif kind in ("INSERT", "UPDATE", "DELETE", "MERGE"):
             x = a + 1
-            while x < b and self.t[x].upper in ("INTO", "FROM", "ALL", "FIRST"):
+            if kind == "INSERT" and x < b and self.t[x].upper in ("ALL", "FIRST"):
+                return self.insert_all(x + 1, b)
+            while x < b and self.t[x].upper in ("INTO", "FROM"):
                 x += 1
-            parts, y = self.dotted(x)
+            only = x + 1 < b and self.t[x].upper == "ONLY" and self.t[x + 1].text == "("
+            parts, y = self.dotted(x + 2 if only else x)
             if parts:
                 self.access(".".join(parts), kind)
+            if only:
+                y = self.closing(x + 1, b) + 1
             if y < b and self.t[y].text == "@":
                 y += 2
             if kind == "INSERT" and y < b and self.t[y].text == "(" and self.t[y + 1].upper not in ("SELECT", "WITH"):
@@ -260,6 +276,39 @@ class Parser:
         else:
             self.scan(a, b)
 
+    def clauses(self, a: int, b: int) -> None:
+        """SELECT is followed by what is selected, FROM by what it is selected from."""
+        for x in range(a, b):
+            u, after = self.t[x].upper, self.t[x + 1] if x + 1 < b else None
+            if self.t[x].kind == "id" and (x == a or self.t[x - 1].text != ".") and (
+                (u == "SELECT" and (after is None or after.upper == "FROM")) or (u == "FROM" and (after is None or after.upper in ("WHERE", "GROUP", "ORDER", "HAVING", "CONNECT") or after.text in (")", ",")))
+            ):
+                self.x = min(x + 1, len(self.t) - 1)
+                raise self.fail(f"nothing after {u}")
+
+    def insert_all(self, x: int, b: int) -> None:
+        """A multi-table insert: each INTO has a target; its conditions, its values and the query are scanned."""
+        while x < b:
+            u = self.t[x].upper
+            query = self.t[x].text == "(" and x + 1 < b and self.t[x + 1].upper in ("SELECT", "WITH")
+            if u in ("SELECT", "WITH") or query:
+                self.scan(x, b, "SELECT")
+                return
+            if u == "INTO":
+                parts, x = self.dotted(x + 1)
+                if parts:
+                    self.access(".".join(parts), "INSERT")
+                if x < b and self.t[x].text == "@":
+                    x += 2
+                if x < b and self.t[x].text == "(" and self.t[x + 1].upper not in ("SELECT", "WITH"):
+                    x = self.closing(x, b) + 1  # the list of columns
+                continue
+            y = x  # a condition, or values
+            while y < b and self.t[y].upper not in ("INTO", "SELECT", "WITH") and (y == x or self.t[y].text != "(" or self.t[y + 1].upper not in ("SELECT", "WITH") or self.t[y - 1].upper in ("IN", "EXISTS", "ANY", "ALL", "SOME")):
+                y = self.closing(y, b) + 1 if self.t[y].text == "(" else y + 1
+            self.scan(x, y, "INSERT")
+            x = max(y, x + 1)
+
     def until(self, *stops: str) -> int:
         """The index of the next stop word or `;` outside parentheses and CASE expressions."""
         depth, case, y = 0, 0, self.x
@@ -333,6 +382,7 @@ class Parser:
         a, u = self.x, self.up()
         if u == "IF":
             self.x = self.until("THEN") + 1
+            self.condition(a + 1, self.x - 1)
             self.scan(a + 1, self.x - 1)
             seq = self.statement(parent, position, "IF", a, self.x)
             n = self.statements(seq, 0, ("ELSIF", "ELSE", "END"))
@@ -397,11 +447,28 @@ class Parser:
                 return 0
             else:
                 plain = ":=" not in {t.text for t in self.t[a:b]} and u not in KEYWORDS and u != "NULL"
+                self.whole_call(a, b)
                 begin = a + (u == "CALL")
                 self.scan(begin, b, None, call=plain and self.t[a].kind == "id")
                 self.statement(parent, position, "OTHER", a, b)
         return 1
 
+    def whole_call(self, a: int, b: int) -> None:
+        """A statement that begins with a name is a call or an assignment: after the name stand parentheses, `:=` or nothing."""
+        if self.t[a].kind in ("num", "str", "q") or b == a:
+            self.x = a
+            raise self.fail(f"a statement can't begin with {self.t[a].text}")
+        if self.t[a].kind == "id" and self.t[a].upper not in KEYWORDS and self.t[a].upper not in BEGINS:
+            _, y = self.dotted(a)
+            if y < b and self.t[y].kind in ("id", "num", "str", "q"):
+                self.x = y
+                raise self.fail(f"unexpected {self.t[y].text}")
+
+    def condition(self, a: int, b: int) -> None:
+        if a >= b:
+            self.x = a
+            raise self.fail("missing condition")
+
     def whole(self, at: int, a: int) -> None:
         """Give a recorded statement the text up to here."""
         r = list(self.facts.substatements[at])

@@ -101,6 +101,27 @@ def wrapped_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("object_name", "status", F.size("call_edges").alias("edges"))
 
 
+#: A procedure's statements by forms that name tables, and the tables and operations in each.
+_FORMS = [
+    ("INSERT ALL INTO a_# (x) VALUES (1) INTO b_# (x) VALUES (f(2)) SELECT * FROM c_#;", "A INSERT,B INSERT,C SELECT"),
+    ("INSERT FIRST WHEN x > 1 THEN INTO a_# WHEN x IN (SELECT k FROM d_#) THEN INTO b_# ELSE INTO e_# SELECT x FROM c_#;", "A INSERT,B INSERT,C SELECT,D SELECT,E INSERT"),
+    ("SELECT 1 INTO v FROM a_# LEFT JOIN b_# ON a_#.x = b_#.x, c_# y CROSS JOIN d_#;", "A SELECT,B SELECT,C SELECT,D SELECT"),
+    ("SELECT extract(year FROM e), trim(both '0' FROM d) INTO v FROM a_#;", "A SELECT"),
+    ("DELETE FROM ONLY (a_#) WHERE x = 1; SELECT 1 INTO v FROM b_# PIVOT (count(*) FOR x IN (1, 2));", "A DELETE,B SELECT"),
+]
+
+
+def access_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's procedure has a statement of one form, by its number; the tables bear the number too."""
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    text = F.lit(_FORMS[-1][0])
+    for n, (form, _) in reversed(list(enumerate(_FORMS[:-1]))):
+        text = F.when(F.col("doc_id") % len(_FORMS) == n, form).otherwise(text)
+    body = F.concat(F.lit("PROCEDURE p IS\nBEGIN\n  "), F.replace(text, F.lit("#"), F.col("doc_id").cast("string")), F.lit("\nEND;\n"))
+    found = extract.table_accesses(_units(d, F.concat(F.lit("P_"), F.col("doc_id")), body))
+    return found.select("object_name", "table_name", "operation")
+
+
 _TREE_TEXT = "PROCEDURE c IS\nBEGIN\n  IF a > 1 THEN\n    x := 1;\n    y := 2;\n  ELSE\n    INSERT INTO t (a) VALUES (1);\n  END IF;\nEND;\n"
 
 
@@ -249,7 +270,7 @@ def json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        assemble_source, source_hash, change_counts, pending_parse, object_info, upsert_latest, replace_facts, first_per_key, builtin_filter, call_edges_schema, wrapped_flag, statement_tree, merge_others,
+        assemble_source, source_hash, change_counts, pending_parse, object_info, upsert_latest, replace_facts, first_per_key, builtin_filter, call_edges_schema, wrapped_flag, access_forms, statement_tree, merge_others,
         subtree_len, chunk_hash, chunk_pack, cache_prefix_invalid, explain_diamond, diamond_once, tree_render, bottom_up_height, prompt_build,
         source_text, parse_hash, subprogram_text, unmatched_begin, loose_statements, report_lines, json_record,
     )
@@ -282,6 +303,10 @@ ORACLE = {
         "UNION ALL SELECT 'C_' || c_custkey, NULL, 'PKG', 'LOAD' FROM customer"
     ),
     "wrapped_flag": "SELECT CAST(o_orderkey AS VARCHAR) AS object_name, CASE o_orderstatus WHEN 'F' THEN 'wrapped' WHEN 'O' THEN 'ok' ELSE 'error' END AS status, CAST(0 AS INTEGER) AS edges FROM orders",
+    "access_forms": f"""
+SELECT 'P_' || doc_id AS object_name, split_part(f, ' ', 1) || '_' || doc_id AS table_name, split_part(f, ' ', 2) AS operation
+FROM (SELECT doc_id, unnest(string_split([{", ".join(repr(facts) for _, facts in _FORMS)}][doc_id % {len(_FORMS)} + 1], ',')) AS f FROM documents) x
+""",
     "statement_tree": (
         "SELECT CAST(c_custkey AS VARCHAR) AS object_name, v.seq, v.parent_seq, v.position, v.statement_type, v.start_line, v.end_line, CAST(v.chars + CASE v.statement_type WHEN 'SQL_INSERT' THEN 1 + length(CAST(c_custkey AS VARCHAR)) ELSE 0 END AS INTEGER) AS chars FROM customer, "
         "(VALUES (0, NULL, 0, 'BEGIN_END', 2, 2, 5), (1, 0, 0, 'IF', 3, 3, 13), (2, 1, 0, 'OTHER', 4, 5, 13), (4, 1, 1, 'IF_ELSE', 6, 6, 4), (5, 4, 0, 'SQL_INSERT', 7, 7, 28)) v(seq, parent_seq, position, statement_type, start_line, end_line, chars)"

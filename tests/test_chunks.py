@@ -12,6 +12,13 @@ def test_tree(spark):
     assert {r.seq: (r.root, r.depth) for r in tree(df).collect()} == {0: (0, 0), 1: (0, 1), 2: (0, 2), 9: (9, 0)}
 
 
+def test_cycles_of_parents_lose_nothing(spark):
+    ring = [(0, None, 0, "IF", "r"), (1, 0, 0, "OTHER", "a"), (5, 6, 0, "OTHER", "b"), (6, 7, 1, "OTHER", "c"), (7, 5, 2, "OTHER", "d"), (4, 6, 3, "OTHER", "below"), (3, 4, 0, "OTHER", "deeper"), (2, 2, 9, "OTHER", "own parent")]
+    found = {r.seq: (r.root, r.depth) for r in tree(rows(spark, ring)).collect()}
+    assert found == {0: (0, 0), 1: (0, 1), 5: (5, 0), 7: (5, 1), 6: (5, 2), 4: (5, 3), 3: (5, 4), 2: (2, 0)}
+    assert tree(rows(spark, ring).limit(0)).count() == 0 and sum(r.length for r in chunks(rows(spark, ring)).collect()) == sum(len(x[4]) for x in ring)
+
+
 def test_chunks(spark):
     two = rows(spark, [(0, None, 0, "OTHER", "x" * 5000), (1, None, 1, "OTHER", "x" * 5000)])
     assert [r.root_seqs for r in chunks(two).orderBy("chunk_index").collect()] == [[0], [1]]

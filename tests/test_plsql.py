@@ -81,3 +81,26 @@ def test_no_source_breaks_a_job():
     assert parse_unit("PROCEDURE p IS BEGIN x := = 3 + ; END;", "P").status == "error"
     assert parse_unit("", "P").status in ("ok", "error")
     assert calls("SELECT a INTO v FROM t, u WHERE t.x = u.x (+); v := -f(1);") == {"F"}
+
+
+def test_multi_table_inserts():
+    assert tables("INSERT ALL INTO a1 (x) VALUES (1) INTO s.a2 (x) VALUES (f(2)) SELECT * FROM b;") == {("A1", "INSERT"), ("A2", "INSERT"), ("B", "SELECT")}
+    body = "INSERT FIRST WHEN q(x) > 1 THEN INTO a1 INTO a2 (x, y) VALUES (x, (SELECT max(z) FROM m)) WHEN x IN (SELECT k FROM n) THEN INTO a3@far ELSE INTO a4 SELECT x FROM b, c;"
+    assert tables(body) == {(f"A{n}", "INSERT") for n in range(1, 5)} | {(t, "SELECT") for t in "MNBC"}
+    assert calls(body) == {"Q"} and calls("INSERT ALL INTO a1 (x) VALUES (p.f(1)) INTO a2 (SELECT g(2) FROM b);") == {"P.F", "G"}
+
+
+def test_from_lists():
+    assert tables("SELECT 1 INTO v FROM t1 LEFT JOIN t2 ON t1.a = t2.a AND f(t1.b, t2.b) = 1, t3 x CROSS JOIN t4, s.t5 WHERE a IN (1, b, c) GROUP BY d, e;") == {(f"T{n}", "SELECT") for n in range(1, 6)}
+    assert tables("SELECT extract(year FROM d), trim(both 'x' FROM y), extract(day FROM (SELECT e FROM t2)) INTO v FROM t1;") == {("T1", "SELECT"), ("T2", "SELECT")}
+    assert tables("DELETE FROM ONLY (v1) WHERE a = 1; UPDATE ONLY (s.v2) SET a = 1, b = c; SELECT 1 INTO v FROM ONLY (v3), v4;") == {("V1", "DELETE"), ("V2", "UPDATE"), ("V3", "SELECT"), ("V4", "SELECT")}
+    pivot = "SELECT * INTO v FROM t1 PIVOT (count(*) FOR a IN (1, 2)) p UNPIVOT INCLUDE NULLS (x FOR y IN (b, c)), t2;"
+    assert tables(pivot) == {("T1", "SELECT"), ("T2", "SELECT")} and calls(pivot) == set()
+    assert tables("MERGE INTO t1 USING (SELECT a, b FROM t2) s ON (t1.a = s.a) WHEN MATCHED THEN UPDATE SET t1.b = s.b, t1.c = f(1, 2) WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.a, s.b);") == {("T1", "MERGE"), ("T2", "SELECT")}
+
+
+def test_what_is_no_statement():
+    for body in ("foo bar baz;", "IF THEN x; END IF;", "SELECT FROM WHERE;", "SELECT a INTO v FROM WHERE b = 1;", "123 abc;", "garbage here;", "'text';", ";", "SELECT a FROM;"):
+        f = parse_unit(f"PROCEDURE p IS BEGIN {body} END;", "P")
+        assert f.status == "error" and f.error_message.startswith("line 1:") and not f.call_edges, body
+    assert calls("<<l>> foo; foo.bar(1); a.b.c; x.y := 1; r(1).z := 2; EXIT l WHEN f(1); RAISE e; RETURN g(1); GOTO l; PIPE ROW (h(2)); NULL; CALL k(1); SET TRANSACTION READ ONLY;") >= {"FOO", "FOO.BAR", "A.B.C", "F", "G", "H", "K"}
