@@ -41,13 +41,17 @@ CLOSES = {
 }
 #: Where such an element may not be closed past.
 SCOPE = frozenset("ul ol dl table td th body html article section div main".split())
-#: Words in class, id or role that mark what is not the article.
+#: Words that mark what is not the article, in a role, or in a class or id that has no words but these and NEUTRAL ones.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside complementary contentinfo "
-    "cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related comment comments disqus reply replies respond form search widget toolbar pagination skip masthead".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside complementary contentinfo "
+    "cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related comment comments disqus reply replies respond form search widget widgets toolbar pagination skip masthead".split()
 )
-#: A mark after one of these in a class or id tells about something else, as in `no-sidebar` or `page-with-header`.
-ABOUT = frozenset("no non not without with has have hide show".split())
+#: Words that only tell where or how a container stands.
+NEUTRAL = frozenset("area bar block bottom box button buttons bg container content fixed global group holder inner item items left link links list listing main outer page panel post primary region right row secondary section site sticky strip thread top unit wrap wrapper zone".split())
+#: Elements whose class or id can mark them: others are text, whatever their names are.
+CONTAINERS = frozenset("div section ul ol dl table tbody details figure center".split())
+#: Marks that stay marks when the heading below says the same.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements that are no template by themselves inside an article.
 PARTS = INLINE | frozenset("li dt dd td th tr tbody thead tfoot caption br".split())
@@ -57,6 +61,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*
 #: An attribute's name and value; values are read whole, so that words in them are no names.
 _ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _WORD = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"\d+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -80,10 +85,11 @@ def parse(page: str) -> Node:
         opened.subtract(y.name for y in stack[x:])
         del stack[x:], block[x:]
 
+    endless: set[str] = set()  # names of which no end stands further on
     while at < n:
-        m = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None  # no tag ends after the last `>`
-        if m is None:
-            stack[-1].items.append(page[at:])
+        m = _TAG.search(page, at) if at <= last else None
+        if m is None:  # no tag ends after the last `>`, but a comment may begin
+            stack[-1].items.append(page[at : page.find("<!--", at) if page.find("<!--", at) >= 0 else n])
             break
         if m.start() > at:
             stack[-1].items.append(page[at : m.start()])
@@ -117,7 +123,9 @@ def parse(page: str) -> Node:
         node = Node(name, attrs.removesuffix("/"))
         stack[-1].items.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
             if name in ("script", "style", "textarea", "title", "iframe", "noscript"):
                 node.items.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
@@ -129,14 +137,36 @@ def parse(page: str) -> Node:
     return root
 
 
-def _marks(value: str) -> bool:
-    """Whether a word of a class, id or role marks its element."""
-    for token in value.split():
-        words = _WORD.findall(token)
-        first = next((n for n, w in enumerate(words) if w in MARKS), None)
-        if first is not None and ABOUT.isdisjoint(words[:first]):
-            return True
-    return False
+def _words(token: str) -> list[str] | None:
+    """The words of a class or id if all of them are known ones; words that run together are taken apart."""
+    out: list[str] = []
+    for run in _WORD.findall(token):
+        if len(run) > 40:
+            return None
+        ways: list[list[str] | None] = [[], *[None] * len(run)]
+        for end in range(1, len(run) + 1):
+            for begin in range(end):
+                word = run[begin:end]
+                if ways[begin] is not None and (word in MARKS or word in NEUTRAL) and (ways[end] is None or len(ways[begin]) < len(ways[end]) - 1):
+                    ways[end] = [*ways[begin], word]
+        if ways[-1] is None:
+            return None
+        out += ways[-1]
+    return out
+
+
+def _marks(value: str) -> frozenset[str]:
+    """The marks in a class, id or role: of each of its names that has no other words than marks and neutral ones."""
+    known = _MARKS.get(value)
+    if known is None:
+        if len(_MARKS) > 50_000:
+            _MARKS.clear()
+        known = _MARKS[value] = frozenset(w for token in value.split() for w in _words(token) or () if w in MARKS)
+    return known
+
+
+#: Marks of classes and ids that a task has seen: sites repeat theirs on every page.
+_MARKS: dict[str, frozenset[str]] = {}
 
 
 def attributes(node: Node) -> list[tuple[str, str]]:
@@ -150,14 +180,26 @@ def hidden(node: Node) -> bool:
         return True
     if node.name in ("html", "body"):
         return False
-    return any(kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and _marks(value)) for kind, value in attributes(node))
+    return any(kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and bool(_marks(value))) for kind, value in attributes(node))
 
 
 def classed(node: Node) -> bool:
-    """Whether a class or id says so; on html, body, main and article it says nothing."""
-    if node.name in ("html", "body") or node.name in ARTICLE:
+    """Whether a class or id says so: only of a container that is no article. An id that repeats the words of the element's own heading is an anchor, unless it is one of readers' comments."""
+    if node.name not in CONTAINERS:
         return False
-    return any(kind in ("class", "id") and _marks(value) for kind, value in attributes(node))
+    for kind, value in attributes(node):
+        found = _marks(value) if kind in ("class", "id") else frozenset()
+        if found and (kind == "class" or found & READERS or _NUMBER.sub("", value) != heading_id(node)):
+            return True
+    return False
+
+
+def heading_id(node: Node) -> str:
+    """The id that is made of the words of the heading that an element begins with; empty without one."""
+    first = next((x for x in node.items if isinstance(x, Node) or x.strip()), None)
+    if not isinstance(first, Node) or first.name not in HEADINGS:
+        return ""
+    return "-".join(_WORD.findall(" ".join(y for x in _walk(first) for y in x.items if isinstance(y, str)).lower()))
 
 
 def marked(node: Node) -> bool:
@@ -214,12 +256,13 @@ def subtrees(page: str | None) -> tuple[list[int], list[int], bool]:
     root = parse(page or "")
     digest(root)
     cores = articles(root)
+    tops = {id(x) for x in cores}
     out: set[int] = set()
     within: set[int] = set()
     todo = [(root, False)]
     while todo:
         x, inside = todo.pop()
-        if x in cores:
+        if id(x) in tops:
             inside = True
         elif inside:
             if x.name not in PARTS:
@@ -244,14 +287,14 @@ def main_text(page: str | None, template: set[int]) -> str:
 
 def _left(root: Node, cores: list[Node], template: set[int], gone: Callable[[Node], bool]) -> str:
     parts: list[str] = []
-    tops = cores or [root]
-    todo: list[Node | str] = list(reversed(tops))
+    tops = {id(x) for x in cores or [root]}
+    todo: list[Node | str] = list(reversed(cores or [root]))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x not in tops:
+        if id(x) not in tops:
             signed = x.digest - (1 << 64) if x.digest >> 63 else x.digest
             if cores and x.name == "header":
                 todo += [y for y in _walk(x) if y.name in HEADINGS][::-1]

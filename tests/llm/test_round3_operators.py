@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from test_operators import all_pairs, near_copies
 
-from plumbline.llm import jaccard_join, minhash, negatives, repair
+from plumbline.llm import html_text, jaccard_join, minhash, negatives, repair
 
 
 def mined(rows, k=5):
@@ -223,3 +224,43 @@ def test_damage(spark):
     found = repair.damaged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
     assert {r[0]: tuple(r)[1:] for r in repair.repair(found).collect()} == repaired_by_hand(wanted)
+
+
+def test_article_text_stays_whatever_its_ids_are():
+    kept = ["<h2 id='notice-of-motion'>a</h2>", "<h2 id='comments-on-method'>a</h2>", "<p id='related-work'>a</p>", "<section id='form-and-function'><h2>x</h2>a</section>", "<p class='search-term'>a</p>", "<p><span class='ad-hoc'>a</span></p>", "<blockquote class='reply'>a</blockquote>", "<div class='no-sidebar'>a</div>", "<section id='notices'><h2>Notices</h2>a</section>", "<div id='address'>a</div>", "<div class='formation reader'>a</div>", "<h3 class='banner'>a</h3>", "<ul><li class='share'>a</li></ul>"]
+    gone = ["<ol class='commentlist'><li>a</li></ol>", "<div class='cookiebar'>a</div>", "<div class='adsense'>a</div>", "<div id='comments'><h2>Comments</h2>a</div>", "<div class='big share-buttons'>a</div>", "<section id='related_links'>a</section>", "<div class='ad'>a</div>", "<div role='search'>a</div>", "<nav>a</nav>", "<div class='Newsletter-Box-2'>a</div>", "<section id='share'>a</section>", "<div class='newsletterSignup'>a</div>"]
+    for x in kept:
+        assert "a" in html_text.main_text(f"<article><p>own</p>{x}</article>", set()).split(), x
+    for x in gone:
+        assert html_text.main_text(f"<article><p>own</p>{x}</article>", set()) == "own", x
+
+
+def test_pages_that_only_recurrence_can_tell(spark):
+    """Plain blocks, no names: what recurs on a fifth of a host's different pages goes, the rest stays, against a plain count."""
+    rng = random.Random(21)
+    rows = []
+    for n in range(90):
+        host = "abc"[n % 3]
+        top = f"<div><div><span>top of {host}</span><i>one</i></div></div>"
+        some = "".join(f"<div class='x{k}'><b>side {k} of {host}</b></div>" for k in range(8) if rng.random() < k / 10)
+        rows.append((n, f"http://{host}.org/{n}", f"<html><body>{top}<div><p>own {n} of {host}</p>{some}</div><p>end of {host} {n % 9}</p></body></html>"))
+    rows += [(200 + n, "http://a.org/x", rows[0][2]) for n in range(40)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in "abc":
+        mine = {h for _, u, h in rows if u.startswith(f"http://{host}.")}
+        recurs = lambda s: sum(s in h for h in mine) >= max(html_text.RECURS, html_text.SHARE * len(mine))  # noqa: E731, B023
+        for n, u, h in rows:
+            if u.startswith(f"http://{host}."):
+                parts = re.findall(r"own \d+ of .|side \d of .|end of . \d", h)
+                want = [p for p in parts if not recurs(f"<b>{p}</b>" if p.startswith("side") else f"<p>{p}</p>")]
+                assert found[n] == " ".join(want) and "top of" not in found[n]
+    assert any("side" in t for t in found.values()) and not any("side 7" in t for t in found.values())
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 100_000, "<a " * 100_000 + "<!--", "<article>x</article>" * 100_000, "<iframe>" * 100_000, "<canvas><object>" * 50_000, "<!--" * 100_000, "<div class='" + "ad" * 100_000 + "'>x</div>", "<div class='" + "ad " * 50_000 + "'>x</div>"], ids=range(8))
+def test_hostile_pages_take_linear_time(page):
+    html_text.main_text("<p>warm</p>", set())
+    began = time.perf_counter()
+    html_text.main_text(page, set())
+    html_text.subtrees(page)
+    assert time.perf_counter() - began < 6, page[:20]
