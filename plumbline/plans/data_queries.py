@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import bags
+from plumbline.functions import bags, formats
 from plumbline.functions.json_table import Exists, Nested, Ordinal, Value, json_table
 from plumbline.operators.densify import partitioned_outer_join
 from plumbline.operators.hierarchy import connect_by, path_text, searched
@@ -88,6 +88,18 @@ def sample_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_blocks(_t(spark, sf_dir, "conversations").select("conv_id", "turn"), 30, 7, F.col("conv_id"))
 
 
+def format_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths as amounts, and numbers as dates, by format models and back, with defaults for what is no date."""
+    d = _t(spark, sf_dir, "documents")
+    amount = ((F.col("n_chars") * 125 - 100_000) / 100).cast("decimal(18,2)")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
+    odd = F.format_string("%04d-%02d-%02d", 2000 + F.col("doc_id") % 30, F.col("doc_id") % 14, F.col("doc_id") % 32)
+    made = d.select("doc_id", amount.alias("amount"), day.alias("day"), odd.alias("odd"))
+    made = made.withColumns({"text": formats.to_char_number(F.col("amount"), "9G999G990D00"), "signed": formats.to_char_number(F.col("amount"), "FM99990D0S"), "long_day": formats.to_char_date(F.col("day"), 'fmDay, DD "of" Month YYYY'), "coded": formats.to_char_date(F.col("day"), "DDD/RR Q")})
+    back = formats.to_number(F.col("text"), "9G999G990D00").cast("decimal(18,2)")
+    return made.select("doc_id", "text", "signed", "long_day", "coded", back.alias("back"), formats.to_date(F.col("odd"), "YYYY-MM-DD", "1900-01-01").alias("at"), formats.validate_conversion(F.col("odd"), "date", "YYYY-MM-DD").alias("valid"))
+
+
 # the operators of change_queries and query_forms on rows of documents and conversations
 def ingest_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as objects, their turns as lines that come in no order in three batches."""
@@ -150,7 +162,7 @@ def hypothetical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        insert_all_routed, insert_first_errors, multisets, json_table_nested, json_table_events, sample_rows, sample_block_rows,
+        insert_all_routed, insert_first_errors, multisets, json_table_nested, json_table_events, sample_rows, sample_block_rows, format_models,
         ingest_conversations, view_documents, versions_documents, connect_by_documents, partitioned_outer_documents, percentile_documents, hypothetical_documents,
     )
 }
@@ -195,6 +207,13 @@ SELECT conv_id, status, has_turns, missing, NULL, NULL, NULL, NULL, CAST(n AS IN
     "json_table_events": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, replace(props, ' ', '') AS whole, false AS has_x FROM events",
     "sample_rows": "SELECT conv_id, turn, role FROM conversations WHERE CAST('0x' || substr(sha256('42:' || conv_id || chr(31) || turn), 1, 8) AS BIGINT) < CAST(0.125 * 4294967296 AS BIGINT)",
     "sample_block_rows": "SELECT conv_id, turn FROM conversations WHERE CAST('0x' || substr(sha256('7:' || conv_id), 1, 8) AS BIGINT) < CAST(floor(0.3 * 4294967296) AS BIGINT)",
+    "format_models": """
+WITH d AS (SELECT doc_id, n_chars * 125 - 100000 AS cents, DATE '1995-01-01' + CAST(doc_id % 9000 AS INTEGER) AS day, TRY_CAST(printf('%04d-%02d-%02d', 2000 + doc_id % 30, doc_id % 14, doc_id % 32) AS TIMESTAMP) AS odd FROM documents),
+e AS (SELECT *, CAST(CASE WHEN cents < 0 THEN -1 ELSE 1 END * ((abs(cents) + 5) // 10) AS BIGINT) AS tenths FROM d)
+SELECT doc_id, lpad(format('{:,.2f}', cents / 100), 13, ' ') AS text, (abs(tenths) // 10) || '.' || (abs(tenths) % 10) || CASE WHEN tenths < 0 THEN '-' ELSE '+' END AS signed,
+       strftime(day, '%A, ') || day(day) || ' of ' || strftime(day, '%B %Y') AS long_day, strftime(day, '%j/%y ') || quarter(day) AS coded,
+       CAST(CAST(cents AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2)) AS back, coalesce(odd, TIMESTAMP '1900-01-01') AS at, CAST(odd IS NOT NULL AS INTEGER) AS valid FROM e
+""",
     "ingest_conversations": "SELECT CAST(conv_id AS VARCHAR) AS object_name, sha256(CASE WHEN upper(ltrim(string_agg(text, '' ORDER BY turn), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) LIKE 'CREATE%' THEN '' ELSE 'CREATE OR REPLACE ' END || string_agg(text, '' ORDER BY turn)) AS source_hash, count(*) AS lines FROM conversations GROUP BY conv_id",
     "view_documents": f"{_WRITES} SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, min(n_chars) AS min_n_chars, max(n_chars) AS max_n_chars FROM w3 GROUP BY 1, 2",
     "versions_documents": f"""{_WRITES},
