@@ -435,9 +435,13 @@ def test_class_probabilities_sum_to_one():
         assert math.isclose(sum(p[a, c] * (1 - share[c]) for c in known) + p[a, class_lm.UNKNOWN], 1, rel_tol=1e-6)
 
 
-def test_class_scores_by_one_pass(spark, monkeypatch):
+@pytest.mark.parametrize(("rounds", "frequent"), [(1, 1000), (2, 70), (5, 1000)])
+def test_class_scores_by_one_pass(spark, monkeypatch, rounds, frequent):
     """Scores of a small corpus, over many blocks, against a model that is counted word by word."""
     monkeypatch.setattr(class_lm, "BLOCK", 4000)
+    monkeypatch.setattr(class_lm, "ROUNDS", rounds)
+    monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(class_lm, "UNFOLDED", 7)
     rng = np.random.default_rng(16)
     weights = 1 / np.arange(1, 151)
     texts = [" ".join(rng.choice([f"w{x}" for x in range(150)], int(n), p=weights / weights.sum())) for n in rng.integers(0, 40, 300)]
@@ -449,13 +453,19 @@ def test_class_scores_by_one_pass(spark, monkeypatch):
     k, rest = class_lm.CLASSES, class_lm.REST
     top = sorted((w for w in count if w != "\n"), key=lambda w: (-count[w], code(w)))[: k - rest - 1]
     first = {"\n": 0} | {w: rest + 1 + n for n, w in enumerate(top)}
-    pairs, left, right = np.zeros((k, k)), {w: np.zeros(k) for w in count}, {w: np.zeros(k) for w in count}
     line = ["\n"] + [w for t in train for w in t]
-    for a, b in itertools.pairwise(line):
-        pairs[first.get(a, rest), first.get(b, rest)] += 1
-        left[b][first.get(a, rest)] += 1
-        right[a][first.get(b, rest)] += 1
-    best = {w: int(class_lm.exchange(left[w][None], right[w][None], pairs, np.array([first.get(w, rest)]))[0]) for w in count if w != "\n"} | {"\n": 0}
+    best = {w: first.get(w, rest) for w in count}
+    told = []
+    for _ in range(rounds):
+        pairs, left, right = np.zeros((k, k)), {w: np.zeros(k) for w in count}, {w: np.zeros(k) for w in count}
+        for a, b in itertools.pairwise(line):
+            pairs[best[a], best[b]] += 1
+            left[b][best[a]] += 1
+            right[a][best[b]] += 1
+        told.append(class_lm.information(pairs))
+        if len(told) > 2 and told[-1] < told[-2] * (1 + class_lm.SETTLED):
+            break
+        best = {w: int(class_lm.exchange(left[w][None], right[w][None], pairs, np.array([best[w]]))[0]) for w in count if w != "\n"} | {"\n": 0}
     n, once = np.zeros(k), np.zeros(k)
     for w, c in best.items():
         n[c] += count[w]
