@@ -1,4 +1,4 @@
-"""Dependency trees over call edges: a level at a time, cycle-safe along each path, with a depth limit."""
+"""Dependency trees over call edges: a level at a time, cycle-safe along each path, with a depth limit. Levels are written to the shared folder; nothing is cached."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.store import Store
-
-#: Levels between cuts of lineage.
-CUT = 8
+from plumbline.sources.shared import drop, kept
 
 VISIT = "root string, schema_name string, object_name string, subprogram string, depth int, path array<string>, ord array<string>, status string, object_type string"
 
@@ -29,16 +27,17 @@ def dependency_tree(roots: DataFrame, edges: DataFrame, info: DataFrame, max_dep
     level = roots.select(node.alias("root"), F.upper("schema_name").alias("schema_name"), F.upper("object_name").alias("object_name"), "subprogram", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("ord"))
     calls = edges.select("caller_schema", "caller_object", "caller_subprogram", F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("callee_schema"), "callee_object", "callee_subprogram").distinct()
     kinds = info.select("schema_name", "object_name", "object_type", F.col("status").alias("found"))
-    calls, kinds = calls.persist(), kinds.persist()  # read at every level
+    calls, kinds = kept(calls), kept(kinds)  # read at every level
     visits: DataFrame | None = None
     depth = 0
     while True:
         status = F.when(F.array_contains("path", node), "cycle").when(F.col("found").isNull(), "missing").otherwise(F.col("found"))
         seen = level.join(kinds, ["schema_name", "object_name"], "left").withColumn("status", status).drop("found")
-        seen = seen.persist() if depth % CUT or not seen.sparkSession.sparkContext.getCheckpointDir() else seen.checkpoint()
+        seen = kept(seen)
         visits = seen if visits is None else visits.unionByName(seen)
         open_ = seen.where("status = 'ok'")
         if (max_depth is not None and depth >= max_depth) or open_.isEmpty():
+            drop(calls, kinds)
             return visits
         same = (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v.object_name") == F.col("e.caller_object")) & F.upper("v.subprogram").eqNullSafe(F.upper("e.caller_subprogram"))
         below = _label(F.col("callee_schema"), F.col("callee_object"), F.col("callee_subprogram"))
@@ -64,17 +63,17 @@ def reach(roots: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
     key = ["root", "schema_name", "object_name", "_sub"]
     sub = F.upper(F.coalesce("subprogram", F.lit("")))
     root = _label(F.col("schema_name"), F.col("object_name"), F.col("subprogram"))
-    calls = edges.select("caller_schema", "caller_object", F.upper(F.coalesce("caller_subprogram", F.lit(""))).alias("_sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), "callee_object", "callee_subprogram").distinct().persist()
-    kinds = info.select("schema_name", "object_name", "object_type", F.col("status").alias("found")).persist()
+    calls = kept(edges.select("caller_schema", "caller_object", F.upper(F.coalesce("caller_subprogram", F.lit(""))).alias("_sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), "callee_object", "callee_subprogram").distinct())
+    kinds = kept(info.select("schema_name", "object_name", "object_type", F.col("status").alias("found")))
     level = roots.select(root.alias("root"), F.upper("schema_name").alias("schema_name"), F.upper("object_name").alias("object_name"), "subprogram", sub.alias("_sub"), F.lit(0).alias("depth"))
     visited: DataFrame | None = None
     while True:
         new = level.dropDuplicates(key)
         new = new if visited is None else new.join(visited.select(*key), key, "left_anti")
         new = new.join(kinds, ["schema_name", "object_name"], "left").withColumn("status", F.coalesce("found", F.lit("missing"))).drop("found")
-        cut = new.sparkSession.sparkContext.getCheckpointDir()
-        new = new.checkpoint() if cut else new.persist()
+        new = kept(new)
         if visited is not None and new.isEmpty():
+            drop(calls, kinds)
             return visited.drop("_sub")
         visited = new if visited is None else visited.unionByName(new)
         same = (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v.object_name") == F.col("e.caller_object")) & (F.col("v._sub") == F.col("e._sub"))

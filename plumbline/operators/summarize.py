@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import chunks as ch
 from plumbline.operators import graph
+from plumbline.sources.shared import drop, kept
 
 Complete = Callable[[str, str], str]
 
@@ -123,10 +124,11 @@ def summarize(
     t = TEXTS | (texts or {})
     sub = lambda c: F.upper(F.coalesce(c, F.lit("")))
     reached = graph.reach(roots, edges, info).select("schema_name", "object_name", sub(F.col("subprogram")).alias("sub"), "object_type", "status", "depth")
-    nodes = reached.groupBy(*KEY).agg(F.first("object_type").alias("object_type"), F.first("status").alias("status"), F.min("depth").alias("depth")).persist()
+    nodes = reached.groupBy(*KEY).agg(F.first("object_type").alias("object_type"), F.first("status").alias("status"), F.min("depth").alias("depth"))
+    nodes = kept(nodes)
     calls = edges.select(F.col("caller_schema").alias("schema_name"), F.col("caller_object").alias("object_name"), sub(F.col("caller_subprogram")).alias("sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), F.col("callee_object").alias("to_object"), sub(F.col("callee_subprogram")).alias("to_sub")).distinct()
     to = nodes.select(F.col("schema_name").alias("to_schema"), F.col("object_name").alias("to_object"), F.col("sub").alias("to_sub"), F.col("depth").alias("to_depth"))
-    deps = calls.join(nodes.where("status = 'ok'").select(*KEY, "depth"), KEY).join(to, ["to_schema", "to_object", "to_sub"]).persist()
+    deps = kept(calls.join(nodes.where("status = 'ok'").select(*KEY, "depth"), KEY).join(to, ["to_schema", "to_object", "to_sub"]))
     touched = accesses.groupBy("schema_name", "object_name", sub(F.col("subprogram")).alias("sub")).agg(F.array_sort(F.collect_set(F.concat(F.concat_ws(".", "table_schema", "table_name"), F.lit(" ("), "operation", F.lit(")")))).alias("tables"))
     rows = nodes.where("status = 'ok'").join(sources.select("schema_name", "object_name", "object_type", "source_text", "source_hash"), ["schema_name", "object_name", "object_type"], "left").join(touched, KEY, "left")
     if fragments is not None:
@@ -138,10 +140,10 @@ def summarize(
     no_old = F.lit(None).cast("array<struct<chunk_index:int,chunk_hash:string,analysis:string>>")
     rows = rows.join(analyses.select(*KEY, F.col("analyses").alias("stored")), KEY, "left") if analyses is not None else rows.withColumn("stored", no_old)
     shown = F.coalesce("own", "source_text") if fragments is not None else F.col("source_text")
-    rows = rows.withColumn("fragment", shown).withColumn("pieces", F.col("pieces") if pieces is not None else none_list).withColumn("tables", F.coalesce("tables", F.array().cast("array<string>"))).persist()
+    rows = kept(rows.withColumn("fragment", shown).withColumn("pieces", F.col("pieces") if pieces is not None else none_list).withColumn("tables", F.coalesce("tables", F.array().cast("array<string>"))))
     known = stored.select(*KEY, F.col("source_hash").alias("old_hash"), F.col("kind").alias("old_kind"), F.col("summary").alias("old")) if stored is not None and not force else None
     stub = F.concat(F.lit("["), "status", F.lit("] "), reference(F.col("object_name"), F.col("sub")))
-    done = nodes.where("status <> 'ok'").select(*KEY, "object_type", F.lit("brief").alias("kind"), F.lit(None).cast("string").alias("source_hash"), stub.alias("summary"), no_old.alias("analyses"), "status").persist()
+    done = nodes.where("status <> 'ok'").select(*KEY, "object_type", F.lit("brief").alias("kind"), F.lit(None).cast("string").alias("source_hash"), stub.alias("summary"), no_old.alias("analyses"), "status")
 
     def made(ready: DataFrame, kind: str) -> DataFrame:
         """Summaries of ready nodes: KEY, and calls."""
@@ -167,7 +169,7 @@ def summarize(
         if left.isEmpty():
             break
         text = done.select(F.col("schema_name").alias("to_schema"), F.col("object_name").alias("to_object"), F.col("sub").alias("to_sub"), F.col("summary").alias("text"))
-        over = left.join(deps, KEY, "left").join(text, ["to_schema", "to_object", "to_sub"], "left").persist()
+        over = asked = kept(left.join(deps, KEY, "left").join(text, ["to_schema", "to_object", "to_sub"], "left"))
         is_open = F.col("to_object").isNotNull() & F.col("text").isNull()
         ready = over.groupBy(*KEY).agg(F.count_if(is_open).alias("open"), F.count_if(is_open & (F.col("to_depth") > F.col("depth"))).alias("deeper"))
         now = ready.where("open = 0").select(*KEY)
@@ -175,8 +177,8 @@ def summarize(
             now = ready.where("deeper = 0").select(*KEY)
         over = over.withColumn("text", F.when(is_open, F.concat(F.lit("[cycle] "), reference(F.col("to_object"), F.col("to_sub")))).otherwise(F.col("text")))
         gathered = now.join(called(over.where("to_object is not null")), KEY, "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
-        level = made(gathered, "brief")
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
+        level = kept(made(gathered, "brief"))
+        drop(asked)
         done = done.unionByName(level)
     if kind == "brief":
         return done
