@@ -37,7 +37,7 @@ END, UNKNOWN, REST = 0, 1, 2
 BLOCK = 5 << 20
 
 #: Rounds of exchange at most; the share by which mutual information must rise for another one.
-ROUNDS, SETTLED = 3, 0.02
+ROUNDS, SETTLED = 4, 0.02
 
 #: Words that a task sums over its blocks; distinct words of blocks that a bucket holds about; words whose contexts a task unfolds at once.
 FREQUENT, BUCKET, UNFOLDED = 1000, 1_000_000, 20_000

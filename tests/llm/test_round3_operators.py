@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import all_pairs, near_copies
 
-from plumbline.llm import html_text, jaccard_join, minhash, negatives, repair
+from plumbline.llm import class_lm, html_text, jaccard_join, minhash, negatives, repair
 
 
 def mined(rows, k=5):
@@ -264,3 +264,29 @@ def test_hostile_pages_take_linear_time(page):
     html_text.main_text(page, set())
     html_text.subtrees(page)
     assert time.perf_counter() - began < 6, page[:20]
+
+
+def test_exchange_rounds_settle(spark, monkeypatch):
+    """Texts of hidden classes that follow each other: each round finds more of them, and a fifth one adds little."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(31)
+    follows = rng.dirichlet(np.full(12, 0.15), 12)
+    words = [[f"c{c}w{k}" for k in range(40)] for c in range(12)]
+    weights = 1 / np.arange(1, 41) ** 0.7
+    weights /= weights.sum()
+    texts = []
+    for _ in range(400):
+        c, text = int(rng.integers(12)), []
+        for _ in range(60):
+            text.append(words[c][rng.choice(40, p=weights)])
+            c = int(rng.choice(12, p=follows[c]))
+        texts.append(" ".join(text))
+    told, plain = [], class_lm.information
+    monkeypatch.setattr(class_lm, "information", lambda pairs: told.append(plain(pairs)) or told[-1])
+    monkeypatch.setattr(class_lm, "ROUNDS", 6)
+    monkeypatch.setattr(class_lm, "SETTLED", -1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = class_lm.class_scores(df, F.col("doc_id") % 4 == 0).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert len(told) == 6 and told[1] > told[0] and told[4] > told[1] and told[5] < 1.02 * told[4]
+    assert scores[0] > scores[1] and np.isclose(plain(np.eye(4)), np.log(4))
