@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import all_pairs, near_copies
 
-from plumbline.llm import class_lm, html_text, jaccard_join, minhash, negatives, repair
+from plumbline.llm import class_lm, html_text, imatch, jaccard_join, minhash, mixing, negatives, repair, topk
 
 
 def mined(rows, k=5):
@@ -290,3 +290,41 @@ def test_exchange_rounds_settle(spark, monkeypatch):
     scores = class_lm.class_scores(df, F.col("doc_id") % 4 == 0).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert len(told) == 6 and told[1] > told[0] and told[4] > told[1] and told[5] < 1.02 * told[4]
     assert scores[0] > scores[1] and np.isclose(plain(np.eye(4)), np.log(4))
+
+
+def test_topk_with_repeated_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1, 2]), (0, [1, 2]), (0, [5, 0]), (1, [3, 3]), (1, [3, 3]), (1, [0, 1]), (2, [1, 1])]
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], "vec_id long, terms array<long>, score string, rank string, query_id string, block string")
+    found = topk.exact_topk(df, "vec_id", F.col("terms"), F.col("vec_id") == 0, 4).orderBy("rank").collect()
+    # two different vectors of one query share one ranking; a repeated candidate is two
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 1, 15), (0, 2, 1, 15), (0, 3, 1, 9), (0, 4, 1, 9)]
+
+
+def test_imatch_of_a_very_long_text_and_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 40_000, 200_000))
+    texts = [long, long, "short text of a few words", long[: len(long) // 2], None]
+    df = spark.createDataFrame([(n, t, "x", "y") for n, t in enumerate(texts)], "doc_id long, text string, term string, part string")
+    found = {r.doc_id: r for r in imatch.imatch(df).collect()}
+    assert len(found) == 5 and found[0].fingerprint == found[1].fingerprint != found[3].fingerprint
+    assert found[0].n_chars == len(long) and found[0].near_next == 1.0 and found[2].n_chars == 25
+    edit = long[: len(long) - len(long) // 2] + long[: len(long) // 2]
+    assert found[0].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
+
+
+def test_mix_budgets_above_the_exact_part():
+    """Above what the knapsack fits exactly, the words taken still come within the longest document of the budget, and mostly meet it."""
+    rng = random.Random(13)
+    gaps = []
+    for _ in range(60):
+        counts = {rng.randrange(1, rng.choice([50, 3000, 20_000])): rng.randrange(1, 40) for _ in range(rng.randrange(3, 60))}
+        total = sum(k * n for k, n in counts.items())
+        budget = rng.randrange(min(mixing.KNAPSACK, total), total + 1)
+        taken = mixing.fit(counts, budget)
+        assert all(0 <= n <= counts[k] for k, n in taken.items())
+        gap = budget - sum(k * n for k, n in taken.items())
+        assert 0 <= gap <= max(counts)
+        gaps.append(gap)
+    assert sum(g == 0 for g in gaps) > len(gaps) // 2
