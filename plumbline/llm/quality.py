@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import remainder, table
 
-#: Most labelled documents that the field is fitted on, and the most bytes of each: the smallest by a seeded hash of the id among those within. So the driver gets SAMPLE * LONGEST bytes at most.
-SAMPLE, LONGEST = 2000, 1 << 16
+#: Most labelled documents that the field is fitted on, the smallest by a seeded hash of the id, and the most bytes of all their texts together.
+SAMPLE, BUDGET = 2000, 128 << 20
 
 #: Steps of the fit, its step size and the weight of the squared weights of features and of pairs.
 STEPS, RATE, RIDGE, PAIR_RIDGE = 150, 0.05, 1e-3, 1e-2
@@ -193,15 +193,27 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most `sample` labelled documents of up to LONGEST bytes: the smallest by a hash of their ids. These bounds hold at every size of input.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) -> Field:
+    """Fit on at most `sample` labelled documents with `budget` bytes of text together. These bounds hold at every size of input.
+
+    Documents are taken by a hash of their ids, whatever their length, as long as they fit into what is left of the budget;
+    a shorter one may then follow. Only a text above the whole budget is never taken.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1; other values and null do not count). With no
     labelled row, or labels of one kind, the field is fitted all the same and gives that kind.
     """
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    y = y.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(y), "doc_id").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id", "text").limit(sample).collect()  # bounded by sample
+    by = F.xxhash64(F.lit(29), "doc_id")
+    y = y.orderBy(by, "doc_id").limit(sample)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    sizes = labelled.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).orderBy(by, "doc_id").collect()  # at most sample rows
+    taken, left = [], budget
+    for r in sizes:
+        if r["size"] <= left:
+            taken.append((r["doc_id"],))
+            left -= r["size"]
+    some = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    rows = labelled.join(F.broadcast(some), "doc_id", "left_semi").orderBy(by, "doc_id", "text").limit(sample).collect()  # bounded by sample and budget
     if not rows:
         return Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.ones(FEATURES), (1.0, 0.0))
     return fit([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows]))

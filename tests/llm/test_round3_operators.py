@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from test_operators import all_pairs, near_copies
 
-from plumbline.llm import class_lm, html_text, imatch, jaccard_join, minhash, mixing, negatives, repair, topk
+from plumbline.llm import class_lm, html_text, imatch, jaccard_join, minhash, mixing, negatives, quality, repair, topk
 
 
 def mined(rows, k=5):
@@ -328,3 +328,18 @@ def test_mix_budgets_above_the_exact_part():
         assert 0 <= gap <= max(counts)
         gaps.append(gap)
     assert sum(g == 0 for g in gaps) > len(gaps) // 2
+
+
+def test_quality_learns_from_long_documents_within_a_budget(spark, monkeypatch):
+    """No length is left out: only what the bytes left can't hold."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y: seen.append((texts, y.tolist())))
+    rows = [(n, ("long " if n % 2 else "x ") * (30_000 if n % 2 else 10)) for n in range(20)] + [(3, "again"), (30, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(20)] + [(30, 1), (31, 0), (5, None)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    quality.train(docs, labels, budget=400_000)
+    quality.train(docs, labels, sample=4)
+    assert len(seen[0][0]) == 22 and sum(len(t) > 1 << 16 for t in seen[0][0]) == 10
+    assert sum(map(len, seen[1][0])) <= 400_000 and sum(len(t) > 1 << 16 for t in seen[1][0]) == 2 and sum(len(t) < 100 for t in seen[1][0]) >= 11
+    assert len(seen[2][0]) <= 4 and all(y == (len(t) > 100 or t in (b"again", b"")) for t, y in zip(*seen[0], strict=True))
