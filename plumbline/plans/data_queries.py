@@ -106,7 +106,7 @@ def ingest_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations")
     lines = c.select(F.lit("APP").alias("owner"), F.col("conv_id").cast("string").alias("name"), F.lit("PROCEDURE").alias("type"), F.col("turn").alias("line"), "text", F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000).alias("at"))
     journal = Journal(spark, new_dir(spark, "objects"), ingest.KEY, ingest.OBJECTS)
-    ingest.into(ingest.objects(streamed(lines, 3), "90 days"), journal, "lines", new_dir(spark, "checkpoint")).awaitTermination()
+    ingest.into(ingest.objects(streamed(lines, 3), None), journal, "lines", new_dir(spark, "checkpoint")).awaitTermination()
     return journal.read().select("object_name", "source_hash", "lines")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,16 +55,33 @@ def _objects(delay_ms: int):  # noqa: ANN202
     return run
 
 
-def objects(lines: DataFrame, delay: str = "1 hour", delay_ms: int = 3_600_000) -> DataFrame:
+def _latest(found: Column) -> Column:
+    """Of (line, at, text), sorted, the last of each line."""
+    last = lambda all_: F.filter(all_, lambda x, n: (n + 1 == F.size(all_)) | (x["line"] != F.get(all_, n + 1)["line"]))
+    return F.element_at(F.transform(F.array(found), last), 1)  # sorted once
+
+
+def objects(lines: DataFrame, delay: str | None = "1 hour", delay_ms: int = 3_600_000) -> DataFrame:
     """A stream of objects as far as their lines have come, of a stream of lines: owner, name, type, line, text, at.
 
+    delay: how late a line may be, after which state expires too (delay_ms after an object's last line). None: state is kept
+    for ever and no line is late; then the state is a built-in aggregate's, and no Python runs.
+
     A line that comes again replaces the earlier one if its time is later; a null text is empty. Rows without a line
     number or a time are left out; times up to 1970-01-01, where a watermark begins, are late. Each batch gives a row for
     each object that it changed.
     """
     rows = lines.where("line is not null and at is not null").select(F.col("owner").alias("schema_name"), F.col("name").alias("object_name"), F.col("type").alias("object_type"), F.col("line").cast("long").alias("line"), "text", F.col("at").cast("timestamp").alias("at"))
+    if delay is None:
+        all_ = F.array_sort(F.collect_list(F.struct("line", "at", F.coalesce("text", F.lit("")).alias("text"))))
+        held = rows.groupBy(*KEY).agg(all_.alias("all")).select(*KEY, _latest(F.col("all")).alias("all"))
+        return _hashed(held.select(*KEY, F.array_join(F.transform("all", lambda x: x["text"]), "").alias("body"), F.size("all").cast("long").alias("lines")))
     grouped = rows.withWatermark("at", delay).groupBy(*KEY)
     pieces = grouped.applyInPandasWithState(_objects(delay_ms), _PIECES, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return _hashed(pieces)
+
+
+def _hashed(pieces: DataFrame) -> DataFrame:
     whole = pieces.withColumn("source_text", with_create(F.col("body")))
     return whole.select(*KEY, "source_text", F.sha2("source_text", 256).alias("source_hash"), "lines")
 

@@ -122,6 +122,16 @@ def test_late_lines_replays_and_expired_state(spark, tmp_path):
     assert j.last() > writes and j.read().where("object_name = 'C'").first().source_text == "CREATE OR REPLACE more" and j.read(writes).where("object_name = 'C'").first().source_text == "CREATE OR REPLACE "
 
 
+def test_state_kept_for_ever(spark, tmp_path):
+    put(spark, tmp_path / "l", 0, [("A", 2, "two\n", "2024-01-01 10:00:00"), ("A", 1, "new\n", "2024-01-02 10:00:00"), ("B", 5, None, "2024-01-01 10:00:00")])
+    put(spark, tmp_path / "l", 1, [("A", 1, "old\n", "2023-01-01 10:00:00"), ("A", 0, "zero\n", "1960-01-01 10:00:00"), ("A", 2, "two!\n", "2024-01-01 10:00:00")])
+    j = Journal(spark, str(tmp_path / "j"), ingest.KEY, ingest.OBJECTS)
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "l"))
+    ingest.into(ingest.objects(stream, None), j, "lines", str(tmp_path / "c")).awaitTermination(300)
+    assert {(r.object_name, r.source_text, r.lines) for r in j.read().collect()} == {("A", "CREATE OR REPLACE zero\nnew\ntwo!\n", 3), ("B", "CREATE OR REPLACE ", 1)}
+    assert j.last() == 2
+
+
 def test_windows_change_as_events_come(spark, tmp_path):
     events = [("2024-01-01 23:00:00", "x", 1.5), ("2024-01-02 01:00:00", "x", None), ("2024-01-01 22:30:00", "x", 2.25), ("2024-01-02 01:30:00", "y", 1.0)]
     for at, g, v in events:
