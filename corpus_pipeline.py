@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, mixing, packing, quality
-from plumbline.llm.common import stash, table
+from plumbline.llm.common import discard, stash, table
 
 #: Near duplicates of the join stage: shingles of five words, similarity of 0.8 or more.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -70,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has read is deleted when its own result is written, but for the given table and the last stage's input."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
