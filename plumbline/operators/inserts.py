@@ -22,13 +22,13 @@ ERRORS = "target string, error string, tag string, given map<string,string>"
 class Target:
     """One INTO: a target's name, and for each of its columns the value and the type to convert it to.
 
-    required: columns that must not be null; checks: conditions by name, over the target's columns, which must not be false.
+    required: columns that must not be null; checks: conditions by name, functions of the target's row (a struct), which must not be false.
     """
 
     name: str
     columns: dict[str, tuple[Column, str]]
     required: Sequence[str] = ()
-    checks: dict[str, Column] = field(default_factory=dict)
+    checks: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
 
 @dataclass
@@ -73,7 +73,7 @@ def routed(rows: DataFrame, branches: Sequence[tuple[Column | None, Sequence[Tar
         def entry_of(row: Column) -> Column:
             error = F.lit(None).cast("string")
             for name, check in reversed(list(t.checks.items())):
-                error = F.when(~F.coalesce(_of(check, row, t), F.lit(True)), f"check:{name}").otherwise(error)
+                error = F.when(~F.coalesce(check(row), F.lit(True)), f"check:{name}").otherwise(error)
             for c in reversed(list(t.required)):
                 error = F.when(row[c].isNull(), f"required:{c}").otherwise(error)
             for c, v in reversed(list(given.items())):
@@ -90,10 +90,6 @@ def routed(rows: DataFrame, branches: Sequence[tuple[Column | None, Sequence[Tar
     return rows.select(F.explode(F.filter(entries, lambda x: x.isNotNull())).alias("x")).select("x.*")
 
 
-def _of(check: Column | Callable[[Column], Column], row: Column, t: Target) -> Column:
-    return check(row) if callable(check) and not isinstance(check, Column) else check
-
-
 def insert_all(rows: DataFrame, branches: Sequence[tuple[Column | None, Sequence[Target]]], otherwise: Sequence[Target] = (), first: bool = False, tag: str | None = None, reject_limit: int | None = 0, returning: dict[str, tuple[str, Callable[[Column], Column]]] | None = None) -> Inserted:
     """Route rows to targets and log what they can't take.
 
