@@ -88,6 +88,9 @@ def sample_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_blocks(_t(spark, sf_dir, "conversations").select("conv_id", "turn"), 30, 7, F.col("conv_id"))
 
 
+_WIDE = "9G999G999G999G999G990D00"
+
+
 def format_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths as amounts, and numbers as dates, by format models and back, with defaults for what is no date."""
     d = _t(spark, sf_dir, "documents")
@@ -95,8 +98,10 @@ def format_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
     odd = F.format_string("%04d-%02d-%02d", 2000 + F.col("doc_id") % 30, F.col("doc_id") % 14, F.col("doc_id") % 32)
     made = d.select("doc_id", amount.alias("amount"), day.alias("day"), odd.alias("odd"))
-    made = made.withColumns({"text": formats.to_char_number(F.col("amount"), "9G999G990D00"), "signed": formats.to_char_number(F.col("amount"), "FM99990D0S"), "long_day": formats.to_char_date(F.col("day"), 'fmDay, DD "of" Month YYYY'), "coded": formats.to_char_date(F.col("day"), "DDD/RR Q")})
-    back = formats.to_number(F.col("text"), "9G999G990D00").cast("decimal(18,2)")
+    # as wide as the amount's type, so that no length is `#`; text shows 13 places
+    made = made.withColumn("wide", formats.to_char_number(F.col("amount"), _WIDE))
+    made = made.withColumns({"text": F.lpad(F.ltrim("wide"), 13, " "), "signed": formats.to_char_number(F.col("amount"), "FM9999999999999990D0S"), "long_day": formats.to_char_date(F.col("day"), 'fmDay, DD "of" Month YYYY'), "coded": formats.to_char_date(F.col("day"), "DDD/RR Q")})
+    back = formats.to_number(F.col("wide"), _WIDE).cast("decimal(18,2)")
     return made.select("doc_id", "text", "signed", "long_day", "coded", back.alias("back"), formats.to_date(F.col("odd"), "YYYY-MM-DD", "1900-01-01").alias("at"), formats.validate_conversion(F.col("odd"), "date", "YYYY-MM-DD").alias("valid"))
 
 
