@@ -48,7 +48,7 @@ def parse(objects: DataFrame, only: Collection[str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = zip(b["source_text"].to_pylist(), b["object_name"].to_pylist(), strict=True)
-            found = [parse_unit(text or "", name or "") for text, name in pairs]
+            found = [parse_unit(text or "", name or "", wanted) for text, name in pairs]
             nested = {k: _nested([getattr(f, k) if k in wanted else [] for f in found], fields) for k, fields in _ARROW.items()}
             status = {"status": pa.array([f.status for f in found], pa.string()), "error_message": pa.array([f.error_message for f in found], pa.string())}
             yield pa.RecordBatch.from_pydict({k: b[k] for k in (*KEY, "source_hash")} | status | nested)
@@ -61,7 +61,8 @@ def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     complete = F.lit(True)
     for k in key:
         complete = complete & F.col(k).isNotNull()
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(*order))
+    # the hash goes first: rows are sorted by it, while keys mostly begin alike
+    nth = F.row_number().over(W.partitionBy(F.xxhash64(*key), *key).orderBy(*order))
     return df.withColumn("_nth", nth).where(~complete | (F.col("_nth") == 1)).drop("_nth")
 
 

@@ -53,5 +53,6 @@ def with_create(source: Column) -> Column:
 def assemble(lines: DataFrame) -> DataFrame:
     """Objects of lines: schema_name, object_name, object_type, source_text, source_hash. Lines join in order, without anything between; a null line is empty."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "")
-    named = lines.groupBy(F.col("owner").alias("schema_name"), F.col("name").alias("object_name"), F.col("type").alias("object_type")).agg(whole.alias("source_text"))
+    # the hash goes first: groups are sorted by it, while names mostly begin alike
+    named = lines.groupBy(F.xxhash64("owner", "name", "type").alias("_hash"), F.col("owner").alias("schema_name"), F.col("name").alias("object_name"), F.col("type").alias("object_type")).agg(whole.alias("source_text")).drop("_hash")
     return named.withColumn("source_text", with_create(F.col("source_text"))).withColumn("source_hash", F.sha2("source_text", 256))
