@@ -61,7 +61,7 @@ def subprogram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = o.select("o_custkey").distinct()
     lines = lines.unionByName(heads.select("o_custkey", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("PACKAGE BODY c_"), F.col("o_custkey"), F.lit(" AS\n")).alias("text"))).unionByName(heads.select("o_custkey", F.lit(1 << 40).alias("at"), F.lit("END;\n").alias("text")))
     named = lines.select(F.lit("APP").alias("owner"), F.concat(F.lit("C_"), F.col("o_custkey")).alias("name"), F.lit("PACKAGE BODY").alias("type"), F.col("at").alias("line"), "text")
-    found = extract.subprograms(extract.parse(assemble(named)))
+    found = extract.subprograms(extract.parse(assemble(named), ["subprograms"]))
     return found.select("object_name", "subprogram_name", "subprogram_type", "start_line", "end_line")
 
 
