@@ -32,14 +32,14 @@ def dependency_tree(roots: DataFrame, edges: DataFrame, info: DataFrame, max_dep
     depth = 0
     while True:
         status = F.when(F.array_contains("path", node), "cycle").when(F.col("found").isNull(), "missing").otherwise(F.col("found"))
-        seen = level.join(kinds, ["schema_name", "object_name"], "left").withColumn("status", status).drop("found")
+        seen = level.join(kinds, ["object_name", "schema_name"], "left").withColumn("status", status).drop("found")
         seen = kept(seen)
         visits = seen if visits is None else visits.unionByName(seen)
         open_ = seen.where("status = 'ok'")
         if (max_depth is not None and depth >= max_depth) or open_.isEmpty():
             drop(calls, kinds)
             return visits
-        same = (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v.object_name") == F.col("e.caller_object")) & F.upper("v.subprogram").eqNullSafe(F.upper("e.caller_subprogram"))
+        same = (F.col("v.object_name") == F.col("e.caller_object")) & (F.col("v.schema_name") == F.col("e.caller_schema")) & F.upper("v.subprogram").eqNullSafe(F.upper("e.caller_subprogram"))
         below = _label(F.col("callee_schema"), F.col("callee_object"), F.col("callee_subprogram"))
         level = open_.alias("v").join(calls.alias("e"), same).select(
             "root", F.col("callee_schema").alias("schema_name"), F.col("callee_object").alias("object_name"), F.col("callee_subprogram").alias("subprogram"), (F.col("depth") + 1).alias("depth"),
@@ -60,7 +60,7 @@ def reach(roots: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
 
     Breadth first: a node that a root has visited is not expanded again, so shared subtrees cost one visit each.
     """
-    key = ["root", "schema_name", "object_name", "_sub"]
+    key = ["object_name", "root", "schema_name", "_sub"]  # names first: joins sort by them, and schemas are mostly the same
     sub = F.upper(F.coalesce("subprogram", F.lit("")))
     root = _label(F.col("schema_name"), F.col("object_name"), F.col("subprogram"))
     calls = kept(edges.select("caller_schema", "caller_object", F.upper(F.coalesce("caller_subprogram", F.lit(""))).alias("_sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), "callee_object", "callee_subprogram").distinct())
@@ -70,13 +70,13 @@ def reach(roots: DataFrame, edges: DataFrame, info: DataFrame) -> DataFrame:
     while True:
         new = level.dropDuplicates(key)
         new = new if visited is None else new.join(visited.select(*key), key, "left_anti")
-        new = new.join(kinds, ["schema_name", "object_name"], "left").withColumn("status", F.coalesce("found", F.lit("missing"))).drop("found")
+        new = new.join(kinds, ["object_name", "schema_name"], "left").withColumn("status", F.coalesce("found", F.lit("missing"))).drop("found")
         new = kept(new)
         if visited is not None and new.isEmpty():
             drop(calls, kinds)
             return visited.drop("_sub")
         visited = new if visited is None else visited.unionByName(new)
-        same = (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v.object_name") == F.col("e.caller_object")) & (F.col("v._sub") == F.col("e._sub"))
+        same = (F.col("v.object_name") == F.col("e.caller_object")) & (F.col("v.schema_name") == F.col("e.caller_schema")) & (F.col("v._sub") == F.col("e._sub"))
         level = new.where("status = 'ok'").alias("v").join(calls.alias("e"), same).select(
             "root", F.col("to_schema").alias("schema_name"), F.col("callee_object").alias("object_name"), F.col("callee_subprogram").alias("subprogram"),
             F.upper(F.coalesce("callee_subprogram", F.lit(""))).alias("_sub"), (F.col("depth") + 1).alias("depth"),

@@ -31,7 +31,8 @@ TEXTS = {
     "chunk": "Analyse this piece: 1. key variables; 2. what it does; 3. conditions and branches; 4. data that it touches.",
 }
 
-KEY = ["schema_name", "object_name", "sub"]
+#: Names go first: joins sort by them, and schemas are mostly the same.
+KEY = ["object_name", "schema_name", "sub"]
 
 
 def outline(system: str, user: str) -> str:
@@ -128,9 +129,9 @@ def summarize(
     nodes = kept(nodes)
     calls = edges.select(F.col("caller_schema").alias("schema_name"), F.col("caller_object").alias("object_name"), sub(F.col("caller_subprogram")).alias("sub"), F.coalesce(F.nullif("callee_schema", F.lit("")), "caller_schema").alias("to_schema"), F.col("callee_object").alias("to_object"), sub(F.col("callee_subprogram")).alias("to_sub")).distinct()
     to = nodes.select(F.col("schema_name").alias("to_schema"), F.col("object_name").alias("to_object"), F.col("sub").alias("to_sub"), F.col("depth").alias("to_depth"))
-    deps = kept(calls.join(nodes.where("status = 'ok'").select(*KEY, "depth"), KEY).join(to, ["to_schema", "to_object", "to_sub"]))
+    deps = kept(calls.join(nodes.where("status = 'ok'").select(*KEY, "depth"), KEY).join(to, ["to_object", "to_schema", "to_sub"]))
     touched = accesses.groupBy("schema_name", "object_name", sub(F.col("subprogram")).alias("sub")).agg(F.array_sort(F.collect_set(F.concat(F.concat_ws(".", "table_schema", "table_name"), F.lit(" ("), "operation", F.lit(")")))).alias("tables"))
-    rows = nodes.where("status = 'ok'").join(sources.select("schema_name", "object_name", "object_type", "source_text", "source_hash"), ["schema_name", "object_name", "object_type"], "left").join(touched, KEY, "left")
+    rows = nodes.where("status = 'ok'").join(sources.select("schema_name", "object_name", "object_type", "source_text", "source_hash"), ["object_name", "schema_name", "object_type"], "left").join(touched, KEY, "left")
     if fragments is not None:
         own = fragments.select("schema_name", "object_name", sub(F.col("subprogram")).alias("sub"), F.col("source_text").alias("own"))
         rows = rows.join(own, KEY, "left")
@@ -169,7 +170,7 @@ def summarize(
         if left.isEmpty():
             break
         text = done.select(F.col("schema_name").alias("to_schema"), F.col("object_name").alias("to_object"), F.col("sub").alias("to_sub"), F.col("summary").alias("text"))
-        over = asked = kept(left.join(deps, KEY, "left").join(text, ["to_schema", "to_object", "to_sub"], "left"))
+        over = asked = kept(left.join(deps, KEY, "left").join(text, ["to_object", "to_schema", "to_sub"], "left"))
         is_open = F.col("to_object").isNotNull() & F.col("text").isNull()
         ready = over.groupBy(*KEY).agg(F.count_if(is_open).alias("open"), F.count_if(is_open & (F.col("to_depth") > F.col("depth"))).alias("deeper"))
         now = ready.where("open = 0").select(*KEY)
@@ -184,7 +185,7 @@ def summarize(
         return done
     tops = roots.select(F.upper("schema_name").alias("schema_name"), F.upper("object_name").alias("object_name"), sub(F.col("subprogram")).alias("sub")).distinct()
     text = done.select(F.col("schema_name").alias("to_schema"), F.col("object_name").alias("to_object"), F.col("sub").alias("to_sub"), F.col("summary").alias("text"))
-    over = tops.join(deps, KEY).join(text, ["to_schema", "to_object", "to_sub"])
+    over = tops.join(deps, KEY).join(text, ["to_object", "to_schema", "to_sub"])
     ready = tops.join(called(over), KEY, "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
     return done.unionByName(made(ready, kind))
 
