@@ -142,3 +142,25 @@ def test_windows_change_as_events_come(spark, tmp_path):
     ingest.into(ingest.windowed(stream, "at", ["g"], "v", "1 day", "3 hours"), j, "w", str(tmp_path / "c")).awaitTermination(300)
     assert rows_of(j.read().select(F.date_format("window_start", "dd"), "g", "n", "total")) == [("01", "x", 2, Decimal("3.750000")), ("02", "x", 1, None), ("02", "y", 1, Decimal("1.000000"))]
     assert {(r.n, r.first_seq) for r in j.versions().where("g = 'x' and day(window_start) = 1").collect()} == {(1, 1), (2, 3)}
+
+
+def test_objects_share_states(spark, tmp_path):
+    put(spark, tmp_path / "l", 0, [(f"N{n}", 1, "one\n", "2024-01-01 10:00:00") for n in range(1500)])
+    put(spark, tmp_path / "l", 1, [(f"N{n}", 2, "two", "2024-01-01 10:00:00.000001") for n in range(0, 1500, 2)])
+    j = Journal(spark, str(tmp_path / "j"), ingest.KEY, ingest.OBJECTS)
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "l"))
+    query = ingest.into(ingest.objects(stream, "1 hour"), j, "lines", str(tmp_path / "c"))
+    query.awaitTermination(300)
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= ingest.BUCKETS < 1500  # each costs milliseconds a batch
+    assert {(r.object_name, r.source_text) for r in j.read().collect()} == {(f"N{n}", "CREATE OR REPLACE one\n" + ("" if n % 2 else "two")) for n in range(1500)}
+
+
+def test_objects_of_one_state_expire_by_themselves(spark, tmp_path):
+    put(spark, tmp_path / "l", 0, [("A", 1, "a\n", "2024-01-01 10:00:00"), (None, 1, "ä\n", "2024-01-01 12:30:00")])
+    put(spark, tmp_path / "l", 1, [("C", 1, "c", "2024-01-01 13:00:00")])
+    put(spark, tmp_path / "l", 2, [("C", 2, "c", "2024-01-01 13:00:00")])  # the watermark is 12:00, A's last line an hour and more behind it
+    put(spark, tmp_path / "l", 3, [("A", 2, "new", "2024-01-01 13:00:00"), (None, 2, "more", "2024-01-01 12:40:00")])
+    j = Journal(spark, str(tmp_path / "j"), ingest.KEY, ingest.OBJECTS)
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "l"))
+    ingest.into(ingest.objects(stream, "1 hour", buckets=1), j, "lines", str(tmp_path / "c")).awaitTermination(300)
+    assert {(r.object_name, r.source_text) for r in j.read().collect()} == {("A", "CREATE OR REPLACE new"), (None, "CREATE OR REPLACE ä\nmore"), ("C", "CREATE OR REPLACE cc")}
