@@ -255,8 +255,8 @@ def loose_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report of a package for each customer, whose call and update bear its number."""
     text = F.concat(F.lit("PACKAGE BODY k IS\n  PROCEDURE p IS\n  BEGIN\n    IF v > 1 THEN\n      q_"), "c_custkey", F.lit("(1);\n    END IF;\n    UPDATE t_"), "c_custkey", F.lit(" SET a = 1;\n  END;\nEND;\n"))
-    lines = report.report(_units(_t(spark, sf_dir, "customer"), F.concat(F.lit("C_"), "c_custkey"), text, "PACKAGE BODY"))
-    return lines.select("object_name", F.row_number().over(W.partitionBy("object_name").orderBy("at")).alias("nth"), "line")
+    made = report.reports(_units(_t(spark, sf_dir, "customer"), F.concat(F.lit("C_"), "c_custkey"), text, "PACKAGE BODY"))
+    return made.select("object_name", F.posexplode("lines").alias("n", "x")).select("object_name", (F.col("n") + 1).alias("nth"), "x.line")
 
 
 def json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
